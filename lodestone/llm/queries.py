@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metric_join, packing, simhash, substring_dedup, topk
+from . import learning, metric_join, packing, quality, simhash, substring_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ FROM split LEFT JOIN kept USING (doc_id)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (learning.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +62,11 @@ FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (learning.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -77,8 +87,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_embedding_join": op3_embedding_join,
         "op4_packing": op4_packing,
+        "op6_quality": op6_quality,
         "op8_topk": op8_topk,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
