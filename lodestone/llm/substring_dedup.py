@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, sequence_hash
+from .common import Words, mix, sequence_hash
 
 #: Of each period the smallest known difference cover.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -69,23 +71,32 @@ def _passes(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_windows(docs: DataFrame, window: int, period: int, table: np.ndarray) -> DataFrame:
-    """(w1, w2, doc_id, version, start): the windows that hold an anchor of the filter, with 128 bits of hash."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def _windows(batch: pa.RecordBatch, window: int, period: int, table: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of a batch's texts (last column), where windows begin that hold an anchor of the filter, and two hashes of each."""
+    words, at, h = _anchors(batch, window, period)
+    at, n = at[_passes(h, table)], len(words.start)
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, np.maximum(at - (period - 1), 0), 1)
+    np.add.at(change, at + 1, -1)
+    left = np.diff(words.bound)[words.rows()] - words.index()
+    start = np.flatnonzero((np.cumsum(change[:n]) > 0) & (left >= window))
+    hashes = [sequence_hash(words.hash, window, seed)[start] if len(start) else np.zeros(0, np.uint64) for seed in (2, 3)]
+    return words, start, np.stack(hashes)
+
+
+def first_windows(docs: DataFrame, window: int, period: int, table: Broadcast) -> DataFrame:
+    """(doc_id, firsts): of each document the hashes of those candidate windows that no document with a smaller id has.
+
+    Equal windows meet by 96 bits of hash, in each map task first; of each only the smallest id goes on.
+    """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, at, h = _anchors(batch, window, period)
-        at = at[_passes(h, shared.value)]
-        change, n = np.zeros(len(words.start) + 1, np.int32), len(words.start)
-        np.add.at(change, np.maximum(at - (period - 1), 0), 1)
-        np.add.at(change, at + 1, -1)
-        index, row = words.index(), words.rows()
-        start = np.flatnonzero((np.cumsum(change[:n]) > 0) & (np.diff(words.bound)[row] - index >= window))
-        w = [sequence_hash(words.hash, window, seed)[start] if len(start) else np.zeros(0, np.uint64) for seed in (2, 3)]
-        of = pa.array(row[start])
-        return pa.RecordBatch.from_arrays([pa.array(w[0].view(np.int64)), pa.array(w[1].view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(index[start].astype(np.int32))], ["w1", "w2", "doc_id", "version", "start"])
+        words, start, w = _windows(batch, window, period, table.value)
+        of = pa.array(words.rows()[start])
+        return pa.RecordBatch.from_arrays([pa.array(w[0].view(np.int64)), pa.array((w[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(of)], ["w1", "w2", "doc_id"])
 
-    return common.by_batch(docs.select("doc_id", "version", "text"), each, "w1 long, w2 long, doc_id long, version long, start int")
+    found = common.by_batch(docs.select("doc_id", "text"), each, "w1 long, w2 int, doc_id long")
+    return found.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("w1").alias("firsts"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, period: int = 7) -> DataFrame:
@@ -94,33 +105,41 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     A word goes if a window over it also begins in a document with a smaller id. Windows are judged on the input, so removals
     don't depend on each other. Null texts have no words; a row without an id loses nothing and takes nothing from others; rows
     that share an id are one document with several texts, which don't take from each other.
+
+    Of each window that anchors have found, just the first document is sent back, and texts are read a third time: a window is
+    a repeat if its hash isn't among those that its own document has first.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).cast("binary").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     named = docs.where("doc_id is not null and text is not null")
     shared = common.saved(shared_anchors(named, window, period), "anchors")
     common.release(spark)  # the largest shuffle is over
-    windows = common.saved(candidate_windows(named, window, period, anchor_filter(shared)), "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    again = windows.join(first, ["w1", "w2"]).where("doc_id > first")
-    starts = common.saved(again.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts")), "starts")
-    del windows, first, again
+    table = spark.sparkContext.broadcast(anchor_filter(shared))
+    firsts = common.saved(first_windows(named, window, period, table), "firsts")
     common.release(spark)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, gone, kept = [], [], []
-        for text, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            words = (text or b"").split()
-            total.append(len(words))
-            if own.is_valid:
-                at = own.values.to_numpy()
-                change = np.zeros(len(words) + 1, np.int32)
-                change[at] += 1
-                np.add.at(change, at + window, -1)
-                words = [w for w, cover in zip(words, np.cumsum(change[:-1]).tolist(), strict=True) if not cover]
-            gone.append(total[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    both = docs.join(starts.hint("shuffle_hash"), ["doc_id", "version"], "left").select("doc_id", "text", "starts")
+        words, start, w = _windows(batch, window, period, table.value)
+        own, total = words.rows(), np.diff(words.bound)
+        firsts = batch.column(1)
+        count = pc.fill_null(pc.list_value_length(firsts), 0).to_numpy(zero_copy_only=False)
+        known = firsts.flatten().to_numpy().view(np.uint64)
+        with np.errstate(over="ignore"):  # a window's hash together with its text's row
+            key = mix(w[0] + own[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            known = mix(known + np.repeat(np.arange(len(count)), count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        start = start[~np.isin(key, known) & named[own[start]]]
+        change = np.zeros(len(own) + 1, np.int32)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + window, -1)
+        gone = np.cumsum(change[:-1]) > 0
+        kept, text = [], memoryview(words.bytes)[words.first :] if len(own) else b""
+        for r in range(batch.num_rows):
+            at = np.arange(words.bound[r], words.bound[r + 1])
+            at = at[~gone[at]]
+            kept.append(b" ".join(text[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)).decode())
+        removed = np.bincount(own[gone], minlength=batch.num_rows).astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(total.astype(np.int64)), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    both = docs.join(firsts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "firsts", "text")
     return common.by_batch(both, each, "doc_id long, n_words long, n_removed long, kept_text string")
