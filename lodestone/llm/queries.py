@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import learning, metric_join, packing, quality, simhash, substring_dedup, topk, toxicity
+from . import chat, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ FROM split LEFT JOIN kept USING (doc_id)
 """
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", (learning.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -62,11 +67,85 @@ FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as the chosen and the rejected one of pair k."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id")).where("pair_id is not null").distinct()
+    return chat.preference_pairs(turns, pairs.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id")))
+
+
+OP5_SQL = """
+WITH turn AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM turn),
+     pair AS (SELECT DISTINCT conv_id // 2 AS pair_id FROM turn),
+     total AS (SELECT p.pair_id, count(*) FILTER (t.conv_id % 2 = 0) AS nc, count(*) FILTER (t.conv_id % 2 = 1) AS nr
+               FROM pair p JOIN placed t ON t.conv_id // 2 = p.pair_id GROUP BY 1),
+     differs AS (SELECT p.pair_id, min(a.n) AS n FROM pair p JOIN placed a ON a.conv_id // 2 = p.pair_id
+                 LEFT JOIN placed b ON b.conv_id = a.conv_id + 1 - 2 * (a.conv_id % 2) AND b.n = a.n AND b.role = a.role AND b.text = a.text
+                 WHERE b.n IS NULL GROUP BY 1),
+     common AS (SELECT pair_id, (coalesce(d.n - 1, nc))::INTEGER AS n_common FROM total LEFT JOIN differs d USING (pair_id)),
+     shown AS (SELECT c.pair_id, c.n_common, t.conv_id % 2 AS side, t.n, t.role, '<|' || t.role || '|>\n' || t.text || '<|end|>\n' AS line,
+                      length(t.role) + 5 AS head, t.n > c.n_common AS own
+               FROM common c JOIN placed t ON t.conv_id // 2 = c.pair_id),
+     spot AS (SELECT *, sum(length(line)) OVER (PARTITION BY pair_id, side, own ORDER BY n) - length(line) AS pos FROM shown)
+SELECT c.pair_id, 2 * c.pair_id AS chosen_id, 2 * c.pair_id + 1 AS rejected_id, c.n_common,
+       coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND NOT own), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND own), '') AS chosen,
+       coalesce(string_agg((pos + head)::VARCHAR || ':' || (pos + length(line) - 1)::VARCHAR, ',' ORDER BY n) FILTER (side = 0 AND own AND role = 'assistant'), '') AS chosen_learned,
+       coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 1 AND own), '') AS rejected,
+       coalesce(string_agg((pos + head)::VARCHAR || ':' || (pos + length(line) - 1)::VARCHAR, ',' ORDER BY n) FILTER (side = 1 AND own AND role = 'assistant'), '') AS rejected_learned
+FROM common c JOIN spot USING (pair_id) GROUP BY c.pair_id, c.n_common
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", (learning.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The production mix: three domains of sources, English held to two fifths, at most two epochs of anything.
+MIX = {"domain": {"d0": 0.5, "d1": 0.3, "d2": 0.2}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+
+
+def domain_of_source() -> Column:
+    return F.concat(F.lit("d"), F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0)) % 3)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), domain_of_source(), MIX)
+    return out.select("row.doc_id", "domain", "lang", "source", "epoch", "tokens", "take")
+
+
+def _mix_level(name: str, below: str, keys: str, above: str, weight: str) -> str:
+    return f"""
+     {name}_n AS (SELECT {keys}, sum(capacity) AS room, any_value(part) AS share, {weight} AS weight FROM {below} GROUP BY {keys}),
+     {name}_l AS (SELECT *, (share - coalesce(sum(room) OVER (PARTITION BY {above} ORDER BY room / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (PARTITION BY {above} ORDER BY room / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}_n),
+     {name}_b AS (SELECT *, greatest(0, least(room, weight * max(level) OVER (PARTITION BY {above}))) AS got FROM {name}_l),
+     {name}_p AS (SELECT l.* EXCLUDE (part), b.got AS part FROM {below} l JOIN {name}_b b USING ({keys})),"""
+
+
+OP7_SQL = (
+    """
+WITH doc AS (SELECT doc_id, 'd' || coalesce(try_cast(nullif(regexp_extract(source, '[0-9]+'), '') AS INTEGER), 0) % 3 AS domain, coalesce(lang, '') AS lang,
+                    coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+     held_doc AS (SELECT * FROM doc WHERE tokens > 0),
+     leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS held, sum(tokens) * 2.0::DOUBLE AS capacity,
+                     floor(0.6::DOUBLE * (SELECT sum(tokens) FROM held_doc)) AS part FROM held_doc GROUP BY ALL),"""
+    + _mix_level("domain", "leaf", "domain", "0", "CASE domain WHEN 'd0' THEN 0.5::DOUBLE WHEN 'd1' THEN 0.3 WHEN 'd2' THEN 0.2 ELSE 1.0 END")
+    + _mix_level("lang", "domain_p", "domain, lang", "domain", "CASE lang WHEN 'en' THEN 0.4::DOUBLE WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.2 ELSE 1.0 END")
+    + _mix_level("source", "lang_p", "domain, lang, source", "domain, lang", "1.0::DOUBLE")
+    + """
+     plan AS (SELECT domain, lang, source, held, floor(part + 1e-3)::BIGINT AS budget FROM source_p),
+     turn AS (SELECT p.*, unnest(range(budget // held + 1)) AS epoch FROM plan p),
+     placed AS (SELECT d.*, t.epoch, t.budget - t.epoch * t.held AS left_,
+                       sum(d.tokens) OVER (PARTITION BY domain, lang, source, t.epoch ORDER BY md5('17:' || t.epoch || ':' || d.doc_id)) - d.tokens AS pos
+                FROM held_doc d JOIN turn t USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, epoch, tokens, greatest(0, least(tokens, left_ - pos))::BIGINT AS take FROM placed WHERE pos < left_
+"""
+)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -87,10 +166,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_toxicity": op2_toxicity,
         "op3_embedding_join": op3_embedding_join,
         "op4_packing": op4_packing,
+        "op5_chat": op5_chat,
         "op6_quality": op6_quality,
+        "op7_mixing": op7_mixing,
         "op8_topk": op8_topk,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
@@ -100,6 +182,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_join": OP3_SQL,
+        "op5_chat": OP5_SQL,
+        "op7_mixing": OP7_SQL,
         "op8_topk": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
     }
