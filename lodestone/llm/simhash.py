@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -173,18 +173,41 @@ def link_edges(prints: DataFrame, limit: int = 3, cell_rows: int = 4096) -> Data
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links).
-
-    Null and empty texts have fingerprint zero and link like any other. Rows that share an id each keep their own
-    fingerprint. A null id never becomes a component's name; a component of null ids only has the name null.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, component_id) of every fingerprint."""
     prints = common.saved(fingerprints(docs, id_col, text_col), "prints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = common.components(link_edges(groups, limit))
     named = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     named = common.saved(named, "named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    return prints, named.join(least, "root").select("fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each component the row with the smallest id, once.
+
+    Rows without words share fingerprint zero, so one of them stays. Rows that repeat an id and a text count once. Rows with a
+    null id stay.
+    """
+    prints, named = _grouped(docs, id_col, text_col, limit)
+    copies = prints.join(named, "fp").where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct()
+    copies = common.saved(copies, "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"))
+    rows = rows.join(common.small_side(copies, copies.count()), F.col("id") == F.col("gone_id"), "left_anti")
+    twice = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
+    rows = rows.join(twice, F.col("id") == F.col("twice_id"), "left")
+    once = F.row_number().over(Window.partitionBy("id", "version").orderBy("version"))
+    many = rows.where("twice_id is not null").withColumn("n", once).where("n = 1").select("row.*")
+    return rows.where("twice_id is null").select("row.*").unionByName(many)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links).
+
+    Null and empty texts have fingerprint zero and link like any other. Rows that share an id each keep their own
+    fingerprint. A null id never becomes a component's name; a component of null ids only has the name null.
+    """
+    prints, named = _grouped(docs, id_col, text_col, limit)
     out = prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out
