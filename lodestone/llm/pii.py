@@ -26,13 +26,16 @@ _PATTERNS = {
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 WORD = r"\p{L}[\p{L}\p{N}_]{3,}+"
 
-NONE = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, stop: INT, value: STRING>>)")
+
+def _none() -> Column:
+    return F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, stop: INT, value: STRING>>)")
+
 
 
 def find(text: Column, pattern: str, shift: Column | int = 0) -> Column:
     """array<struct<start, stop, value>>: all matches from left to right, in code points from `shift` on."""
     steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"))
-    first = F.struct((F.lit(0) + shift).cast("int").alias("at"), NONE.alias("found"))
+    first = F.struct((F.lit(0) + shift).cast("int").alias("at"), _none().alias("found"))
 
     def add(state: Column, step: Column) -> Column:
         start = state["at"] + F.coalesce(step["gap"], F.lit(0))
@@ -69,7 +72,7 @@ _VALID = {
 def base_spans(text: Column, kind: str) -> Column:
     """The valid matches of one kind; failing ones are dropped without another try."""
     may = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(_TESTS[kind])
-    return F.when(may, F.filter(find(text, _PATTERNS[kind]), lambda m: _VALID[kind](m["value"]))).otherwise(NONE)
+    return F.when(may, F.filter(find(text, _PATTERNS[kind]), lambda m: _VALID[kind](m["value"]))).otherwise(_none())
 
 
 def _ordered(spans: Column) -> Column:
