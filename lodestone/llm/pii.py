@@ -24,7 +24,8 @@ _PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-WORD = r"\p{L}[\p{L}\p{N}_]{3,}+"
+_EDGE = r"(?<![\p{L}\p{N}_])"
+WORD = _EDGE + r"\p{L}[\p{L}\p{N}_]{3,}+"
 
 
 def _none() -> Column:
@@ -32,10 +33,10 @@ def _none() -> Column:
 
 
 
-def find(text: Column, pattern: str, shift: Column | int = 0) -> Column:
-    """array<struct<start, stop, value>>: all matches from left to right, in code points from `shift` on."""
-    steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"))
-    first = F.struct((F.lit(0) + shift).cast("int").alias("at"), _none().alias("found"))
+def find(text: Column, pattern: Column) -> Column:
+    """array<struct<start, stop, value>>: all matches from left to right, in code points."""
+    steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, pattern, 0).alias("value"))
+    first = F.struct(F.lit(0).alias("at"), _none().alias("found"))
 
     def add(state: Column, step: Column) -> Column:
         start = state["at"] + F.coalesce(step["gap"], F.lit(0))
@@ -72,7 +73,7 @@ _VALID = {
 def base_spans(text: Column, kind: str) -> Column:
     """The valid matches of one kind; failing ones are dropped without another try."""
     may = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(_TESTS[kind])
-    return F.when(may, F.filter(find(text, _PATTERNS[kind]), lambda m: _VALID[kind](m["value"]))).otherwise(_none())
+    return F.when(may, F.filter(find(text, F.lit(_PATTERNS[kind])), lambda m: _VALID[kind](m["value"]))).otherwise(_none())
 
 
 def _ordered(spans: Column) -> Column:
@@ -112,7 +113,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
         after = F.substr(F.col("text"), s["stop"] + 1, F.lit(near))
         cut = F.when(left > 0, F.regexp_replace(before, r"^[^\x20\x09-\x0D]+", "")).otherwise(before)
         tail = F.when(F.length(after) == near, F.regexp_replace(after, r"[^\x20\x09-\x0D]+$", "")).otherwise(after)
-        return F.array_distinct(F.transform(F.concat(F.regexp_extract_all(cut, F.lit(WORD), 0), F.regexp_extract_all(tail, F.lit(WORD), 0)), F.lower))
+        return F.array_distinct(F.concat(F.regexp_extract_all(F.lower(cut), F.lit(WORD), 0), F.regexp_extract_all(F.lower(tail), F.lit(WORD), 0)))
 
     about = F.transform("base", lambda s: F.struct(F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))).alias("entity"), around(s).alias("words")))
     near_by = common.saved(hits.select("h1", "h2", F.inline(about)), "near")
@@ -120,23 +121,25 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
     pairs = common.saved(pairs, "pairs")
     entities = near_by.select("h1", "h2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
 
-    # how many texts hold each of these words at all
-    wanted = pairs.select("word").distinct()
-    words = own.select("h1", "h2", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), 0), F.lower))).alias("word"))
-    holds = words.join(common.small_side(wanted, pairs.count()), "word", "left_semi").distinct()
-    holds = common.saved(holds, "holds")
-    n_word = holds.groupBy("word").agg(F.count("*").alias("n_word"))
-    total = own.select("h1", "h2").distinct().count()
-    whole = F.log2(F.lit(max(total, 2)) / F.col("n_entity"))
-    share = 1 - F.log2(F.col("n_word") / F.col("both")) / whole
+    # how many texts hold each of these words at all; a copy counts as its part of the text that it repeats
+    copies = common.saved(own.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    once = own.join(common.small_side(copies, copies.count()), ["h1", "h2"], "left").withColumn("part", 1 / F.coalesce("copies", F.lit(1)))
+    wanted = common.saved(pairs.select("word").distinct(), "wanted")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("word")
+    n_word = once.select("part", words).join(common.small_side(wanted, wanted.count()), "word", "left_semi").groupBy("word").agg(F.round(F.sum("part")).alias("n_word"))
+    total = once.agg(F.round(F.sum("part"))).head()[0] or 0
+    whole = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
+    share = 1 - F.log2(F.greatest("n_word", "both") / F.col("both")) / whole
     disclosing = pairs.join(entities, "entity").join(n_word, "word").where(whole > 0).groupBy("word").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
-    marked = holds.join(disclosing, "word").groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("word", "share"))).alias("shares"))
-    marked = common.saved(marked, "marked")
+    disclosing = common.saved(disclosing, "disclosing")
+    holds = own.select("h1", "h2", words).join(common.small_side(disclosing, disclosing.count()), "word").distinct()
+    marked = common.saved(holds.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("word", "share"))).alias("shares")), "marked")
 
     out = texts.join(common.small_side(marked, marked.count(), 100_000), ["h1", "h2"], "left")
     out = out.select("row", "text", "shares", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     out = out.withColumn("base", F.array_sort(F.concat(*[_kinded(F.col(k), k, i) for i, k in enumerate(KINDS)])))
-    terms = F.transform(F.filter(find(F.col("text"), WORD), lambda s: F.map_contains_key("shares", F.lower(s["value"]))), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), s["stop"].alias("stop"), F.when(F.element_at("shares", F.lower(s["value"])) >= remove, "removed").otherwise("term").alias("kind")))
+    theirs = F.concat(F.lit(f"(?iu){_EDGE}(?:"), F.array_join(F.map_keys("shares"), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    terms = F.transform(F.filter(find(F.col("text"), theirs), lambda s: F.map_contains_key("shares", F.lower(s["value"]))), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), s["stop"].alias("stop"), F.when(F.element_at("shares", F.lower(s["value"])) >= remove, "removed").otherwise("term").alias("kind")))
     free = F.filter(terms, lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     out = out.withColumn("terms", F.when(F.col("shares").isNull(), F.filter("base", lambda b: F.lit(False))).otherwise(free))
 
