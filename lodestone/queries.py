@@ -1,15 +1,296 @@
-"""Registered queries over the reference operators, with their SQL twins."""
+"""Registered queries over the reference operators, with their SQL twins.
+
+documents are the corpus, benchmark items the questions, conversations the messages, and events the run log. Every query
+reads whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import fixed
+from .functions import text as T
+from .operators import chunking, evaluate, fuse, judge, search, state
+from .streaming import jobs
+
+K = 5
+LIST = 24
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+# ------------------------------------------------------------------ sources
+
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    return docs.select("doc_id", F.sha2("text", 256).alias("file_hash"), F.octet_length("text").alias("n_bytes")).where(F.col("n_bytes") <= 80 * 1024 * 1024)
+
+
+def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
+    return docs.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
+
+
+def replace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages come in as new versions of the documents with their ids."""
+    stored = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.lit("stored").alias("version"))
+    return state.replace_documents(stored, table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.length("html").alias("n"), F.lit("new").alias("version")))
+
+
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").where(F.coalesce("quality", F.lit(1)) == 1).select("doc_id", "lang", "source")
+
+
+# ------------------------------------------------------------------ text
+
+
+def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.sanitize(F.col("text")), 256).alias("clean_sha"), F.contains(T.sanitize(F.col("text")), F.lit(fixed.HIDDEN_EMAIL)).alias("masked"))
+
+
+def chunk_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.is_table(text).alias("table_like"), T.is_store_table(text).alias("store_table_like"), F.round(T.readability(text), 6).alias("readability"),
+        F.round(T.overview_score(text), 6).alias("overview"), T.reference_markers(text).cast("long").alias("markers"), T.reliability(text).cast("long").alias("reliability"),
+    )
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("n_tokens"))
+
+
+def chunk_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = chunking.statistics(F.col("text"), F.lit(1))
+    out = chunking.strategy(table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in stats.items()]))
+    return out.select("doc_id", F.col("token_count").cast("long").alias("token_count"), F.col("paragraph_count").cast("long").alias("paragraph_count"), "language", "chunk_size", "overlap", "parent_chunk_size", "parent_overlap", "splitter")
+
+
+def sentence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence")).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("sentence").alias("sentence"))
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit(1).alias("page"), "text")).alias("pages"))
+    return chunking.chunk(docs).select("doc_id", "chunk_no", "chunk_id", "section", "chunk_type", "token_count", F.md5("text").alias("text"), "parent_id", "parent_token_count")
+
+
+def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.neighbours(table(spark, sf_dir, "conversations"), "conv_id", order="turn")
+    return rows.select("conv_id", "turn", F.md5("context").alias("context"))
+
+
+def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = T.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens"))
+
+
+def question_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = _questions(spark, sf_dir).select("qid", F.posexplode(T.question_phrases(F.col("question"))).alias("n", "phrase"))
+    return phrases.select("qid", F.col("n").cast("long").alias("n"), "phrase")
+
+
+# ------------------------------------------------------------------ search
+
+
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    post = search.postings(table(spark, sf_dir, "documents"), "doc_id")
+    return post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    post = search.postings(table(spark, sf_dir, "documents"), "doc_id")
+    n, mean = search.corpus_size(post, "doc_id")
+    raw = search.bm25(post, search.query_terms(_questions(spark, sf_dir)), ["doc_id"], n, mean).withColumn("raw", F.round("raw", 6))
+    return search.top(raw, k, "qid", F.col("raw"), "doc_id")
+
+
+def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, K).select("qid", "rank", "doc_id", F.round(search.normalised(F.col("raw")), 6).alias("score"))
+
+
+def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hash_vectors(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    asked = search.hash_vectors(_questions(spark, sf_dir).select("qid", F.col("question").alias("text")), "qid")
+    pairs = search.sparse_cosine(asked, search.hash_vectors(table(spark, sf_dir, "documents"), "doc_id"), "qid", "doc_id").withColumn("score", F.round("score", 6))
+    return search.top(pairs, k, "qid", F.col("score"), "doc_id")
+
+
+def hash_dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, K).select("qid", "rank", "doc_id", "score")
+
+
+def _label_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    means = vectors.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x"))
+    means = means.groupBy(F.col("label").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("embedding"))
+    return means, vectors.select(F.col("vec_id").alias("item_id"), "embedding")
+
+
+def dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's mean vector as a question to all vectors."""
+    means, items = _label_means(spark, sf_dir)
+    return search.dense_top_k(means, items, K).select("qid", "rank", "item_id", F.round("score", 5).alias("score"))
+
+
+def lsh_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means, items = _label_means(spark, sf_dir)
+    return search.lsh_top_k(means, items, K, dims=64).select("qid", "rank", "item_id", F.round("score", 5).alias("score"))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    null = F.lit(None).cast("double")
+    sparse = _bm25(spark, sf_dir, LIST).select("qid", F.lit(1).alias("list_no"), "rank", "doc_id", F.round(search.normalised(F.col("raw")), 6).alias("score")).withColumns({"vector_score": null, "sparse_score": F.col("score")})
+    dense = _dense(spark, sf_dir, LIST).select("qid", F.lit(0).alias("list_no"), "rank", "doc_id", "score").withColumns({"vector_score": F.col("score"), "sparse_score": null})
+    return dense.unionByName(sparse).withColumns({"weight": F.lit(1.0), "noisy": F.lit(False), "rule_score": null})
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.rrf(_lists(spark, sf_dir), LIST, keys=("doc_id",))
+
+
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("qid", "doc_id", "rank", "vector_score", "sparse_score", F.round("rrf_score", 6).alias("rrf_score"), F.round("score", 6).alias("score"))
+
+
+def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as the documents whose candidates are balanced."""
+    rows = _fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("source")), "doc_id")
+    rows = rows.select("qid", F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank").alias("pos"))
+    return fuse.balanced(rows, 8).select("qid", F.col("doc_id").alias("source"), F.col("chunk_id").alias("doc_id"), "rank")
+
+
+def numbered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.citations(_fused(spark, sf_dir).where(F.col("rank") <= K), "rank").select("qid", "doc_id", "citation_id")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    questions = _questions(spark, sf_dir).select("qid", "question", T.question_keywords(F.col("question")).alias("keywords"), T.question_phrases(F.col("question")).alias("phrases"))
+    rows = rows.join(search.small(questions), "qid").withColumn("low", T.lowered(F.col("text")))
+    rows = rows.withColumn("relevance", F.round(T.relevance(F.col("question"), F.col("keywords"), F.col("phrases"), F.col("low")), 6))
+    return rows.withColumn("score", F.round("score", 6))
+
+
+def relevance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("qid", "doc_id", "relevance")
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge.verdict(F.col("score"), F.col("relevance"), T.is_table(T.sanitize(F.col("text"))), F.lit(False))
+    return _judged(spark, sf_dir).withColumn("v", judged).select("qid", "doc_id", "v.verdict", F.round("v.confidence", 2).alias("confidence"))
+
+
+def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _judged(spark, sf_dir).groupBy("qid").agg(F.max("score").alias("best_score"), F.max("relevance").alias("best_relevance"), F.count("*").alias("n"))
+    return best.select("qid", "n", judge.question_quality(F.col("best_score"), F.col("best_relevance"), F.col("n")).alias("quality"))
+
+
+def source_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question a card per language, and which languages its first five documents cover."""
+    docs = table(spark, sf_dir, "documents")
+    rows = numbered_evidence(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id")
+    evidence = rows.select("qid", F.col("lang").alias("doc_id"), F.col("doc_id").alias("page"), "citation_id", F.substring("citation_id", 2, 9).cast("int").alias("pos"), F.lit("text").alias("chunk_type"))
+    scope = _questions(spark, sf_dir).select("qid", F.explode(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])).alias("doc_id"))
+    return judge.coverage(judge.cards(scope, evidence)).select("qid", "n_covered", F.round("ratio", 3).alias("ratio"), F.array_join("missing", ",").alias("missing"))
+
+
+def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that repeat a question, cite the first and the third piece of evidence, and one that isn't there."""
+    answers = _questions(spark, sf_dir).select("qid", F.concat("question", F.lit(" [E1]. See also [E3] and E9.")).alias("answer"))
+    evidence = numbered_evidence(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return judge.verify(answers, evidence).select("qid", "n_cited", F.array_join("missing", ",").alias("missing"), "status")
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, doc_id): documents that hold an item's text. Candidates share its rarest token; the text is then looked for."""
+    docs, items = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    post = search.postings(docs, "doc_id")
+    asked = items.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
+    df = post.join(search.small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    rare = asked.join(df, "token").groupBy("qid").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    pairs = post.join(search.small(rare), "token").select("qid", "doc_id")
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(search.small(items), "qid").where(F.contains("text", "question")).select("qid", "doc_id").distinct()
+
+
+def planted_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gold(spark, sf_dir)
+
+
+def gold_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = _gold(spark, sf_dir).select("qid", F.col("doc_id").alias("gold_no"))
+    hits = _bm25(spark, sf_dir, K).select("qid", F.col("doc_id").alias("gold_no"), "rank").join(gold, ["qid", "gold_no"], "left_semi")
+    return evaluate.recall(gold, hits, K).select("qid", "n_gold", F.round("recall", 6).alias("recall"))
+
+
+def evaluation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.evaluation_form(F.col("text"))).alias("form"))
+
+
+def run_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cases: passed if labelled good, by language and toxicity with sub-totals."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id").withColumn("status", F.when(F.col("quality") == 1, "pass").otherwise("fail"))
+    return evaluate.roll_up(rows, ["lang", "toxic"], ["n_chars"]).withColumns({"avg_n_chars": F.round("avg_n_chars", 4), "lang": F.coalesce("lang", F.lit("all")), "toxic": F.coalesce(F.col("toxic").cast("string"), F.lit("all"))})
+
+
+# ------------------------------------------------------------------ conversations and logs
+
+
+def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.count_if(F.col("role") == "user").alias("n_user"))
+
+
+def recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.latest(table(spark, sf_dir, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role")
+
+
+def summary_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user of the event log, which is as long as a long conversation."""
+    return state.summary_points(table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id")))
+
+
+def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    named = F.when(F.col("event_id") % 3 != 0, F.col("event_id"))
+    log = events.select(F.col("user_id").alias("conv_id"), F.col("event_type").alias("memory_type"), F.lit("value").alias("key"), F.round("value", 4).alias("value"), (F.col("value") / 100).alias("confidence"), named.alias("source_message_id"), F.col("event_id").alias("seq"))
+    return state.upsert_memory(log).select("conv_id", "memory_type", "value", F.round("confidence", 6).alias("confidence"), "source_message_id", "created_seq", "updated_seq")
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_metrics(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+def uncovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no question's evidence names."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(_bm25(spark, sf_dir, LIST), "doc_id", "left_anti")
+
+
+QUERIES = [content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return SQL
