@@ -192,8 +192,8 @@ def tokens(text: Column, most: int = 1600) -> Column:
         triples = F.when(F.length(run) >= 4, _grams(run, 3)).otherwise(empty())
         return F.when(run.rlike(f"^[{CJK}]"), F.concat(short, _grams(run, 2), triples)).otherwise(F.array(run))
 
-    every = F.flatten(F.transform(runs, grown))
-    return F.slice(F.filter(every, lambda t: ~t.isin(fixed.TOKEN_BLOCKED)), 1, most)
+    every = F.filter(F.flatten(F.transform(runs, grown)), lambda t: ~t.isin(fixed.TOKEN_BLOCKED))
+    return F.slice(F.when(sanitize(text).rlike(f"[{CJK}]"), every).otherwise(runs), 1, most)
 
 
 def question_keywords(question: Column) -> Column:

@@ -43,7 +43,7 @@ def cited(answer: Column) -> Column:
 
 def cited_sentences(answers: DataFrame) -> DataFrame:
     """(qid, sentence_no, sentence, citation_id): each sentence with each citation that stands in it in brackets."""
-    parts = F.filter(F.transform(F.split("answer", r"(?<=[。！？.!?])\s+|(?<=。)|(?<=！)|(?<=？)|\n+"), F.trim), lambda s: F.length(s) > 0)
+    parts = F.filter(F.transform(F.split("answer", r"(?<=[。！？.!?])\s+|(?<=。)|(?<=！)|(?<=？)|\n+"), T.strip), lambda s: F.length(s) > 0)
     rows = answers.select("qid", F.posexplode(parts).alias("sentence_no", "sentence"))
     return rows.select("qid", "sentence_no", "sentence", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(r"\[E(\d+)\]"), 1))).alias("n")).select("qid", "sentence_no", "sentence", F.concat(F.lit("E"), "n").alias("citation_id"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import fixed
 from .functions import text as T
 from .operators import chunking, evaluate, fuse, judge, search, state
+from .sources.scratch import saved
 from .streaming import jobs
 
 K = 5
@@ -114,7 +115,7 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    post = search.postings(table(spark, sf_dir, "documents"), "doc_id")
+    post = saved(search.postings(table(spark, sf_dir, "documents"), "doc_id"), "postings")
     n, mean = search.corpus_size(post, "doc_id")
     raw = search.bm25(post, search.query_terms(_questions(spark, sf_dir)), ["doc_id"], n, mean).withColumn("raw", F.round("raw", 6))
     return search.top(raw, k, "qid", F.col("raw"), "doc_id")
@@ -164,7 +165,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse.rrf(_lists(spark, sf_dir), LIST, keys=("doc_id",))
+    return saved(fuse.rrf(_lists(spark, sf_dir), LIST, keys=("doc_id",)), "fused")
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +224,7 @@ def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, doc_id): documents that hold an item's text. Candidates share its rarest token; the text is then looked for."""
     docs, items = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
-    post = search.postings(docs, "doc_id")
+    post = saved(search.postings(docs, "doc_id"), "postings")
     asked = items.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
     df = post.join(search.small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     rare = asked.join(df, "token").groupBy("qid").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
