@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity
+from .pii_sql import OP1_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pii": OP1_SQL,
         "op3_embedding_join": OP3_SQL,
         "op5_chat": OP5_SQL,
         "op7_mixing": OP7_SQL,
