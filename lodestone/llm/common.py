@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,11 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
 
 
 def by_batch(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are cut so that a task holds about 8 MB of input text at once."""
+    """mapInArrow with a function of one batch; batches are cut so that a task holds about 4 MB of input text at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, int(batch.num_rows * 8e6 / max(batch.nbytes, 1)))
+            step = max(1, int(batch.num_rows * 4e6 / max(batch.nbytes, 1)))
             for k in range(0, batch.num_rows, step):
                 if (out := each(batch.slice(k, step))) is not None and out.num_rows:
                     yield out
@@ -64,7 +65,7 @@ _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,7 +75,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: np.uint64) -> np.ndarray:
+@lru_cache(maxsize=2)
+def _powers(base: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(_SEGMENT, base, np.uint64)]), dtype=np.uint64)
 
 
@@ -110,7 +112,7 @@ class Words:
         self.stem = self._hash(arr, np.minimum(self.end, self.start + prefix)) if prefix else None
 
     def _hash(self, arr: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = _powers(_BASE), _powers(_INVERSE)
+        up, down = _powers(int(_BASE)), _powers(int(_INVERSE))
         head, tail = np.zeros(len(self.start), np.uint64), np.zeros(len(end), np.uint64)
         shift = np.zeros(len(self.start), np.uint64)
         total, scale, unscale = np.uint64(0), np.uint64(1), np.uint64(1)
