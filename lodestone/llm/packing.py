@@ -111,7 +111,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def pack(cut: DataFrame, capacity: int = 1024, group_rows: int = 1000) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 1024, group_rows: int = 250) -> DataFrame:
     """The rows of `cut` (saved pieces, of 1 to capacity tokens) with sequence_id and offset.
 
     Only the number of pieces of each length matters for the plan: at most `capacity` counts reach the driver. Pieces of one
