@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions import fixed
+from .operators import questions
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.PHRASE_STOP)
 
@@ -98,7 +99,46 @@ _JUDGED = f"""{_RRF},
      judged AS (SELECT *, round(greatest(0, least(1, exact * 0.55::DOUBLE + ph * 0.3::DOUBLE)), 6) AS relevance FROM found)"""
 _TOKEN_COUNT = rf"(coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*'), lambda w: ceil(length(w) / 4))), 0) + length(regexp_replace(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*|\s+', '', 'g')))::BIGINT"
 
+def _any(text: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+_TRACE = f"""{_JUDGED}, marked AS (SELECT qid, doc_id, rank, score, relevance, {_TABLE} AS table_like FROM judged),
+     open AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS place FROM marked WHERE NOT table_like),
+     picked AS (SELECT qid, doc_id, place AS selected_rank FROM open WHERE place <= 8),
+     traced AS (SELECT m.*, p.selected_rank, min(CASE WHEN p.selected_rank IS NOT NULL THEN score END) OVER (PARTITION BY m.qid) AS lowest FROM marked m LEFT JOIN picked p USING (qid, doc_id)),
+     trace AS (SELECT qid, doc_id, rank::INTEGER AS rank, selected_rank::INTEGER AS selected_rank, CASE WHEN selected_rank IS NOT NULL THEN 'selected' ELSE 'filtered' END AS status,
+                      CASE WHEN selected_rank IS NOT NULL THEN '' WHEN table_like THEN 'table' WHEN relevance < 0.08 AND score < 0.45 THEN 'low_scores' WHEN rank > 8 AND score < lowest THEN 'below_selected' ELSE 'displaced' END AS reason FROM traced)"""
+_ROLES = [("purpose", fixed.STRONG_MARKERS), ("claim", ["result", "evaluation", "tion the"]), ("dataset", ["dataset", "data", "|"])]
+_ROLE_CASES = " UNION ALL ".join(f"SELECT doc_id, '{role}' AS role, {_hits('low', terms)} * 0.35::DOUBLE + {0.35 if role == 'claim' else 0.0}::DOUBLE + {'CASE WHEN n <= greatest(2, floor(total * 0.08)) THEN 0.35::DOUBLE ELSE 0 END' if role == 'purpose' else 'CASE WHEN table_like THEN 0.25::DOUBLE ELSE 0 END' if role == 'claim' else '0'} AS score FROM marked" for role, terms in _ROLES)
+_FLAGS = {"visual": f"({_any('low', questions.VISUAL)} OR ({_any('low', questions.WEAK_VISUAL)} AND NOT ({_any('low', questions.PAIRED)} AND {_any('low', questions.PAIRED_DATA)})))", "table_": _any("low", questions.TABLE), "compare": _any("low", questions.COMPARE), "overview": _any("low", questions.OVERVIEW), "reference": _any("low", questions.REFERENCE), "field": _any("low", questions.FIELD), "meta": _any("low", questions.META)}
+
 SQL = {
+    "question_features": f"""WITH q AS (SELECT conv_id, turn, {_flat('lower(text)')} AS low FROM conversations WHERE role = 'user'),
+     f AS (SELECT conv_id, turn, {', '.join(f'{v} AS {k}' for k, v in _FLAGS.items())} FROM q)
+SELECT conv_id, turn, CASE WHEN reference THEN 'reference_question' WHEN field THEN 'field_lookup_question' WHEN compare THEN 'compare_question' WHEN overview THEN 'document_wide_question' WHEN meta THEN 'meta_question' ELSE 'specific_question' END AS intent,
+       visual, table_ AS "table", compare, overview FROM f""",
+    "query_expansion": f"""WITH {_PHRASES}, six AS (SELECT qid, string_agg(phrase, ' ' ORDER BY n) AS ps FROM kept WHERE n < 6 GROUP BY 1),
+     own AS (SELECT item_id AS qid, {_flat('text')} AS q FROM benchmark)
+SELECT qid, 0::BIGINT AS query_no, md5(q) AS query FROM own UNION ALL SELECT qid, 1, md5(q || ' ' || ps) FROM own JOIN six USING (qid)""",
+    "role_scores": f"""WITH doc AS (SELECT doc_id, source, text, {_flat('text')} AS flat, {_LOW} AS low, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS total FROM documents),
+     marked AS (SELECT *, {_TABLE} AS table_like FROM doc)
+SELECT doc_id, role, round(score, 6) AS score FROM ({_ROLE_CASES}) WHERE score > 0""",
+    "key_terms": f"""WITH t AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM (SELECT doc_id, {_TOKENS.format(_clean('text'))} AS toks FROM documents)),
+     c AS (SELECT doc_id, token, count(*) AS count, min(p) AS first FROM t WHERE length(token) >= 3 GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, first))::INTEGER AS n, token, count FROM c QUALIFY n <= 8""",
+    "selection_trace": f"WITH {_TRACE} SELECT * REPLACE (coalesce(selected_rank, 0) AS selected_rank) FROM trace",
+    "trace_summary": f"WITH {_TRACE} SELECT qid, count(*) AS n_candidates, count(*) FILTER (status = 'selected') AS n_selected, count(*) FILTER (reason = 'table') AS \"table\", count(*) FILTER (reason = 'below_selected') AS below_selected, count(*) FILTER (reason = 'displaced') AS displaced FROM trace GROUP BY 1",
+    "best_quotes": rf"""WITH {_BM25}, top AS (SELECT qid, doc_id FROM bm WHERE rank <= 5), words AS (SELECT qid, list(token) AS ks FROM keyword GROUP BY 1),
+     s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?；;]*[。！？.!?；;]|[^。！？.!?；;]+$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents WHERE doc_id IN (SELECT doc_id FROM top)),
+     e AS (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS n FROM s),
+     m AS (SELECT t.qid, t.doc_id, n, sentence, len(list_filter(ks, lambda k: contains(lower(sentence), k))) AS met FROM top t JOIN words USING (qid) JOIN e ON e.doc_id = t.doc_id),
+     b AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY met DESC, n) AS place FROM m WHERE met > 0 QUALIFY place <= 2)
+SELECT qid, doc_id, md5(string_agg(sentence, ' ' ORDER BY n)) AS quote FROM b GROUP BY ALL""",
+    "opening_documents": "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3",
+    "truncated": rf"""WITH d AS (SELECT doc_id, {_flat('text')} AS flat FROM documents), h AS (SELECT *, flat[:220] AS head FROM d),
+     m AS (SELECT *, list_max(list_transform(['。', '！', '？', '.', ';', ' '], lambda c: CASE WHEN contains(head, c) THEN 220 - strpos(reverse(head), c) ELSE -1 END)) AS spot FROM h)
+SELECT doc_id, CASE WHEN length(flat) <= 220 THEN flat ELSE regexp_replace(flat[:CASE WHEN spot < 121 THEN 220 ELSE spot END], '[ ,，;；.]+$', '') || '...' END AS head FROM m""",
     "content_hash": "SELECT doc_id, sha256(text) AS file_hash, strlen(text)::INTEGER AS n_bytes FROM documents WHERE length(text) > 0 AND strlen(text) <= 83886080",
     "ingest_dedup": "SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1",
     "replace_documents": "SELECT doc_id, length(text)::INTEGER AS n, 'stored' AS version FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages) UNION ALL SELECT page_id, length(html)::INTEGER, 'new' FROM pages",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as T
-from .operators import chunking, evaluate, fuse, judge, search, state
+from .operators import chunking, evaluate, expand, fuse, judge, questions, search, state, trace
 from .sources.scratch import saved
 from .streaming import jobs
 
@@ -284,7 +284,68 @@ def uncovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(_bm25(spark, sf_dir, LIST), "doc_id", "left_anti")
 
 
-QUERIES = [content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
+# ------------------------------------------------------------------ questions, roles, traces
+
+
+def question_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as questions."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", questions.features(F.col("text")).alias("f")).select("conv_id", "turn", "f.intent", "f.visual", "f.table", "f.compare", "f.overview")
+
+
+def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.expand(_questions(spark, sf_dir)).select("qid", F.col("query_no").cast("long").alias("query_no"), F.md5("query").alias("query"))
+
+
+#: Terms of roles are a table that the user gives; this one is enough for invented prose.
+ROLE_TERMS = [("purpose", t) for t in fixed.STRONG_MARKERS] + [("claim", t) for t in ("result", "evaluation", "tion the")] + [("dataset", t) for t in ("dataset", "data", "|")]
+
+
+def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language as one document whose chunks are its documents, in order of their ids."""
+    docs = table(spark, sf_dir, "documents")
+    number = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("chunk_no")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), number, F.lit("Conclusion").alias("section"), "text")
+    out = questions.role_scores(chunks, spark.createDataFrame(ROLE_TERMS, "role string, term string"), ["chunk_id"])
+    return out.select(F.col("chunk_id").alias("doc_id"), "role", F.round("score", 6).alias("score"))
+
+
+def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.key_terms(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = saved(_judged(spark, sf_dir).select("qid", "doc_id", "rank", "score", "relevance", T.is_table(T.sanitize(F.col("text"))).alias("table_like"), F.lit(False).alias("noise")), "judged")
+    picked = fuse.balanced(rows.where("not table_like").select("qid", F.col("doc_id"), "score", F.col("rank").alias("pos")), 8)
+    return trace.selection_trace(rows, picked, 8)
+
+
+def selection_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trace(spark, sf_dir).fillna(0, ["selected_rank"])
+
+
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trace.trace_summary(_trace(spark, sf_dir))
+    return out.select("qid", "n_candidates", "n_selected", *[F.coalesce(F.try_element_at("reasons", F.lit(r)), F.lit(0)).alias(r) for r in ("table", "below_selected", "displaced")])
+
+
+def best_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _bm25(spark, sf_dir, K).select("qid", "doc_id").join(search.small(_questions(spark, sf_dir).select("qid", T.question_keywords(F.col("question")).alias("terms"))), "qid")
+    sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+    return trace.best_quotes(pairs, sentences, "doc_id").select("qid", "doc_id", F.md5("quote").alias("quote"))
+
+
+def opening_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three documents of each source."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_no"))
+    return expand.opening_chunks(rows).select(F.col("doc_id").alias("source"), F.col("chunk_no").alias("doc_id"))
+
+
+def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 220).alias("head"))
+
+
+QUERIES = [question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
