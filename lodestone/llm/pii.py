@@ -89,7 +89,7 @@ def _valued(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 60, support: int = 2, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 60, support: int = 3, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
     """One row per row of docs: row (the input row as a struct), base (spans of each kind), terms, spans, clean_text.
 
     A word of four characters or more discloses an entity if it stands within `near` code points of it in at least `support`

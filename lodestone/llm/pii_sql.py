@@ -22,13 +22,13 @@ WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
      term AS (SELECT DISTINCT h, entity, word FROM (SELECT h, entity, unnest(list_concat(
                   list_transform(regexp_extract_all(' ' || lower(CASE WHEN cut_before THEN regexp_replace(before, '^[^ \x09-\x0D]+', '') ELSE before END), '(?:^|[^\p{L}\p{N}_])(\p{L}[\p{L}\p{N}_]{3,})', 1), lambda w: w),
                   regexp_extract_all(' ' || lower(CASE WHEN cut_after THEN regexp_replace(after, '[^ \x09-\x0D]+$', '') ELSE after END), '(?:^|[^\p{L}\p{N}_])(\p{L}[\p{L}\p{N}_]{3,})', 1))) AS word FROM near)),
-     pair AS (SELECT entity, word, count(*) AS both_ FROM term GROUP BY ALL HAVING count(*) >= 2),
+     pair AS (SELECT entity, word, count(*) AS both_ FROM term GROUP BY ALL HAVING count(*) >= 3),
      entity AS (SELECT entity, count(DISTINCT h) AS n_entity FROM near GROUP BY 1),
      holds AS (SELECT DISTINCT md5(text) AS h, unnest(regexp_extract_all(' ' || lower(text), '(?:^|[^\p{L}\p{N}_])(\p{L}[\p{L}\p{N}_]{3,})', 1)) AS word FROM doc),
      n_word AS (SELECT word, count(*) AS n_word FROM holds WHERE word IN (SELECT word FROM pair) GROUP BY 1),
      size AS (SELECT greatest(2, count(DISTINCT md5(text))) AS n FROM doc),
      disclosing AS (SELECT word FROM pair JOIN entity USING (entity) JOIN n_word USING (word), size WHERE n > n_entity
-                    GROUP BY 1 HAVING max(1 - log2(greatest(n_word, both_) / both_) / log2(n / n_entity)) >= 0.8),
+                    GROUP BY 1 HAVING max(1 - log2(greatest(n_word, both_) / both_) / log2(n / n_entity)) >= 0.9),
      marked AS (SELECT DISTINCT doc_id FROM doc JOIN holds ON holds.h = md5(text) WHERE word IN (SELECT word FROM disclosing)),
      piece AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS parts FROM doc WHERE doc_id IN (SELECT doc_id FROM marked)),
      token AS (SELECT doc_id, unnest(parts) AS value, generate_subscripts(parts, 1) AS k FROM piece),
@@ -37,7 +37,7 @@ WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
               AND NOT EXISTS (SELECT 1 FROM valid v WHERE v.doc_id = s.doc_id AND v.start < s.stop AND s.stop - length(s.value) < v.stop)),
      share AS (SELECT word, max(1 - log2(greatest(n_word, both_) / both_) / log2(n / n_entity)) AS share FROM pair JOIN entity USING (entity) JOIN n_word USING (word), size WHERE n > n_entity GROUP BY 1),
      every AS (SELECT doc_id, start, stop, ord, kind FROM valid
-               UNION ALL SELECT s.doc_id, f.start, f.stop, 4, CASE WHEN sh.share >= 0.95 THEN 'removed' ELSE 'term' END FROM free f JOIN spot s ON s.doc_id = f.doc_id AND s.stop = f.stop JOIN share sh ON sh.word = lower(s.value))
+               UNION ALL SELECT s.doc_id, f.start, f.stop, 4, CASE WHEN sh.share >= 0.97 THEN 'removed' ELSE 'term' END FROM free f JOIN spot s ON s.doc_id = f.doc_id AND s.stop = f.stop JOIN share sh ON sh.word = lower(s.value))
 SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
        sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 4), '')) AS base_sha256,
        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (kind IS NOT NULL), '') AS spans, count(*) FILTER (ord = 4) AS n_term

@@ -20,15 +20,15 @@ def test_base_spans(spark):
 
 def test_disclosing_words(spark):
     common = "the words here stand in every text alike"
-    texts = [f"{common} filler{i} other{i}" for i in range(40)]
+    texts = [f"{common} filler{i} other{i}" for i in range(40)] + [f"{common} more{i}" for i in range(300)]
     texts += [f"{common} Zephyrine jo@x.org note{i}" for i in range(3)]
     texts += [texts[-1]] * 5  # copies count once
     texts += [f"{common} Zephyrine alone", "lonely term4711 once@y.org", "lonely term4711 once@y.org"]
     got = rows(spark, texts)
     assert all(got[i]["n_term"] == 0 for i in range(40))
-    assert got[40]["n_term"] == 1 and "Zephyrine" not in got[40]["clean_text"] and "<email>" in got[40]["clean_text"]
-    assert got[48]["n_term"] == 1 and "Zephyrine" not in got[48]["clean_text"]
-    assert got[49]["n_term"] == 0 and "term4711" in got[49]["clean_text"]
+    assert got[340]["n_term"] == 1 and "Zephyrine" not in got[340]["clean_text"] and "<email>" in got[340]["clean_text"]
+    assert got[348]["n_term"] == 1 and "Zephyrine" not in got[348]["clean_text"]
+    assert got[349]["n_term"] == 0 and "term4711" in got[349]["clean_text"]
 
 
 def test_empty_table(spark):
