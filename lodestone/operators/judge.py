@@ -102,3 +102,30 @@ def relations(cards_: DataFrame, most: int = 12) -> DataFrame:
     kind = F.when(~F.col("l.covered") | ~F.col("r.covered"), "evidence_missing").when(F.size(shared) >= 2, "shared_topic").when(F.size(shared) == 1, "complementary").otherwise("parallel")
     out = pairs.select(F.col("l.qid").alias("qid"), F.col("l.doc_id").alias("source"), F.col("r.doc_id").alias("target"), F.col("l.pos").alias("p"), F.col("r.pos").alias("q"), shared.alias("shared_terms"), kind.alias("relation_type"))
     return out.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("p", "q"))).where(F.col("n") <= most).drop("n", "p", "q")
+
+
+def coverage_gate(rows: DataFrame) -> DataFrame:
+    """Adds `decision` (pass or refuse) and `reason_code`, the first that holds.
+
+    Columns: n_evidence, local_task (a reference or field question), multi_document, n_requested, n_covered, visual, has_image, ocr, has_ocr_text, n_judged,
+    n_supported (direct or supporting), broad, quality, all_weak (every label weak or noise), usable (weak labels that still
+    support), best_relevance, misses_request.
+    """
+    c = F.col
+    rules = [
+        (c("local_task"), "deterministic_local_task", "pass"),
+        (c("n_evidence") == 0, "no_evidence_after_judge", "refuse"),
+        (c("multi_document") & (c("n_requested") > 1) & (c("n_covered") < c("n_requested")), "multi_document_coverage_incomplete", "refuse"),
+        (c("visual") & ~c("has_image"), "missing_visual_evidence", "refuse"),
+        (c("ocr") & ~c("has_ocr_text"), "missing_ocr_text", "refuse"),
+        ((c("n_judged") > 0) & (c("n_supported") == 0) & ~c("broad"), "no_direct_supporting_judgment", "refuse"),
+        (c("quality").isin("none", "weak"), None, "refuse"),
+        (c("all_weak") & ~c("usable"), "all_final_evidence_weak_or_noise", "refuse"),
+        (~c("broad") & (c("n_evidence") == 1) & (c("quality") != "strong") & (c("best_relevance") < 0.18), "single_non_strong_evidence", "refuse"),
+        (c("misses_request"), "missing_requested_direct_evidence", "refuse"),
+    ]
+    code, decision = F.lit("coverage_sufficient"), F.lit("pass")
+    for test, name, verdict_ in reversed(rules):
+        code = F.when(test, F.concat("quality", F.lit("_evidence_quality")) if name is None else F.lit(name)).otherwise(code)
+        decision = F.when(test, verdict_).otherwise(decision)
+    return rows.withColumn("decision", decision).withColumn("reason_code", code)

@@ -51,3 +51,13 @@ def test_first_citation(spark):
     words = F.array(F.lit("alpha"), F.lit("beta"))
     assert trace.first_citation(evidence, words).head()["citation_id"] == "E1"
     assert trace.first_citation(evidence, words, every=True).head()["citation_id"] == "E2"
+
+
+def test_coverage_gate(spark):
+    from lodestone.operators import judge
+
+    good = {"qid": 0, "n_evidence": 3, "local_task": False, "multi_document": False, "n_requested": 1, "n_covered": 1, "visual": False, "has_image": False, "ocr": False, "has_ocr_text": False, "n_judged": 3, "n_supported": 2, "broad": False, "quality": "strong", "all_weak": False, "usable": False, "best_relevance": 0.5, "misses_request": False}
+    cases = [({}, "coverage_sufficient"), ({"n_evidence": 0}, "no_evidence_after_judge"), ({"multi_document": True, "n_requested": 3}, "multi_document_coverage_incomplete"), ({"visual": True}, "missing_visual_evidence"), ({"n_supported": 0}, "no_direct_supporting_judgment"), ({"quality": "weak"}, "weak_evidence_quality"), ({"all_weak": True}, "all_final_evidence_weak_or_noise"), ({"n_evidence": 1, "quality": "medium", "best_relevance": 0.1}, "single_non_strong_evidence"), ({"local_task": True, "n_evidence": 0}, "deterministic_local_task")]
+    rows = spark.createDataFrame([good | change | {"qid": i} for i, (change, _) in enumerate(cases)])
+    got = {r["qid"]: r["reason_code"] for r in judge.coverage_gate(rows).collect()}
+    assert got == {i: code for i, (_, code) in enumerate(cases)}
