@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import fixed
 from .functions import text as T
 from .operators import chunking, evaluate, expand, fuse, judge, questions, search, state, trace
-from .sources.scratch import saved
+from .sources.scratch import saved, spread
 from .streaming import jobs
 
 K = 5
@@ -22,7 +22,8 @@ LIST = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
