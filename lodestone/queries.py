@@ -223,14 +223,27 @@ def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, doc_id): documents that hold an item's text. Candidates share its rarest token; the text is then looked for."""
-    docs, items = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
-    post = saved(search.postings(docs, "doc_id"), "postings")
-    asked = items.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
-    df = post.join(search.small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    rare = asked.join(df, "token").groupBy("qid").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    pairs = post.join(search.small(rare), "token").select("qid", "doc_id")
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(search.small(items), "qid").where(F.contains("text", "question")).select("qid", "doc_id").distinct()
+    """(qid, doc_id): documents that hold an item's text. Candidates share its rarest word; the text is then looked for."""
+    return planted(table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir))
+
+
+def planted(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs of docs (doc_id, text) and items (qid, question) where the text holds the question, wherever it stands.
+
+    Words are those of the texts as they are, whole texts, as the search is. A word at either end of an item may be part of a
+    longer one in a document, so only inner words choose candidates; items without any are looked for in all documents.
+    """
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), 0)
+    inner = F.regexp_replace(F.lower("question"), "^[a-z0-9]+|[a-z0-9]+$", "")
+    asked = items.select("qid", F.explode(F.array_distinct(words(inner))).alias("token"))
+    post = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    post = saved(post.join(search.small(asked.select("token").distinct()), "token", "left_semi"), "held")
+    df = post.groupBy("token").agg(F.count("*").alias("df"))
+    rare = asked.join(df, "token", "left").groupBy("qid").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    pairs = post.join(search.small(rare), "token").select("qid", "doc_id").distinct()
+    found = pairs.join(docs, "doc_id").join(search.small(items), "qid")
+    short = items.join(asked.select("qid").distinct(), "qid", "left_anti")
+    return found.unionByName(docs.crossJoin(search.small(short))).where(F.contains("text", "question")).select("qid", "doc_id").distinct()
 
 
 def planted_gold(spark: SparkSession, sf_dir: str) -> DataFrame:

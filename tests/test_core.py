@@ -250,3 +250,12 @@ def test_relations(spark):
     cards = spark.createDataFrame([(1, i, f"d{i}", True, ["a", "b"] if i < 2 else ["z"]) for i in range(3)], "qid int, pos int, doc_id string, covered boolean, terms array<string>")
     got = {(r["source"], r["target"]): r["relation_type"] for r in judge.relations(cards).collect()}
     assert got == {("d0", "d1"): "shared_topic", ("d0", "d2"): "parallel", ("d1", "d2"): "parallel"}
+
+
+def test_planted_passages_in_tails(spark):
+    from lodestone.queries import planted
+
+    long = "word " * 5000
+    docs = spark.createDataFrame([(1, long + "here stands rare passage whole."), (2, long), (3, "xhere stands rare passagey"), (4, "mail here stands@rare.org passage"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "here stands rare passage"), (2, "stands@rare.org"), (3, "rare"), (4, "nowhere at all here"), (5, None)], "qid long, question string")
+    assert {(r["qid"], r["doc_id"]) for r in planted(docs, items).collect()} == {(1, 1), (1, 3), (2, 4), (3, 1), (3, 3), (3, 4)}
