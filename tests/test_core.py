@@ -259,3 +259,15 @@ def test_planted_passages_in_tails(spark):
     docs = spark.createDataFrame([(1, long + "here stands rare passage whole."), (2, long), (3, "xhere stands rare passagey"), (4, "mail here stands@rare.org passage"), (5, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "here stands rare passage"), (2, "stands@rare.org"), (3, "rare"), (4, "nowhere at all here"), (5, None)], "qid long, question string")
     assert {(r["qid"], r["doc_id"]) for r in planted(docs, items).collect()} == {(1, 1), (1, 3), (2, 4), (3, 1), (3, 3), (3, 4)}
+
+
+def test_lsh_recall_of_every_fiftieth(spark, tmp_path):
+    from lodestone import queries
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 64)) + rng.normal(size=(6, 64))[rng.integers(0, 6, 1500)] * 0.5
+    rows = [(i, v.tolist(), None if i % 3 == 0 else i % 6) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = lambda df: {(r["qid"], r["item_id"]) for r in df.collect() if r["qid"] != r["item_id"]}
+    exact, near = pairs(search.dense_top_k(*queries._every_fiftieth(spark, str(tmp_path)), 5)), pairs(queries.lsh_top5(spark, str(tmp_path)))
+    assert {q for q, _ in near} == set(range(0, 1500, 50)) and len(near & exact) / len(exact) >= 0.9
