@@ -57,15 +57,17 @@ def _before(words: Words, keys: np.ndarray) -> np.ndarray:
 
 
 def ngram_counts(rows: DataFrame) -> DataFrame:
-    """(v, w, t, o): of each word w after v, the occurrences in toxic and in ordinary texts. rows: text, y."""
+    """(v, w, t, o, t1, o1): of each word w after v, the occurrences in toxic and in ordinary texts; t1 and o1 in those with
+    `inner` only. rows: text, y, inner (0 or 1)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, y = Words(batch.column(0), STEM_BYTES), batch.column(1).to_numpy()
         keys = _keys(words)
         return pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in (_before(words, keys), keys)), pa.array(y[words.rows()].astype(np.int64))], ["v", "w", "y"])
 
-    found = common.by_batch(rows.select("text", "y"), each, "v long, w long, y long")
-    return found.groupBy("v", "w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
+    found = common.by_batch(rows.select("text", (F.col("y") + 2 * F.col("inner")).alias("y")), each, "v long, w long, y long")
+    y = F.col("y")
+    return found.groupBy("v", "w").agg(F.count_if(y % 2 == 1).alias("t"), F.count_if(y % 2 == 0).alias("o"), F.count_if(y == 3).alias("t1"), F.count_if(y == 2).alias("o1"))
 
 
 def _discount(df: DataFrame) -> tuple[float, float]:
@@ -99,7 +101,7 @@ class Table:
 
 
 class KneserNey:
-    """Both classes' models in tables of bounded size, from ngram_counts.
+    """Both classes' models in tables of bounded size, from saved counts (v, w, t, o).
 
     With q the toxic class's part of an expression's mass, log P(w | v, toxic) - log P(w | v, ordinary) is logit q - logit q0,
     where q0 is the class's part of all words. At each level counts are discounted, and the backoff mass, worth BACKOFF
@@ -108,7 +110,6 @@ class KneserNey:
     """
 
     def __init__(self, counts: DataFrame):
-        counts = common.saved(counts, "ngrams")
         words = common.saved(counts.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")), "unigrams")
         stems = words.groupBy(F.shiftrightunsigned("w", 32).alias("s")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
         n = F.col("t") + F.col("o")
@@ -164,22 +165,32 @@ class Model:
         here = {y: sum(n for (f, x), n in seen.items() if x == y and f != fit_fold) for y in (0, 1)}
         self.counts = self.fit = None
         self.constant = sum(n for (_, y), n in seen.items() if y) / max(1, sum(seen.values()))
-        if not all(here.values()):
+        if not all(sum(n for (_, x), n in seen.items() if x == y) for y in (0, 1)):
             return
-        self.counts = KneserNey(ngram_counts(rows.where(~F.col("fold").isin(held_out, fit_fold))))
+        permitted = rows.where(F.col("fold") != held_out).withColumn("inner", (F.col("fold") != fit_fold).cast("int"))
+        counts = common.saved(ngram_counts(permitted), "ngrams")
         common.release(docs.sparkSession)
-        shared = docs.sparkSession.sparkContext.broadcast(self.counts)
+        self.fit = self._calibrated(rows, counts, fit_fold, sum(n for (f, _), n in seen.items() if f == fit_fold)) if all(here.values()) else None
+        # what scores is counted over all permitted folds
+        self.counts = KneserNey(counts.select("v", "w", "t", "o"))
+        common.release(docs.sparkSession)
+
+    def _calibrated(self, rows: DataFrame, counts: DataFrame, fit_fold: int, there: int) -> learning.Logistic | None:
+        """The fit on the rows of a fold that a model from the other permitted folds hasn't seen."""
+        inner = KneserNey(counts.where("t1 + o1 > 0").select("v", "w", F.col("t1").alias("t"), F.col("o1").alias("o")))
+        common.release(rows.sparkSession)
+        shared = rows.sparkSession.sparkContext.broadcast(inner)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = shared.value.features(batch.column(0))
             return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-        there = sum(n for (f, _), n in seen.items() if f == fit_fold)
         got = common.by_batch(learning.sample(rows.where(F.col("fold") == fit_fold), there, FIT_ROWS).select("text", "y"), each, "x array<double>, y int").toArrow()
         shared.unpersist()  # workers drop this copy before they get the whole model
         y = got["y"].to_numpy()
         if len(y) and 0 < y.sum() < len(y):
-            self.fit = learning.Logistic(np.array(got["x"].to_pylist()), y)
+            return learning.Logistic(np.array(got["x"].to_pylist()), y)
+        return None
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.counts is None:

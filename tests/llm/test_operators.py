@@ -340,3 +340,19 @@ def test_word_hashes(n):
 
 def test_kept_sha_is_of_kept_words():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_toxicity_counts_the_calibration_fold(spark):
+    import pyarrow as pa
+
+    from lodestone.llm import toxicity
+    from lodestone.llm.common import Words
+
+    rng = random.Random(4)
+    fold = [zlib.crc32(str(i).encode()) % 4 for i in range(400)]
+    toxic = [i % 3 == 0 for i in range(400)]
+    texts = [" ".join(rng.choices(WORDS, k=20) + (["zorgly"] + rng.choices(WORDS, k=3) + ["quibblex" if fold[i] == 3 else "blarg"] if toxic[i] else [])) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(toxic[i])) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.Model(documents(spark, texts), labels)
+    evidence = lambda word: model.counts.evidence(Words(pa.array([word]), toxicity.STEM_BYTES))[0]
+    assert model.fit is not None and evidence(b"zorgly") > 1 and evidence(b"quibblex") > 1 and abs(evidence(b"unheardof")) < 1e-3
