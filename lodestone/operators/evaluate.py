@@ -36,7 +36,7 @@ def document_coverage(expected: Column, found: Column, required: Column) -> Colu
     return F.when(F.size(expected) > 0, named).when(required > 0, F.least(F.lit(1.0), F.size(F.array_distinct(found)) / required)).otherwise(1.0)
 
 
-#: Checks of the two kinds of cases, in order, with the category that a failure counts under.
+#: Checks of smoke cases, in order, with the category that a failure counts under.
 SMOKE = {"answer_completed": "answer_generation_failure", "evidence_present": "no_evidence", "citation_linked": "citation_missing", "document_match": "wrong_document", "evidence_keywords": "evidence_keyword_missing", "answer_keywords": "answer_keyword_missing", "refusal_when_expected": "refusal_missing", "embedding_not_fallback": "embedding_fallback"}
 
 
