@@ -4,22 +4,55 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting: drop a query's shuffle files when the query has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a temporary folder where that is unset): computed once, read often."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
+
+def folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, below spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster no folder of one machine will do, so it raises.
+    """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        shared = sc.getCheckpointDir()
+    return f"{shared}/lodestone-{sc.applicationId}"
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries run within are dropped as each ends: what it wrote is in a table by then."""
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, read often, and whole even if executors are lost."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with short_lived_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when no result is to be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if it comes in fewer partitions, as one small file does; large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
