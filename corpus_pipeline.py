@@ -40,14 +40,21 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the target mix reads: whole documents, and of each source's last one the first words."""
+    """What the target mix reads: whole documents, and of each source's last one the first words.
+
+    Rows that share an id (repeated rows too) are one unit of the seeded order; ties of that order go by id. A document that
+    several epochs read is there once for each.
+    """
     out = mixing.mix(docs, domain_of_source(), MIX)
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("take").cast("int")), " ")
     return out.select(_with_text(docs.columns, F.when(F.col("take") < F.col("tokens"), first).otherwise(F.col("row.text"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Repeated rows are packed each. Pieces of one length are interchangeable; their order is by hash part, id, piece and CRC.
+    """
     return packing.pack_documents(docs)
 
 
@@ -61,5 +68,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = common.saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        common.release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
