@@ -1,46 +1,22 @@
-"""What several training-data operators share: scratch tables, word hashing, connected components."""
+"""What several training-data operators share: checked broadcasts, word hashing, connected components."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import saved
+
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it again: lineage ends here and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose DataFrames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a side whose row count was checked against the limit; otherwise Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

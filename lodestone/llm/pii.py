@@ -32,7 +32,6 @@ def _none() -> Column:
     return F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, stop: INT, value: STRING>>)")
 
 
-
 def find(text: Column, pattern: Column) -> Column:
     """array<struct<start, stop, value>>: all matches from left to right, in code points."""
     steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, pattern, 0).alias("value"))
@@ -89,12 +88,18 @@ def _valued(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
 
 
+def generalised(word: Column) -> Column:
+    """The class that a word is generalised to."""
+    return F.when(word.rlike(r"\p{N}"), "<code>").when(word.rlike(r"^\p{Lu}+$"), "<acronym>").when(word.rlike(r"^\p{Lu}"), "<name>").otherwise("<word>")
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 60, support: int = 3, generalise: float = 0.9, remove: float = 0.97) -> DataFrame:
     """One row per row of docs: row (the input row as a struct), base (spans of each kind), terms, spans, clean_text.
 
     A word of four characters or more discloses an entity if it stands within `near` code points of it in at least `support`
     distinct texts and its share of the entity's information reaches `generalise`; it then counts wherever it stands. In
-    clean_text a protected entity becomes its kind in angle brackets, a disclosing word <term>, or nothing from `remove` on.
+    clean_text a protected entity becomes its kind in angle brackets; a disclosing word is generalised to its class (<code>
+    with a digit, <acronym> all in capitals, <name> with a capital first, <word> otherwise), or goes from `remove` on.
     Copies of a text count once, near copies each. Null texts count as empty; ids may be null or repeat (texts are known by
     their hash); other columns are carried along whatever their names.
     """
@@ -117,20 +122,27 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
 
     about = F.transform("base", lambda s: F.struct(F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))).alias("entity"), around(s).alias("words")))
     near_by = common.saved(hits.select("h1", "h2", F.inline(about)), "near")
-    pairs = near_by.select("h1", "h2", "entity", F.explode("words").alias("word")).distinct().groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = common.saved(pairs, "pairs")
-    entities = near_by.select("h1", "h2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-
-    # how many texts hold each of these words at all; a copy counts as its part of the text that it repeats
     copies = common.saved(own.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     once = own.join(common.small_side(copies, copies.count()), ["h1", "h2"], "left").withColumn("part", 1 / F.coalesce("copies", F.lit(1)))
+    total = once.agg(F.round(F.sum("part"))).head()[0] or 0  # distinct texts: a copy counts as its part of the text that it repeats
+    whole = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
+
+    # a share of g asks for n(t) <= n(e, t) (N / n(e)) ** (1 - g), and n(t) is at least the number of texts that have t near
+    # any entity at all: pairs beyond that can't disclose, whatever n(t) is, and their words need no counting
+    entities = near_by.select("h1", "h2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    beside = near_by.select("h1", "h2", "entity", F.explode("words").alias("word")).distinct()
+    pairs = beside.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    near_any = beside.select("h1", "h2", "word").distinct().groupBy("word").agg(F.count("*").alias("near_any"))
+    most = F.col("both") * F.pow(F.lit(2.0), (1 - generalise) * whole) * (1 + 1e-9)
+    pairs = pairs.join(entities, "entity").where(whole > 0).join(near_any, "word").where(F.col("near_any") <= most).select("entity", "word", "both", "n_entity")
+    pairs = common.saved(pairs, "pairs")
+
+    # how many texts hold each word that is left
     wanted = common.saved(pairs.select("word").distinct(), "wanted")
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("word")
     n_word = once.select("part", words).join(common.small_side(wanted, wanted.count()), "word", "left_semi").groupBy("word").agg(F.round(F.sum("part")).alias("n_word"))
-    total = once.agg(F.round(F.sum("part"))).head()[0] or 0
-    whole = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = 1 - F.log2(F.greatest("n_word", "both") / F.col("both")) / whole
-    disclosing = pairs.join(entities, "entity").join(n_word, "word").where(whole > 0).groupBy("word").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
+    disclosing = pairs.join(n_word, "word").groupBy("word").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
     disclosing = common.saved(disclosing, "disclosing")
     holds = own.select("h1", "h2", words).join(common.small_side(disclosing, disclosing.count()), "word").distinct()
     marked = common.saved(holds.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("word", "share"))).alias("shares")), "marked")
@@ -144,7 +156,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
     out = out.withColumn("terms", F.when(F.col("shares").isNull(), F.filter("base", lambda b: F.lit(False))).otherwise(free))
 
     def add(state: Column, s: Column) -> Column:
-        new = F.array_append(state["parts"], F.concat(F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))))
+        own = F.substr(F.col("text"), s["start"] + 1, s["stop"] - s["start"])
+        shown = F.when(s["kind"] == "removed", "").when(s["kind"] == "term", generalised(own)).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
+        new = F.array_append(state["parts"], F.concat(F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"]), shown))
         ahead = s["start"] >= state["at"]
         return F.struct(F.when(ahead, s["stop"]).otherwise(F.greatest(state["at"], s["stop"])).alias("at"), F.when(ahead, new).otherwise(state["parts"]).alias("parts"))
 

@@ -113,10 +113,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     named = docs.where("doc_id is not null and text is not null")
     shared = common.saved(shared_anchors(named, window, period), "anchors")
-    common.release(spark)  # the largest shuffle is over
     table = spark.sparkContext.broadcast(anchor_filter(shared))
     firsts = common.saved(first_windows(named, window, period, table), "firsts")
-    common.release(spark)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, start, w = _windows(batch, window, period, table.value)

@@ -169,16 +169,13 @@ class Model:
             return
         permitted = rows.where(F.col("fold") != held_out).withColumn("inner", (F.col("fold") != fit_fold).cast("int"))
         counts = common.saved(ngram_counts(permitted), "ngrams")
-        common.release(docs.sparkSession)
         self.fit = self._calibrated(rows, counts, fit_fold, sum(n for (f, _), n in seen.items() if f == fit_fold)) if all(here.values()) else None
         # what scores is counted over all permitted folds
         self.counts = KneserNey(counts.select("v", "w", "t", "o"))
-        common.release(docs.sparkSession)
 
     def _calibrated(self, rows: DataFrame, counts: DataFrame, fit_fold: int, there: int) -> learning.Logistic | None:
         """The fit on the rows of a fold that a model from the other permitted folds hasn't seen."""
         inner = KneserNey(counts.where("t1 + o1 > 0").select("v", "w", F.col("t1").alias("t"), F.col("o1").alias("o")))
-        common.release(rows.sparkSession)
         shared = rows.sparkSession.sparkContext.broadcast(inner)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
