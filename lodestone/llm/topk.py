@@ -1,9 +1,11 @@
 """Exact top-k inner products by no-random-access (NRA) aggregation over sorted component lists.
 
-Each component is a list of candidates sorted by it, read from the top for queries whose own component is positive and from
-the bottom where it is negative. After a depth every candidate has an upper bound (unread entries count as the last one read)
-and a lower bound (unread entries count as the list's worst). A candidate whose upper bound is below the k-th best lower
-bound can't qualify. Blocks of queries meet blocks of candidates, so a bound for all of them is a product of two matrices.
+Each component of the candidates is a sorted list, read from the end that a query's own component favours. A query reads its
+heaviest lists first, each in two sequential parts: down to the middle entry, then the rest. An entry that isn't read yet is at
+most the last one read of its list; lists not begun are bounded together by what a candidate's norm leaves (Cauchy-Schwarz). So
+each candidate has a lower and an upper bound. One whose upper bound is below the k-th best lower bound can't qualify: nothing of
+it is read any more. The k-th bound is carried from block to block. Reading stops for a block when no candidate is left, and
+what is left when all lists are read has its final score.
 """
 
 from __future__ import annotations
@@ -13,57 +15,81 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-
-#: Shares of each list that are read before bounds are compared; the last resolves what is left.
-DEPTHS = (1 / 16, 1 / 4)
-#: Of all pairs, the share of open ones below which their scores are resolved one by one.
-FEW = 0.05
-
-
-def best(query: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, item row, score) of at least the k best items of every query, ties included; integers in, integers out."""
-    n = len(items)
-    top = (float(np.abs(query).max(initial=0)) * float(np.abs(items).max(initial=0))) * max(1, query.shape[1])
-    if top >= 2**53:  # too large for exact floating point
-        return tuple(np.indices((len(query), n)).reshape(2, -1)) + ((query.astype(object) @ items.T.astype(object)).reshape(-1),)
-    kind = np.float32 if top < 2**24 else np.float64
-    v, up, down = items.astype(kind), np.maximum(query, 0).astype(kind), np.minimum(query, 0).astype(kind)
-    alive = np.arange(n)
-    if n > 4 * k:
-        ordered = np.sort(v, axis=0)
-        for depth in DEPTHS:
-            read = max(1, int(n * depth))
-            high, low = ordered[n - read], ordered[read - 1]
-            worst = up @ np.where(v[alive] >= high, v[alive], ordered[0]).T + down @ np.where(v[alive] <= low, v[alive], ordered[-1]).T
-            bound = np.partition(worst, worst.shape[1] - k, axis=1)[:, worst.shape[1] - k]
-            most = up @ np.maximum(v[alive], high).T + down @ np.minimum(v[alive], low).T
-            open_ = most >= bound[:, None]
-            if open_.sum() <= FEW * open_.size:
-                q, i = np.nonzero(open_)
-                score = np.concatenate([np.einsum("ij,ij->i", query[q[s : s + 65536]].astype(np.int64), items[alive[i[s : s + 65536]]].astype(np.int64)) for s in range(0, len(q), 65536)])
-                return q, alive[i], score
-            alive = alive[open_.any(axis=0)]
-    score = query.astype(kind) @ v[alive].T
-    if len(alive) > k:
-        bound = np.partition(score, len(alive) - k, axis=1)[:, len(alive) - k]
-        q, i = np.nonzero(score >= bound[:, None])
-    else:
-        q, i = np.indices(score.shape).reshape(2, -1)
-    return q, alive[i], score[q, i].astype(np.int64)
-
-
-def matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of one packed block of structs (id, v)."""
-    ids, v = rows.flatten()[:2]
-    return ids.to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-
-
-def packed(rows: DataFrame, size: int, *keys: str) -> DataFrame:
-    """Rows (keys, id, v) gathered into blocks (keys, block, rows) of about `size` vectors, dealt by a hash of the id."""
-    blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("blocks"))
-    spread = F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1)))
-    return rows.join(blocks, list(keys)).groupBy(*keys, spread.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+#: Lists that are read together between two comparisons of the bounds, and candidates in a block.
+STEP, BLOCK = 16, 4096
+
+
+class Lists:
+    """The sorted lists of a block of candidates, kept as columns with their middle and last entries, and the norms."""
+
+    def __init__(self, ids: np.ndarray, items: np.ndarray):
+        self.ids, self.v = ids, np.ascontiguousarray(items.T, dtype=np.float64)
+        ordered = np.sort(self.v, axis=1)
+        n = ordered.shape[1]
+        self.middle = np.stack([ordered[:, (n - 1) // 2], ordered[:, n // 2]])  # read upwards, read downwards
+        self.ends = np.stack([ordered[:, 0], ordered[:, -1]])
+        self.norms = (self.v * self.v).sum(axis=0)
+
+
+def aggregate(qid: int, query: np.ndarray, lists: Lists, k: int, bound: float) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(places, scores, bound, entries read): candidates of a block that may be among the k best, with exact scores.
+
+    `bound` is a score that k candidates are known to reach; it comes back as what this block has raised it to. Rows with the
+    query's own id are no candidates.
+    """
+    open_ = np.flatnonzero(lists.ids != qid)
+    score, left, read = np.zeros(len(open_)), lists.norms[open_], 0
+    order = np.argsort(-np.abs(query) * (lists.ends[1] - lists.ends[0]), kind="stable")
+    for start in range(0, len(order), STEP):
+        some, rest = order[start : start + STEP], np.sqrt((query[order[start + STEP :]] ** 2).sum()) * (1 + 1e-12)
+        if not len(open_):
+            break
+        w, v = query[some], lists.v[np.ix_(some, open_)]
+        # the first part, down to the middle entry: what isn't met there counts as that entry
+        side = np.where(w > 0, 1.0, -1.0)[:, None]
+        last = np.where(w > 0, lists.middle[1][some], lists.middle[0][some])[:, None]
+        toward, least = v * side, last * side
+        met = toward >= least
+        keep = score + np.einsum("i,ij->j", np.abs(w), np.maximum(toward, least)) + rest * np.sqrt(left) >= bound - 1e-6
+        read += np.count_nonzero(met)
+        if not keep.all():
+            open_, score, left, v, met = open_[keep], score[keep], left[keep], v[:, keep], met[:, keep]
+        read += met.size - np.count_nonzero(met)  # the second part, for what is still open
+        score, left = score + np.einsum("i,ij->j", w, v), np.maximum(left - np.einsum("ij,ij->j", v, v), 0)
+        slack = rest * np.sqrt(left)
+        if len(open_) >= k:
+            bound = max(bound, np.partition(score - slack, len(open_) - k)[len(open_) - k])
+        keep = score + slack >= bound - 1e-6
+        open_, score, left = open_[keep], score[keep], left[keep]
+    return open_, score, bound, read
+
+
+def nearest(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(query ids, item ids, scores, share of list entries read): each query's k best items, ties to the smaller id."""
+    top = (float(np.abs(queries).max(initial=0)) * float(np.abs(items).max(initial=0))) * max(1, queries.shape[1])
+    blocks = [Lists(ids[at : at + BLOCK], items[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)] if top < 2**53 else []
+    found, read = [], 0
+    for qid, query in zip(qids, queries, strict=True):
+        if top < 2**53:
+            got, bound = [], -np.inf
+            for lists in blocks:
+                at, score, bound, more = aggregate(qid, query.astype(float), lists, k, bound)
+                got.append((lists.ids[at], score.astype(np.int64)))
+                read += more
+            near, score = (np.concatenate(x) for x in zip(*got, strict=True))
+        else:  # too large for exact floating point: whole numbers of any size
+            other = ids != qid
+            near, score = ids[other], np.array([sum(int(a) * int(b) for a, b in zip(query, v)) for v in items[other]], object)
+            read += items.size
+        first = np.lexsort((near, -score))[:k]
+        found.append((np.full(len(first), qid), near[first], score[first]))
+    share = read / max(1, len(qids) * items.size)
+    return (*(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 3)), share)
+
+
+def matrix(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and vectors of one length as rows."""
+    return ids.to_numpy(), vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
 def finite(vector: Column) -> Column:
@@ -71,39 +97,29 @@ def finite(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, query_block: int = 1024, item_block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, query_rows: int = 1024, item_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows by the inner product of floor(scale * x).
 
     Ties go to the smaller id. Vectors that are null, empty or hold a null or non-finite component, and rows without an id,
-    take no part; vectors of different lengths aren't compared. Rows that repeat an id are candidates each, and one query
-    (the one whose vector sorts first). A block of queries meets every block of candidates once, in a task of its own.
+    take no part; vectors of different lengths aren't compared. Rows that repeat an id are candidates each (not of their own
+    id's query), and one query (the one whose vector sorts first). Parts of about query_rows queries and item_rows candidates
+    meet once, each pair in a task of its own, so a row is sent once for each part of the other side; k rows a query come back.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = vectors.where(F.col(id_col).isNotNull() & finite(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.size(vector_col).alias("dims"), is_query.alias("asks"))
-    items = packed(rows, item_block, "dims")
     asked = rows.where("asks").groupBy("id").agg(F.min(F.struct("dims", "v")).alias("row")).select("id", "row.v", "row.dims")
-    queries = packed(asked, query_block, "dims").withColumnRenamed("rows", "queries").withColumnRenamed("block", "query_block")
-    queries = common.saved(queries, "queries")
-    turns = queries.groupBy("dims").agg(F.count("*").alias("turns"))
-    pairs = items.join(turns, "dims").select("dims", "rows", F.explode(F.expr("sequence(0L, turns - 1)")).alias("turn"))
-    numbered = queries.withColumn("turn", (F.row_number().over(Window.partitionBy("dims").orderBy("query_block")) - 1).cast("long"))
-    pairs = pairs.join(numbered.hint("shuffle_hash"), ["dims", "turn"]).select("queries", "rows")
-
-    def each(batches):
-        for batch in batches:
-            for asked, given in zip(batch.column(0), batch.column(1), strict=True):
-                qid, query = matrix(asked.values)
-                iid, item = matrix(given.values)
-                q, i, score = best(query, item, k + 1)  # one more, for the query's own row
-                other = qid[q] != iid[i]
-                q, i, score = q[other], i[other], np.asarray(score)[other]
-                order = np.lexsort((iid[i], -score, q))
-                q, i, score = q[order], i[order], score[order]
-                first = np.searchsorted(q, np.arange(len(query)))
-                keep = np.arange(len(q)) - first[q] < k
-                yield pa.RecordBatch.from_arrays([pa.array(qid[q[keep]], pa.int64()), pa.array(iid[i[keep]], pa.int64()), pa.array(score[keep], pa.int64())], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(each, "query_id long, vec_id long, score long")
+    parts = rows.groupBy("dims").agg(F.ceil(F.count("*") / item_rows).alias("groups"), F.greatest(F.ceil(F.count_if("asks") / query_rows), F.lit(1)).alias("turns"))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    items = rows.join(parts, "dims").select("dims", "id", "v", dealt("groups").alias("part"), each_of("turns").alias("turn"))
+    queries = asked.join(parts, "dims").select(F.col("dims").alias("q_dims"), dealt("turns").alias("q_turn"), each_of("groups").alias("q_part"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
+
+    def meet(asks: pa.Table, given: pa.Table) -> pa.Table:
+        if not asks.num_rows or not given.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+        q, i, score, _ = nearest(*matrix(asks.column("q_id"), asks.column("q_v")), *matrix(given.column("id"), given.column("v")), k)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(score, pa.int64())})
+
+    found = queries.groupBy("q_dims", "q_turn", "q_part").cogroup(items.groupBy("dims", "turn", "part")).applyInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-

@@ -206,22 +206,29 @@ def test_top_k(spark):
     for q in (i for i in good if i % 4 == 0):
         best = sorted(((-score(good[q], v), i) for i, v in good.items() if i != q and len(v) == len(good[q])))[:5]
         want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    got = topk.top_k(df, F.col("vec_id") % 4 == 0, k=5, query_block=4, item_block=24)
+    got = topk.top_k(df, F.col("vec_id") % 4 == 0, k=5, query_rows=4, item_rows=24)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 4 == 0).count() == 0
 
 
-def test_no_random_access_bounds():
+def test_no_random_access_bounds(monkeypatch):
+    """The result is exact, and bounds spare reading: little of the lists is read where vectors have clusters."""
+    monkeypatch.setattr(topk, "BLOCK", 512)
     rng = np.random.default_rng(0)
-    items = rng.integers(-30, 30, (500, 16))
-    items[:40] = items[0] + rng.integers(-1, 2, (40, 16))
-    query = items[:5]
-    q, i, s = topk.best(query, items, 20)
-    for row in range(5):
-        exact = query[row] @ items.T
-        mine = {k for a, k in zip(q, i) if a == row}
-        assert set(np.flatnonzero(exact >= np.sort(exact)[-20])) <= mine
-    assert all(s[k] == query[q[k]] @ items[i[k]] for k in range(len(q)))
+    centres = rng.normal(size=(40, 64)) * 8
+    share = {}
+    for name, items in {"clusters": np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64))), "random": np.floor(rng.normal(size=(4000, 64)) * 8)}.items():
+        items, ids = items.astype(np.int64), rng.permutation(4000)
+        items[7], ids[8] = items[9], ids[9]  # a tie, and an id twice
+        q, i, s, share[name] = topk.nearest(ids[:12], items[:12], ids, items, 20)
+        for a in range(12):
+            exact = items @ items[a]
+            want = sorted((-int(x), int(n)) for x, n in zip(exact, ids) if n != ids[a])[:20]
+            assert [(-int(x), int(n)) for x, n in zip(s[q == ids[a]], i[q == ids[a]])] == want or a in (8, 9)
+    assert share["clusters"] < 0.6 and share["random"] < 0.65
+    big = np.array([[2**40, 1], [2**40, 2], [1, 2**41]])
+    q, i, s, _ = topk.nearest(np.array([0]), big[:1], np.array([0, 1, 2]), big, 1)
+    assert (i[0], s[0]) == (1, 2**80 + 2)
 
 
 def test_chat_pairs(spark):
