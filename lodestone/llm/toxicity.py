@@ -1,13 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
-Each class has a bigram model that backs off to a unigram model of continuation counts, then to the first bytes of a word
-(its stem), and there to counts that both classes share. What neither class has seen thus says nothing for either. A text's
-evidence is the difference of its log-likelihoods under the two classes for each word, over the whole text and over its most
-toxic windows; a logistic fit on labelled rows outside the counts turns that into a score.
+There is a model of toxic and one of ordinary texts, each with its own counts, discounts and context sums. P(w | v, class) is
+the class's discounted count of w after v, plus backoff mass, over the class's sum for the context v; an expression that
+neither class has after v backs off to P(w | class), from the numbers of words that w follows, and a word that neither has to
+its stem (its first bytes), where all words of a stem share their counts. Backoff mass is worth the same number of
+occurrences in both classes and split between them as the next shorter expression is: what is rare in either class says little
+more than what it shares with other words.
+
+A text's evidence is its log-likelihood under one model less that under the other, of the expressions for which this exceeds
+MARGIN nats, per word of the text, so that long ordinary passages don't hide others. One logistic curve, fitted on labelled rows
+that its counts don't hold, makes that a score.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,13 +25,12 @@ from . import common, learning
 from .common import Words, mix
 
 STEM_BYTES = 5
-#: Words of the windows, and margins over which evidence counts alone (so that much ordinary text doesn't hide a little else).
-WINDOWS, MARGINS = (10, 30, 60), (1.0, 2.5)
-#: Occurrences that an expression's backoff is worth.
-BACKOFF = 10.0
-#: Entries of each level's table in the scoring model. Where more n-grams were counted, the count from which an n-gram is kept
-#: (the cut-off of a Kneser-Ney model, 2 at least for what only one text shows) rises until they fit; counting is never cut.
-MODEL_ENTRIES = 4_000_000
+#: Log-likelihood ratio of one expression that counts as none, and the most that counts.
+MARGIN, MOST = 1.0, 8.0
+#: Occurrences that the backoff mass of a word and of a pair of words is worth.
+WORD_BACKOFF, PAIR_BACKOFF = 10.0, 300.0
+#: Entries of a model that one pass over the texts holds; a larger model takes several passes, and no entry is left out.
+PASS_ENTRIES = 4_000_000
 #: Labelled rows that the logistic fit takes at most.
 FIT_ROWS = 50_000
 _MARKS = ".,;:!?\"()[]{}<>|*#%&$_~`^=+"
@@ -70,20 +77,43 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("v", "w").agg(F.count_if(y % 2 == 1).alias("t"), F.count_if(y % 2 == 0).alias("o"), F.count_if(y == 3).alias("t1"), F.count_if(y == 2).alias("o1"))
 
 
-def _discount(df: DataFrame) -> tuple[float, float]:
-    """Of a level: Kneser-Ney's discount n1 / (n1 + 2 n2), and the toxic class's share of its counts."""
-    n = F.col("t") + F.col("o")
-    out = df.agg(F.count_if(n == 1).alias("n1"), F.count_if(n == 2).alias("n2"), F.sum("t").alias("t"), F.sum(n).alias("n")).head()
-    return min(0.95, max(0.1, out["n1"] / max(1, out["n1"] + 2 * out["n2"]))), (out["t"] or 0.5) / max(1, out["n"] or 1)
+def _discounts(df: DataFrame) -> dict[str, float]:
+    """Of each class (columns t and o): Kneser-Ney's discount n1 / (n1 + 2 n2), and the sum of its counts."""
+    out = df.agg(*[f.alias(f"{c}{n}") for c in ("t", "o") for n, f in (("1", F.count_if(F.col(c) == 1)), ("2", F.count_if(F.col(c) == 2)), ("_sum", F.sum(c)))]).head()
+    return {c: out[f"{c}1"] / max(1, out[f"{c}1"] + 2 * out[f"{c}2"]) for c in ("t", "o")} | {f"{c}_sum": float(out[f"{c}_sum"] or 0) or 0.5 for c in ("t", "o")}
+
 
+def evidence(counts: DataFrame) -> DataFrame:
+    """(level, key, w, g): of each pair (level 2, with v), word (1) and stem (0) what it adds to a text's evidence.
 
-def _kept(df: DataFrame, weight: Column) -> dict[str, np.ndarray]:
-    """The entries of a level with the least cut-off (2, 4, 8, ...) that keeps at most MODEL_ENTRIES of them, as columns."""
-    cuts = [2**k for k in range(1, 41)]
-    n = df.agg(*[F.count_if(weight >= c).alias(f"n{c}") for c in cuts]).head()
-    cut = next((c for c in cuts if n[f"n{c}"] <= MODEL_ENTRIES), cuts[-1])
-    table = df.where(weight >= cut).toArrow()
-    return {c: table[c].to_numpy() for c in table.column_names}
+    counts: (v, w, t, o). Entries that add what their backoff adds anyway aren't kept, so results don't change by that, and what
+    is kept are the expressions around those that mark one class.
+    """
+    prior, odds = lambda of: F.lit(of["t_sum"] / of["o_sum"]), lambda x: x / (1 + x)
+    gain = lambda x: F.greatest(F.least(x, F.lit(MOST)) - MARGIN, F.lit(0.0)).cast("float")
+    beside = lambda df: common.small_side(df, df.count())
+
+    words = common.saved(counts.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).withColumn("s", F.shiftrightunsigned("w", 32)), "words")
+    d = _discounts(words)
+    share = d["t_sum"] / (d["t_sum"] + d["o_sum"])
+    stems = words.groupBy("s").agg(((F.sum("t") + WORD_BACKOFF * share) / (F.sum(F.col("t") + F.col("o")) + WORD_BACKOFF)).alias("q"))
+    stems = common.saved(stems.withColumn("g0", gain(F.log(F.col("q") / (1 - F.col("q")) / prior(d)))), "stems")
+    mass = lambda c, q, discount, backoff: F.greatest(F.col(c) - discount[c], F.lit(0.0)) + backoff * q
+    ratio = mass("t", F.col("q"), d, WORD_BACKOFF) / mass("o", 1 - F.col("q"), d, WORD_BACKOFF) / prior(d)
+    words = common.saved(words.join(beside(stems), "s").select("w", ratio.alias("ratio"), "g0", gain(F.log(ratio)).alias("g1")), "ratios")
+
+    e = _discounts(counts)
+    q = odds(F.col("ratio") * prior(e))
+    pairs = counts.join(beside(words.drop("g0")), "w").select("v", "w", "g1", mass("t", q, e, PAIR_BACKOFF).alias("t"), mass("o", 1 - q, e, PAIR_BACKOFF).alias("o"))
+    whole = e["t_sum"] + e["o_sum"]
+    contexts = pairs.groupBy("v").agg(((F.sum("t") + PAIR_BACKOFF * e["t_sum"] / whole) / (F.sum("o") + PAIR_BACKOFF * e["o_sum"] / whole)).alias("context"))
+    contexts = common.saved(contexts, "contexts")
+    pairs = pairs.join(beside(contexts), "v").withColumn("g", gain(F.log(F.col("t") / F.col("o") / F.col("context"))))
+    none = F.lit(0).cast("long")
+    found = pairs.where("g <> g1").select(F.lit(2).alias("level"), "v", "w", "g")
+    found = found.union(words.where("g1 <> g0").select(F.lit(1), none, "w", "g1"))
+    # a stem goes with each of its words into whatever pass they take
+    return found.union(stems.where("g0 > 0").select(F.lit(0), none, "s", "g0"))
 
 
 class Table:
@@ -91,7 +121,7 @@ class Table:
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
         order = np.argsort(key)
-        self.key, self.value = key[order], np.clip(value[order], 1e-6, 1 - 1e-6).astype(np.float32)
+        self.key, self.value = key[order], value[order]
 
     def __call__(self, key: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -100,124 +130,112 @@ class Table:
         return np.where(self.key[at] == key, self.value[at], otherwise)
 
 
-class KneserNey:
-    """Both classes' models in tables of bounded size, from saved counts (v, w, t, o).
-
-    With q the toxic class's part of an expression's mass, log P(w | v, toxic) - log P(w | v, ordinary) is logit q - logit q0,
-    where q0 is the class's part of all words. At each level counts are discounted, and the backoff mass, worth BACKOFF
-    occurrences, is one for both classes and split as the next shorter expression splits: so what is rare in either class says
-    little more than its backoff does. Words and stems are counted by continuation: by the words they follow.
-    """
+class Part:
+    """Of `parts` parts of a model, the one for words whose stem falls into it."""
 
-    def __init__(self, counts: DataFrame):
-        words = common.saved(counts.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")), "unigrams")
-        stems = words.groupBy(F.shiftrightunsigned("w", 32).alias("s")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-        n = F.col("t") + F.col("o")
-        self.prior = _discount(words)[1]
-
-        def split(level: dict[str, np.ndarray], discount: float, back: np.ndarray) -> np.ndarray:
-            t, o = np.maximum(level["t"] - discount, 0), np.maximum(level["o"] - discount, 0)
-            return (t + BACKOFF * back) / (t + o + BACKOFF)
-
-        stem = _kept(stems, n)
-        self.stems = Table(stem["s"].view(np.uint64), split(stem, 0.0, np.full(len(stem["s"]), self.prior)))
-        word = _kept(words, n)
-        q = split(word, _discount(words)[0], self.stems(word["w"].view(np.uint64) >> np.uint64(32), np.full(len(word["w"]), self.prior)))
-        self.words = Table(word["w"].view(np.uint64), q)
-        share = _discount(counts)
-        pair = _kept(counts.select("v", "w", "t", "o"), n)
-        w = pair["w"].view(np.uint64)
-        # occurrences are split by the class's part of occurrences, continuations by its part of continuations
-        odds = share[1] / (1 - share[1]) * (1 - self.prior) / self.prior
-        back = self.words(w, np.full(len(w), self.prior))
-        back = back * odds / (back * odds + 1 - back)
-        q = split(pair, share[0], back)
-        self.pairs = Table(_pair(pair["v"].view(np.uint64), w), q / (q + odds * (1 - q)))
+    def __init__(self, entries: pa.Table, part: int, parts: int):
+        self.part, self.parts = np.uint64(part), np.uint64(parts)
+        level, v, w, g = (entries[c].to_numpy() for c in ("level", "v", "w", "g"))
+        v, w = v.view(np.uint64), w.view(np.uint64)
+        self.pairs, self.words, self.stems = (Table(_pair(v[level == k], w[level == k]) if k == 2 else w[level == k], g[level == k]) for k in (2, 1, 0))
 
     def evidence(self, words: Words) -> np.ndarray:
-        """Of each word, log P(word | previous, toxic) - log P(word | previous, ordinary)."""
+        """Of each word what it adds, 0 for words of other parts."""
         keys = _keys(words)
-        q = self.stems(keys >> np.uint64(32), np.full(len(keys), self.prior, np.float32))
-        q = self.pairs(_pair(_before(words, keys), keys), self.words(keys, q))
-        return np.log(q / (1 - q)) - np.log(self.prior / (1 - self.prior))
+        stem = keys >> np.uint64(32)
+        g = self.words(keys, self.stems(stem, np.zeros(len(keys), np.float32)))
+        return np.where(stem % self.parts == self.part, self.pairs(_pair(_before(words, keys), keys), g), 0)
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """Of each text, per word: the evidence, the evidence above two margins, and that of the best windows; also times length."""
+    def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the evidence of this part, and its words."""
         words = Words(texts, STEM_BYTES)
-        e, n, row = np.clip(self.evidence(words), -8, 8), np.diff(words.bound), words.rows()
-        size = np.log1p(n)
-        columns = [np.bincount(row, x, len(n)) / np.maximum(n, 1) for x in (e, *(np.maximum(e - margin, 0) for margin in MARGINS))]
-        total, left = np.concatenate([[0], np.cumsum(e)]), n[row] - words.index()
-        for window in WINDOWS:
-            best, full = columns[0].copy(), np.flatnonzero(left >= window)
-            np.maximum.at(best, row[full], (total[full + window] - total[full]) / window)
-            columns.append(best)
-        return np.column_stack([size, *columns, *(c * size for c in columns)])
+        return np.bincount(words.rows(), self.evidence(words), len(texts)), np.diff(words.bound)
+
+
+class KneserNey:
+    """Both models' comparison, from saved counts (v, w, t, o), in parts that one pass over the texts can hold."""
+
+    def __init__(self, counts: DataFrame):
+        entries = common.saved(evidence(counts), "model")
+        self.parts = max(1, -(-entries.count() // PASS_ENTRIES))
+        stem = F.when(F.col("level") == 0, F.col("w")).otherwise(F.shiftrightunsigned("w", 32))
+        self.entries = entries.withColumn("part", stem % self.parts)
+
+    def part(self, k: int) -> Part:
+        return Part(self.entries.where(F.col("part") == k).drop("part").toArrow(), k, self.parts)
 
 
 class Model:
-    """Kneser-Ney evidence and the fit that makes it a score; a constant where labels of one class are missing."""
+    """The models and the curve that makes their comparison a score; a constant where labels of one class are missing."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2):
         rows = learning.labelled(prepared(docs, id_col, text_col).where("doc_id is not null"), labels, label_col, id_col).withColumn("fold", learning.fold("doc_id", folds))
         fit_fold = (held_out + 1) % folds
         seen = {(r["fold"], r["y"]): r["n"] for r in rows.drop("text").where(F.col("fold") != held_out).groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
-        here = {y: sum(n for (f, x), n in seen.items() if x == y and f != fit_fold) for y in (0, 1)}
-        self.counts = self.fit = None
-        self.constant = sum(n for (_, y), n in seen.items() if y) / max(1, sum(seen.values()))
-        if not all(sum(n for (_, x), n in seen.items() if x == y) for y in (0, 1)):
+        of = lambda y, fit: sum(n for (f, x), n in seen.items() if x == y and (fit is None or (f == fit_fold) == fit))
+        self.model = self.fit = None
+        self.constant = of(1, None) / max(1, sum(seen.values()))
+        if not (of(0, None) and of(1, None)):
             return
         permitted = rows.where(F.col("fold") != held_out).withColumn("inner", (F.col("fold") != fit_fold).cast("int"))
         counts = common.saved(ngram_counts(permitted), "ngrams")
-        self.fit = self._calibrated(rows, counts, fit_fold, sum(n for (f, _), n in seen.items() if f == fit_fold)) if all(here.values()) else None
+        if of(0, False) and of(1, False) and of(0, True) and of(1, True):
+            inner = KneserNey(counts.where("t1 + o1 > 0").select("v", "w", F.col("t1").alias("t"), F.col("o1").alias("o")))
+            fit_rows = learning.sample(rows.where(F.col("fold") == fit_fold), of(0, True) + of(1, True), FIT_ROWS).select(F.col("y").alias("key"), "text")
+            got = densities(fit_rows, inner).toArrow()
+            self.fit = learning.Logistic(got["x"].to_numpy()[:, None], got["key"].to_numpy())
         # what scores is counted over all permitted folds
-        self.counts = KneserNey(counts.select("v", "w", "t", "o"))
+        self.model = KneserNey(counts.select("v", "w", "t", "o"))
+
+    def curve(self, x: Column) -> Column:
+        """The score of a density, on the logistic curve."""
+        slope, middle, start = (self.fit.w[1] / self.fit.scale[0], self.fit.mean[0], self.fit.w[0]) if self.fit is not None else (10.0, 0.2, 0.0)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), float(start) + float(slope) * (x - float(middle))))))
+
 
-    def _calibrated(self, rows: DataFrame, counts: DataFrame, fit_fold: int, there: int) -> learning.Logistic | None:
-        """The fit on the rows of a fold that a model from the other permitted folds hasn't seen."""
-        inner = KneserNey(counts.where("t1 + o1 > 0").select("v", "w", F.col("t1").alias("t"), F.col("o1").alias("o")))
-        shared = rows.sparkSession.sparkContext.broadcast(inner)
+def densities(rows: DataFrame, model: KneserNey) -> DataFrame:
+    """rows (key, text) as (key, x), with the density of each one's evidence. One pass over the texts for each part of the model."""
+
+    def passed(rows: DataFrame, k: int) -> DataFrame:
+        part = rows.sparkSession.sparkContext.broadcast(model.part(k))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = shared.value.features(batch.column(0))
-            return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            total, words = part.value.totals(batch.column(1))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(words)], ["key", "total", "words"])
+
+        return common.by_batch(rows, each, f"key {rows.schema['key'].dataType.simpleString()}, total double, words long")
+
+    if model.parts == 1:
+        out = passed(rows.select("key", "text"), 0)
+    else:
+        rows = common.saved(rows.withColumn("place", F.monotonically_increasing_id()), "numbered")
+        every = reduce(DataFrame.union, [passed(rows.select(F.col("place").alias("key"), "text"), k) for k in range(model.parts)])
+        every = every.groupBy(F.col("key").alias("place")).agg(F.sum("total").alias("total"), F.first("words").alias("words"))
+        out = rows.select("key", "place").join(every, "place")
+    return out.select("key", F.sqrt(F.round(F.col("total") / F.greatest("words", F.lit(1)), 9)).alias("x"))
 
-        got = common.by_batch(learning.sample(rows.where(F.col("fold") == fit_fold), there, FIT_ROWS).select("text", "y"), each, "x array<double>, y int").toArrow()
-        shared.unpersist()  # workers drop this copy before they get the whole model
-        y = got["y"].to_numpy()
-        if len(y) and 0 < y.sum() < len(y):
-            return learning.Logistic(np.array(got["x"].to_pylist()), y)
-        return None
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        if self.counts is None:
-            return np.full(len(texts), self.constant)
-        x = self.counts.features(texts)
-        return self.fit(x) if self.fit is not None else learning.sigmoid(x[:, 1] * 10)
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(key, score) of rows (key, text)."""
+    if model.model is None:
+        return rows.select("key", F.lit(model.constant).cast("double").alias("score"))
+    return densities(rows, model.model).select("key", model.curve(F.col("x")).alias("score"))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1). Labels are learnt from rows whose id isn't in the held-out fold; a score
     looks at the text alone.
 
-    Null texts count as empty; empty texts get the score of no evidence. Rows with a null id are scored and never learnt from.
-    Without labels of both classes every score is the share of toxic labels (0 without labels).
+    Null texts count as empty; empty texts get the score of no evidence. Rows with a null id are scored and never learnt from;
+    rows that repeat an id are scored each and learnt from each. Very long texts are read whole. Without labels of both classes
+    every score is the share of toxic labels (0 without labels).
     """
-    model = docs.sparkSession.sparkContext.broadcast(Model(docs, labels, "toxic", id_col, text_col, folds, held_out))
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(model.value.score(batch.column(1)), float))], ["doc_id", "score"])
-
-    return common.by_batch(prepared(docs, id_col, text_col), each, "doc_id long, score double")
+    model = Model(docs, labels, "toxic", id_col, text_col, folds, held_out)
+    return scored(prepared(docs, id_col, text_col).withColumnRenamed("doc_id", "key"), model).withColumnRenamed("key", "doc_id")
 
 
 def keep_below(docs: DataFrame, labels: DataFrame, limit: float, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the limit; scored where they are, without a join."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(docs, labels, "toxic", id_col, text_col, folds, held_out))
-    whole = docs.select(F.struct("*").alias("row"), prepared_text(text_col).alias("text"))
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = model.value.score(batch.column(1)) < limit
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
-
-    return common.by_batch(whole, each, whole.select("row").schema).select("row.*")
+    """The rows of docs, all columns, whose text scores below the limit; a model of one part scores them where they are."""
+    model = Model(docs, labels, "toxic", id_col, text_col, folds, held_out)
+    out = scored(docs.select(F.struct("*").alias("key"), prepared_text(text_col).alias("text")), model)
+    return out.where(F.col("score") < limit).select("key.*")

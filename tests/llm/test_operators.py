@@ -344,17 +344,80 @@ def test_word_hashes(n):
     assert len(set(same.values())) == len(same)
 
 
-def test_toxicity_counts_the_calibration_fold(spark):
-    import pyarrow as pa
-
-    from lodestone.llm import toxicity
-    from lodestone.llm.common import Words
-
+def toxic_texts():
     rng = random.Random(4)
     fold = [zlib.crc32(str(i).encode()) % 4 for i in range(400)]
     toxic = [i % 3 == 0 for i in range(400)]
-    texts = [" ".join(rng.choices(WORDS, k=20) + (["zorgly"] + rng.choices(WORDS, k=3) + ["quibblex" if fold[i] == 3 else "blarg"] if toxic[i] else [])) for i in range(400)]
-    labels = spark.createDataFrame([(i, int(toxic[i])) for i in range(400)], "doc_id long, toxic int")
-    model = toxicity.Model(documents(spark, texts), labels)
-    evidence = lambda word: model.counts.evidence(Words(pa.array([word]), toxicity.STEM_BYTES))[0]
-    assert model.fit is not None and evidence(b"zorgly") > 1 and evidence(b"quibblex") > 1 and abs(evidence(b"unheardof")) < 1e-3
+    return toxic, [" ".join(rng.choices(WORDS, k=20) + (["zorgly"] + rng.choices(WORDS, k=3) + ["quibblex" if fold[i] == 3 else "blarg"] if toxic[i] else [])) for i in range(400)]
+
+
+def kneser_ney(pairs, texts):
+    """Both classes' models by plain dictionaries: what each word of `texts` adds. pairs: (before, word, class) for each occurrence."""
+    from collections import Counter
+    from math import log
+
+    n = {c: Counter((v, w) for v, w, k in pairs if k == c) for c in (0, 1)}
+    follows = {c: Counter(w for _, w in n[c]) for c in (0, 1)}
+    discount = lambda x: (k := list(x.values())).count(1) / max(1, k.count(1) + 2 * k.count(2))
+    total, cells = {c: sum(follows[c].values()) for c in n}, {c: sum(n[c].values()) for c in n}
+    stems = {c: Counter() for c in n}
+    for c in n:
+        for w, k in follows[c].items():
+            stems[c][w.encode()[:5]] += k
+    share = {c: total[c] / (total[0] + total[1]) for c in n}
+    stem = lambda w, c: (stems[c][w.encode()[:5]] + 10 * share[c]) / (stems[0][w.encode()[:5]] + stems[1][w.encode()[:5]] + 10)
+    word = lambda w, c: max(follows[c][w] - discount(follows[c]), 0) + 10 * stem(w, c)
+    seen = {w for _, w, _ in pairs}
+
+    def ratio(w):
+        return (word(w, 1) / word(w, 0) if w in seen else stem(w, 1) / stem(w, 0)) * total[0] / total[1]
+
+    def pair(v, w, c):
+        odds = ratio(w) * cells[1] / cells[0]
+        return max(n[c][v, w] - discount(n[c]), 0) + 300 * (odds if c else 1) / (1 + odds)
+
+    after = {}
+    for v, w in set(n[0]) | set(n[1]):
+        after.setdefault(v, []).append(w)
+
+    def gain(v, w):
+        x = log(ratio(w))
+        if w in after.get(v, []):
+            context = [sum(pair(v, u, c) for u in after[v]) + 300 * cells[c] / (cells[0] + cells[1]) for c in (0, 1)]
+            x = log(pair(v, w, 1) / pair(v, w, 0) * context[0] / context[1])
+        return max(min(x, 8) - 1, 0)
+
+    return [sum(gain(v, w) for v, w in zip(["", *t.split()], t.split(), strict=False)) / max(1, len(t.split())) for t in texts]
+
+
+def test_toxicity_is_the_two_class_models(spark, monkeypatch):
+    """Equal to plain Python, whatever the number of passes; the calibration fold is counted, too."""
+    from lodestone.llm import toxicity
+
+    toxic, texts = toxic_texts()
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, int(toxic[i])) for i in range(400)], "doc_id long, toxic int")
+    known = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    pairs = [(v, w, int(toxic[i])) for i in known for v, w in zip(["", *texts[i].lower().split()], texts[i].lower().split(), strict=False)]
+    asked = [texts[0].lower(), texts[1].lower(), "zorgly alone quibblex here", "unheardof words only", "", "zorglings blarg ant"]
+    want = kneser_ney(pairs, asked)
+    rows = spark.createDataFrame(list(enumerate(asked)), "key long, text string").selectExpr("key", "CAST(text AS BINARY) AS text")
+    model = toxicity.Model(docs, labels)
+    assert model.fit is not None and want[2] > 0.2 and want[3] == want[4] == 0
+    for most in (4_000_000, 4):
+        monkeypatch.setattr(toxicity, "PASS_ENTRIES", most)
+        parts = toxicity.KneserNey(toxicity.common.saved(toxicity.ngram_counts(toxicity.learning.labelled(toxicity.prepared(docs, "doc_id", "text"), labels, "toxic").where(~F.col("doc_id").isin([i for i in range(400) if i not in known])).withColumn("inner", F.lit(1))).select("v", "w", "t", "o"), "counts"))
+        assert (parts.parts > 1) == (most == 4)
+        got = {r["key"]: r["x"] ** 2 for r in toxicity.densities(rows, parts).collect()}
+        assert [got[k] for k in range(len(asked))] == pytest.approx(want, abs=2e-6)
+
+
+def test_learned_scores_with_repeated_ids_and_long_texts(spark):
+    from lodestone.llm import quality, toxicity
+
+    toxic, texts = toxic_texts()
+    long_ = " ".join(["zorgly blarg"] * 40_000)
+    docs = documents(spark, [*texts, *texts[:5], long_, None], [*range(400), *range(5), None, 900])
+    labels = spark.createDataFrame([(i, int(toxic[i]), 1 - int(toxic[i])) for i in range(400)] + [(1, 1, 0), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(docs, labels).collect()]
+    assert len(got) == 407 and dict(got)[None] > 0.5 and dict(got)[900] < 0.3
+    assert quality.score(docs, labels).count() == 407
