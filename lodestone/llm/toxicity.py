@@ -57,8 +57,9 @@ def _keys(words: Words) -> np.ndarray:
 
 
 def _before(words: Words, keys: np.ndarray) -> np.ndarray:
-    """Of each word the key of the one before it in its text, 0 for the first."""
+    """Of each word 32 bits of the one before it in its text, 0 for the first."""
     v = np.concatenate([[np.uint64(0)], keys[:-1]]) if len(keys) else keys.copy()
+    v &= np.uint64(0xFFFFFFFF)
     v[words.bound[:-1][np.diff(words.bound) > 0]] = 0
     return v
 
@@ -70,9 +71,9 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, y = Words(batch.column(0), STEM_BYTES), batch.column(1).to_numpy()
         keys = _keys(words)
-        return pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in (_before(words, keys), keys)), pa.array(y[words.rows()].astype(np.int64))], ["v", "w", "y"])
+        return pa.RecordBatch.from_arrays([pa.array(_before(words, keys).astype(np.uint32).view(np.int32)), pa.array(keys.view(np.int64)), pa.array(y[words.rows()].astype(np.int64))], ["v", "w", "y"])
 
-    found = common.by_batch(rows.select("text", (F.col("y") + 2 * F.col("inner")).alias("y")), each, "v long, w long, y long")
+    found = common.by_batch(rows.select("text", (F.col("y") + 2 * F.col("inner")).alias("y")), each, "v int, w long, y long")
     y = F.col("y")
     return found.groupBy("v", "w").agg(F.count_if(y % 2 == 1).alias("t"), F.count_if(y % 2 == 0).alias("o"), F.count_if(y == 3).alias("t1"), F.count_if(y == 2).alias("o1"))
 
@@ -93,26 +94,31 @@ def evidence(counts: DataFrame) -> DataFrame:
     gain = lambda x: F.greatest(F.least(x, F.lit(MOST)) - MARGIN, F.lit(0.0)).cast("float")
     beside = lambda df: common.small_side(df, df.count())
 
-    words = common.saved(counts.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).withColumn("s", F.shiftrightunsigned("w", 32)), "words")
-    d = _discounts(words)
-    share = d["t_sum"] / (d["t_sum"] + d["o_sum"])
-    stems = words.groupBy("s").agg(((F.sum("t") + WORD_BACKOFF * share) / (F.sum(F.col("t") + F.col("o")) + WORD_BACKOFF)).alias("q"))
-    stems = common.saved(stems.withColumn("g0", gain(F.log(F.col("q") / (1 - F.col("q")) / prior(d)))), "stems")
     mass = lambda c, q, discount, backoff: F.greatest(F.col(c) - discount[c], F.lit(0.0)) + backoff * q
-    ratio = mass("t", F.col("q"), d, WORD_BACKOFF) / mass("o", 1 - F.col("q"), d, WORD_BACKOFF) / prior(d)
-    words = common.saved(words.join(beside(stems), "s").select("w", ratio.alias("ratio"), "g0", gain(F.log(ratio)).alias("g1")), "ratios")
 
+    # words by the number of words that they follow; one of a single pair is known from that pair's row
+    words = common.saved(counts.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"), F.count("*").alias("n")), "words")
+    d, stem = _discounts(words), F.shiftrightunsigned("w", 32)
+    share = d["t_sum"] / (d["t_sum"] + d["o_sum"])
+    stems = words.groupBy(stem.alias("s")).agg(((F.sum("t") + WORD_BACKOFF * share) / (F.sum(F.col("t") + F.col("o")) + WORD_BACKOFF)).alias("back"))
+    stems = common.saved(stems.withColumn("g0", gain(F.log(F.col("back") / (1 - F.col("back")) / prior(d)))), "stems")
+    ratio = mass("wt", F.col("back"), {"wt": d["t"]}, WORD_BACKOFF) / mass("wo", 1 - F.col("back"), {"wo": d["o"]}, WORD_BACKOFF) / prior(d)
+    by_stem = lambda df: df.join(beside(stems), stem == F.col("s"))
+    rated = by_stem(words.select("w", F.col("t").alias("wt"), F.col("o").alias("wo"))).withColumn("g1", gain(F.log(ratio)))
+
+    # pairs, and contexts by the sums of what follows them; one with a single follower is known from its row
     e = _discounts(counts)
-    q = odds(F.col("ratio") * prior(e))
-    pairs = counts.join(beside(words.drop("g0")), "w").select("v", "w", "g1", mass("t", q, e, PAIR_BACKOFF).alias("t"), mass("o", 1 - q, e, PAIR_BACKOFF).alias("o"))
-    whole = e["t_sum"] + e["o_sum"]
-    contexts = pairs.groupBy("v").agg(((F.sum("t") + PAIR_BACKOFF * e["t_sum"] / whole) / (F.sum("o") + PAIR_BACKOFF * e["o_sum"] / whole)).alias("context"))
+    often = words.where("n > 1").select("w", F.col("t").alias("often_t"), F.col("o").alias("often_o"))
+    pairs = by_stem(counts.join(beside(often), "w", "left").withColumns({f"w{c}": F.coalesce(f"often_{c}", (F.col(c) > 0).cast("long")) for c in ("t", "o")}))
+    q = odds(ratio * prior(e))
+    pairs = pairs.select("v", "w", gain(F.log(ratio)).alias("g1"), mass("t", q, e, PAIR_BACKOFF).alias("t"), mass("o", 1 - q, e, PAIR_BACKOFF).alias("o"))
+    context = lambda t, o: (t + PAIR_BACKOFF * e["t_sum"] / (e["t_sum"] + e["o_sum"])) / (o + PAIR_BACKOFF * e["o_sum"] / (e["t_sum"] + e["o_sum"]))
+    contexts = pairs.groupBy("v").agg(context(F.sum("t"), F.sum("o")).alias("context"), F.count("*").alias("n")).where("n > 1").drop("n")
     contexts = common.saved(contexts, "contexts")
-    pairs = pairs.join(beside(contexts), "v").withColumn("g", gain(F.log(F.col("t") / F.col("o") / F.col("context"))))
-    none = F.lit(0).cast("long")
-    found = pairs.where("g <> g1").select(F.lit(2).alias("level"), "v", "w", "g")
-    found = found.union(words.where("g1 <> g0").select(F.lit(1), none, "w", "g1"))
-    # a stem goes with each of its words into whatever pass they take
+    g = gain(F.log(F.col("t") / F.col("o") / F.coalesce("context", context(F.col("t"), F.col("o")))))
+    found = pairs.join(beside(contexts), "v", "left").withColumn("g", g).where("g <> g1").select(F.lit(2).alias("level"), "v", "w", "g")
+    none = F.lit(0)
+    found = found.union(rated.where("g1 <> g0").select(F.lit(1), none, "w", "g1"))
     return found.union(stems.where("g0 > 0").select(F.lit(0), none, "s", "g0"))
 
 
@@ -136,7 +142,7 @@ class Part:
     def __init__(self, entries: pa.Table, part: int, parts: int):
         self.part, self.parts = np.uint64(part), np.uint64(parts)
         level, v, w, g = (entries[c].to_numpy() for c in ("level", "v", "w", "g"))
-        v, w = v.view(np.uint64), w.view(np.uint64)
+        v, w = v.astype(np.int32).view(np.uint32).astype(np.uint64), w.view(np.uint64)
         self.pairs, self.words, self.stems = (Table(_pair(v[level == k], w[level == k]) if k == 2 else w[level == k], g[level == k]) for k in (2, 1, 0))
 
     def evidence(self, words: Words) -> np.ndarray:
