@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,13 +34,17 @@ def fingerprint(text: bytes | None, words_each: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long) of every whole text."""
+    """(doc_id long, fp long, version long) of every whole text; version is a hash of the text as it is."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = [fingerprint(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), batch.column(2)], ["doc_id", "fp", "version"])
 
-    return common.by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), each, "doc_id long, fp long")
+    return common.by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), _version(text_col).alias("version")), each, "doc_id long, fp long, version long")
+
+
+def _version(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 # ------------------------------------------------------------------ index
@@ -160,10 +164,11 @@ def link_edges(prints: DataFrame, limit: int = 3, cell_rows: int = 4096) -> Data
         cells = cells.drop("mask")
         large = common.saved(cells.groupBy("path", "value").count().where(F.col("count") > cell_rows).drop("count"), "cells")
         some = large.count()
-        fit = cells.join(common.small_side(large, some), ["path", "value"], "left_anti") if some else cells
+        last = not some or level == 5  # so deep, a cell of limit 3 has 12 free bits; with other limits large cells are searched as they are
+        fit = cells if last else cells.join(common.small_side(large, some), ["path", "value"], "left_anti")
         fit = fit.select(F.col("path").cast("long"), "value", "fp").repartition("path", "value").sortWithinPartitions("path", "value")
         found.append(fit.mapInArrow(joined, "a long, b long"))
-        if not some or level == 5:
+        if last:
             break
         todo = cells.join(common.small_side(large, some), ["path", "value"], "left_semi").select("fp", F.col("path").alias("cell_path"))
         todo, level = common.saved(todo, "todo"), level + 1
@@ -174,32 +179,38 @@ def link_edges(prints: DataFrame, limit: int = 3, cell_rows: int = 4096) -> Data
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, component_id) of every fingerprint."""
+    """(doc_id, fp, version) of every row, and (fp, component_id, root) of every fingerprint."""
     prints = common.saved(fingerprints(docs, id_col, text_col), "prints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = common.components(link_edges(groups, limit))
     named = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     named = common.saved(named, "named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints, named.join(least, "root").select("fp", "component_id")
+    return prints, named.join(least, "root").select("fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
     """The rows of docs, all columns, without near copies: of each component the row with the smallest id, once.
 
-    Rows without words share fingerprint zero, so one of them stays. Rows that repeat an id and a text count once. Rows with a
-    null id stay.
+    Rows without words share fingerprint zero, so one of them stays. Rows that repeat an id and a text count once; of different
+    texts with the smallest id of one component, that with the smallest hash stays. Rows with a null id stay. Texts are shuffled
+    only for rows that are repeated, and where there are more copies than a broadcast may hold.
     """
     prints, named = _grouped(docs, id_col, text_col, limit)
-    copies = prints.join(named, "fp").where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct()
-    copies = common.saved(copies, "copies")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"))
-    rows = rows.join(common.small_side(copies, copies.count()), F.col("id") == F.col("gone_id"), "left_anti")
-    twice = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
-    rows = rows.join(twice, F.col("id") == F.col("twice_id"), "left")
+    placed = prints.where("doc_id is not null").join(named, "fp")
+    heads = placed.where("doc_id = component_id").groupBy("root").agg(F.min("version").alias("head"))
+    gone = placed.join(heads, "root").where("doc_id <> component_id or version <> head").select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct()
+    gone = common.saved(gone, "gone")
+    twice = prints.where("doc_id is not null").groupBy("doc_id", "version").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("version").alias("twice_version"))
+    twice = common.saved(twice.join(gone, (F.col("twice_id") == F.col("gone_id")) & (F.col("twice_version") == F.col("gone_version")), "left_anti"), "twice")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), _version(text_col).alias("version"))
+    rows = rows.join(common.small_side(gone, gone.count()), (F.col("id") == F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left_anti")
+    if not (some := twice.count()):
+        return rows.select("row.*")
+    same = (F.col("id") == F.col("twice_id")) & (F.col("version") == F.col("twice_version"))
     once = F.row_number().over(Window.partitionBy("id", "version").orderBy("version"))
-    many = rows.where("twice_id is not null").withColumn("n", once).where("n = 1").select("row.*")
-    return rows.where("twice_id is null").select("row.*").unionByName(many)
+    many = rows.join(common.small_side(twice, some), same, "left_semi").withColumn("n", once).where("n = 1").select("row.*")
+    return rows.join(common.small_side(twice, some), same, "left_anti").select("row.*").unionByName(many)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:

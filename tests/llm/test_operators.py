@@ -81,6 +81,12 @@ def test_simhash_keep_one(spark):
     assert sorted(kept) == sorted(set(want.values()))
 
 
+def test_simhash_keep_one_with_two_texts_of_an_id(spark):
+    texts, ids = ["a b c d e", "a b c d e", "v w x y z", "v w x y z", "v w x y z", "a b c d e"], [1, 2, 2, 3, 2, None]
+    kept = simhash.keep_one(documents(spark, texts, ids)).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "a b c d e"), (1, "a b c d e"), (2, "v w x y z")]
+
+
 def test_simhash_empty_and_null_ids(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     got = simhash.near_duplicates(documents(spark, ["a b c", "a b c", None], [None, 4, None])).collect()
