@@ -57,25 +57,31 @@ def _keys(words: Words) -> np.ndarray:
 
 
 def _before(words: Words, keys: np.ndarray) -> np.ndarray:
-    """Of each word 32 bits of the one before it in its text, 0 for the first."""
+    """Of each word the key of the one before it in its text, 0 for the first."""
     v = np.concatenate([[np.uint64(0)], keys[:-1]]) if len(keys) else keys.copy()
-    v &= np.uint64(0xFFFFFFFF)
     v[words.bound[:-1][np.diff(words.bound) > 0]] = 0
     return v
 
 
 def ngram_counts(rows: DataFrame) -> DataFrame:
     """(v, w, t, o, t1, o1): of each word w after v, the occurrences in toxic and in ordinary texts; t1 and o1 in those with
-    `inner` only. rows: text, y, inner (0 or 1)."""
+    `inner` only. rows: text, y, inner (0 or 1). Each batch is added up and sorted before Spark adds up and shuffles."""
+    names = ["t", "o", "t1", "o1"]
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, y = Words(batch.column(0), STEM_BYTES), batch.column(1).to_numpy()
-        keys = _keys(words)
-        return pa.RecordBatch.from_arrays([pa.array(_before(words, keys).astype(np.uint32).view(np.int32)), pa.array(keys.view(np.int64)), pa.array(y[words.rows()].astype(np.int64))], ["v", "w", "y"])
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        words = Words(batch.column(0), STEM_BYTES)
+        if not len(words.hash):
+            return None
+        w, toxic, inner = _keys(words), *(batch.column(k).to_numpy()[words.rows()] == 1 for k in (1, 2))
+        v = _before(words, w)
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+        sums = [pa.array(np.add.reduceat(x[order].astype(np.int64), first)) for x in (toxic, ~toxic, toxic & inner, ~toxic & inner)]
+        return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), *sums], ["v", "w", *names])
 
-    found = common.by_batch(rows.select("text", (F.col("y") + 2 * F.col("inner")).alias("y")), each, "v int, w long, y long")
-    y = F.col("y")
-    return found.groupBy("v", "w").agg(F.count_if(y % 2 == 1).alias("t"), F.count_if(y % 2 == 0).alias("o"), F.count_if(y == 3).alias("t1"), F.count_if(y == 2).alias("o1"))
+    found = common.by_batch(rows.select("text", "y", "inner"), each, "v long, w long, " + ", ".join(f"{n} long" for n in names))
+    return found.groupBy("v", "w").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _discounts(df: DataFrame) -> dict[str, float]:
@@ -117,7 +123,7 @@ def evidence(counts: DataFrame) -> DataFrame:
     contexts = common.saved(contexts, "contexts")
     g = gain(F.log(F.col("t") / F.col("o") / F.coalesce("context", context(F.col("t"), F.col("o")))))
     found = pairs.join(beside(contexts), "v", "left").withColumn("g", g).where("g <> g1").select(F.lit(2).alias("level"), "v", "w", "g")
-    none = F.lit(0)
+    none = F.lit(0).cast("long")
     found = found.union(rated.where("g1 <> g0").select(F.lit(1), none, "w", "g1"))
     return found.union(stems.where("g0 > 0").select(F.lit(0), none, "s", "g0"))
 
@@ -142,7 +148,7 @@ class Part:
     def __init__(self, entries: pa.Table, part: int, parts: int):
         self.part, self.parts = np.uint64(part), np.uint64(parts)
         level, v, w, g = (entries[c].to_numpy() for c in ("level", "v", "w", "g"))
-        v, w = v.astype(np.int32).view(np.uint32).astype(np.uint64), w.view(np.uint64)
+        v, w = v.view(np.uint64), w.view(np.uint64)
         self.pairs, self.words, self.stems = (Table(_pair(v[level == k], w[level == k]) if k == 2 else w[level == k], g[level == k]) for k in (2, 1, 0))
 
     def evidence(self, words: Words) -> np.ndarray:
@@ -184,7 +190,7 @@ class Model:
         if not (of(0, None) and of(1, None)):
             return
         permitted = rows.where(F.col("fold") != held_out).withColumn("inner", (F.col("fold") != fit_fold).cast("int"))
-        counts = common.saved(ngram_counts(permitted), "ngrams")
+        counts = common.saved(ngram_counts(permitted).sortWithinPartitions("v"), "ngrams")  # sorted, the table takes less room
         if of(0, False) and of(1, False) and of(0, True) and of(1, True):
             inner = KneserNey(counts.where("t1 + o1 > 0").select("v", "w", F.col("t1").alias("t"), F.col("o1").alias("o")))
             fit_rows = learning.sample(rows.where(F.col("fold") == fit_fold), of(0, True) + of(1, True), FIT_ROWS).select(F.col("y").alias("key"), "text")
