@@ -74,8 +74,12 @@ def truncate(text: Column, limit: int = 220) -> Column:
     return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(F.regexp_replace(F.substr(clean, F.lit(1), at), "[ ,，;；.]+$", ""), F.lit("...")))
 
 
+def line_split(text: Column) -> Column:
+    return F.split(whole(text), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")
+
+
 def lines(text: Column) -> Column:
-    return F.filter(F.split(whole(text), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: F.length(squeeze(x)) > 0)
+    return F.filter(line_split(text), lambda x: F.length(squeeze(x)) > 0)
 
 
 def _share(part: Column, of: Column) -> Column:

@@ -49,10 +49,9 @@ def test_question_terms(spark):
 PAPER = [(1, "Abstract\n\nWe study things. " + "Alpha beta gamma delta. " * 12), (2, "2. Methods\n\n" + "The method has many steps. " * 60 + "\n\nTable 1: scores\n\n| a | b |\n| 1 | 2 |\n\nSource: us"), (3, ""), (4, "References\n\n[1] A. Author. A title, 2020. [2] B. Other. Second, 2021.")]
 
 
-def test_chunks_cover_the_text_within_size():
-    rows = chunking.chunk_document("d", PAPER, 120, 20, 300)
-    names = [c.split()[0] for c in chunking.CHUNK_SCHEMA.split(", ")]
-    chunks = [dict(zip(names, r)) for r in rows]
+def test_chunks_cover_the_text_within_size(spark):
+    docs = spark.createDataFrame([("d", PAPER)], "doc_id string, pages array<struct<page: int, text: string>>")
+    chunks = chunking.chunk(docs, (120, 20, 300)).orderBy("chunk_no").collect()
     assert [c["section"] for c in chunks if c["section"] != "Unknown"][0] == "Abstract" and {"Methods", "References"} <= {c["section"] for c in chunks}
     tables = [c for c in chunks if c["chunk_type"] == "table"]
     assert tables and "| 1 | 2 |" in tables[0]["text"] and "Table 1" in tables[0]["text"]
