@@ -187,9 +187,11 @@ def _grams(run: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(run, i, F.lit(size)))).otherwise(empty())
 
 
-def tokens(text: Column, most: int = 1600) -> Column:
-    """Search tokens: lower-case words of two or more, and of runs of CJK characters their pairs and triples."""
-    runs = F.regexp_extract_all(F.lower(sanitize(text)), F.lit(f"[a-z0-9]{{2,}}|[{CJK}]{{2,}}"), 0)
+def tokens(text: Column, most: int | None = None, clean: Column | None = None) -> Column:
+    """Search tokens: lower-case words of two or more, and of runs of CJK characters their pairs and triples; all of a text, or the
+    first `most`. `clean` is the sanitised text where that is at hand."""
+    clean = sanitize(text) if clean is None else clean
+    runs = F.regexp_extract_all(F.lower(clean), F.lit(f"[a-z0-9]{{2,}}|[{CJK}]{{2,}}"), 0)
 
     def grown(run: Column) -> Column:
         short = F.when(F.length(run) <= 4, F.array(run)).otherwise(empty())
@@ -197,7 +199,8 @@ def tokens(text: Column, most: int = 1600) -> Column:
         return F.when(run.rlike(f"^[{CJK}]"), F.concat(short, _grams(run, 2), triples)).otherwise(F.array(run))
 
     every = F.filter(F.flatten(F.transform(runs, grown)), lambda t: ~t.isin(fixed.TOKEN_BLOCKED))
-    return F.slice(F.when(sanitize(text).rlike(f"[{CJK}]"), every).otherwise(runs), 1, most)
+    found = F.when(clean.rlike(f"[{CJK}]"), every).otherwise(runs)  # only CJK words are blocked
+    return found if most is None else F.slice(found, 1, most)
 
 
 def question_keywords(question: Column) -> Column:

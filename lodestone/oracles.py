@@ -46,7 +46,7 @@ _FLAT_TABLE = rf"""(length(flat) > 0 AND ({_count('flat', r'\|')} >= 6 OR contai
     OR ({_count('flat', r'[|,:：/\\]')} / length(flat) > 0.22 AND length(flat) > 120)))"""
 _TOKENS = f"""list_filter(flatten(list_transform(regexp_extract_all(lower({{}}), '[a-z0-9]{{{{2,}}}}|[{_CHARS}]{{{{2,}}}}'), lambda r: CASE WHEN NOT regexp_matches(r, '^[{_CHARS}]') THEN [r]
     ELSE list_concat(CASE WHEN length(r) <= 4 THEN [r] ELSE [] END, list_transform(range(1, length(r)), lambda i: r[i:i + 1]), CASE WHEN length(r) >= 4 THEN list_transform(range(1, length(r) - 1), lambda i: r[i:i + 2]) ELSE [] END) END)),
-    lambda t: t NOT IN ({', '.join(f"'{w}'" for w in fixed.TOKEN_BLOCKED)}))[:1600]"""
+    lambda t: t NOT IN ({', '.join(f"'{w}'" for w in fixed.TOKEN_BLOCKED)}))"""
 
 #: Postings, question terms and BM25 over documents: post, n, qterm, raw.
 _POST = f"""post AS (SELECT token, doc_id, count(*) AS tf, any_value(dl) AS dl FROM
@@ -75,7 +75,7 @@ _BM25 = f"""{_POST}, {_TERMS},
 
 def _vectors(name: str, key: str, source: str) -> str:
     hex_ = lambda at, n: " + ".join(f"(strpos('0123456789abcdef', md5(token)[{at + i}]) - 1) * {16 ** (n - 1 - i)}::BIGINT" for i in range(n))
-    return f"""{name}_t AS (SELECT {key}, unnest(CASE WHEN len(toks) > 0 THEN toks WHEN length(text) > 0 THEN [text[:64]] ELSE ['empty'] END) AS token FROM (SELECT {key}, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{2,}}')[:1200] AS toks FROM {source})),
+    return f"""{name}_t AS (SELECT {key}, unnest(CASE WHEN len(toks) > 0 THEN toks WHEN length(text) > 0 THEN [text[:64]] ELSE ['empty'] END) AS token FROM (SELECT {key}, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{{2,}}') AS toks FROM {source})),
      {name}_s AS (SELECT {key}, ({hex_(1, 8)}) % 384 AS bucket, sum(CASE WHEN ({hex_(9, 2)}) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM {name}_t GROUP BY ALL HAVING x <> 0),
      {name} AS (SELECT {key}, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS weight FROM {name}_s)"""
 

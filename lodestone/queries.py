@@ -116,9 +116,10 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    post = saved(search.postings(table(spark, sf_dir, "documents"), "doc_id"), "postings")
-    n, mean = search.corpus_size(post, "doc_id")
-    raw = search.bm25(post, search.query_terms(_questions(spark, sf_dir)), ["doc_id"], n, mean).withColumn("raw", F.round("raw", 6))
+    listed = saved(search.tokenised(table(spark, sf_dir, "documents"), "doc_id"), "tokens")
+    n, mean = search.corpus_size(listed, "doc_id")
+    terms = saved(search.query_terms(_questions(spark, sf_dir)), "terms")
+    raw = search.bm25(search.postings(listed, "doc_id", asked=terms), terms, ["doc_id"], n, mean).withColumn("raw", F.round("raw", 6))
     return search.top(raw, k, "qid", F.col("raw"), "doc_id")
 
 
@@ -132,8 +133,7 @@ def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     asked = search.hash_vectors(_questions(spark, sf_dir).select("qid", F.col("question").alias("text")), "qid")
-    pairs = search.sparse_cosine(asked, search.hash_vectors(table(spark, sf_dir, "documents"), "doc_id"), "qid", "doc_id").withColumn("score", F.round("score", 6))
-    return search.top(pairs, k, "qid", F.col("score"), "doc_id")
+    return search.sparse_top_k(asked, search.hash_vectors(table(spark, sf_dir, "documents"), "doc_id"), "qid", "doc_id", k)
 
 
 def hash_dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:

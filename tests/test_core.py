@@ -41,6 +41,22 @@ def test_tokens(spark):
     assert one(spark, T.sentences(F.col("text")), "One. Two! 三。four") == ["One.", "Two!", "三。", "four"]
 
 
+def test_tokens_read_whole_texts(spark):
+    long_ = " ".join(f"w{i}" for i in range(5000))
+    assert one(spark, T.tokens(F.col("text")), long_)[-1] == "w4999" and len(one(spark, T.tokens(F.col("text"), 1600), long_)) == 1600
+    assert one(spark, search.hash_tokens(F.col("text")), long_)[-1] == "w4999"
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "qid long, embedding array<double>")
+    items = spark.createDataFrame([(1, [1.0, 0.0])], "item_id long, embedding array<double>")
+    assert search.dense_top_k(none, items, 3).count() == 0 and search.dense_top_k(items.withColumnRenamed("item_id", "qid"), items.limit(0), 3).count() == 0
+    texts = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    vectors, empty = search.hash_vectors(texts, "doc_id"), search.hash_vectors(texts.limit(0), "doc_id")
+    asked = search.hash_vectors(texts.withColumnRenamed("doc_id", "qid"), "qid")
+    assert search.sparse_top_k(asked, empty, "qid", "doc_id", 3).count() == 0 and search.sparse_top_k(asked, vectors, "qid", "doc_id", 3).head()["score"] == 1.0
+
+
 def test_question_terms(spark):
     assert one(spark, T.question_keywords(F.col("text")), "请问实验方法有什么 BERT") == ["方法", "实验方法", "实验", "bert"] + [w for w in one(spark, T.question_keywords(F.col("text")), "请问实验方法有什么 BERT")[4:]]
     assert one(spark, T.question_phrases(F.col("text")), "What is the attention mechanism cost?")[:2] == ["attention mechanism cost", "attention mechanism"]
