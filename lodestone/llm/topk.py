@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lists that are read together between two comparisons of the bounds, and candidates in a block.
-STEP, BLOCK = 16, 4096
+STEP, BLOCK = 16, 8192
 
 
 class Lists:
     """The sorted lists of a block of candidates, kept as columns with their middle and last entries, and the norms."""
 
-    def __init__(self, ids: np.ndarray, items: np.ndarray):
-        self.ids, self.v = ids, np.ascontiguousarray(items.T, dtype=np.float64)
+    def __init__(self, ids: np.ndarray, items: np.ndarray, kind: type):
+        self.ids, self.v = ids, np.ascontiguousarray(items.T, dtype=kind)
         ordered = np.sort(self.v, axis=1)
         n = ordered.shape[1]
         self.middle = np.stack([ordered[:, (n - 1) // 2], ordered[:, n // 2]])  # read upwards, read downwards
@@ -31,49 +31,53 @@ class Lists:
         self.norms = (self.v * self.v).sum(axis=0)
 
 
-def aggregate(qid: int, query: np.ndarray, lists: Lists, k: int, bound: float) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(places, scores, bound, entries read): candidates of a block that may be among the k best, with exact scores.
+def aggregate(qid: int, query: np.ndarray, lists: Lists, k: int, bound: float, slip: float, counted: bool = False) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(places, scores, bound, entries read if counted): candidates of a block that may be among the k best, with exact scores.
 
-    `bound` is a score that k candidates are known to reach; it comes back as what this block has raised it to. Rows with the
-    query's own id are no candidates.
+    `bound` is a score that k candidates are known to reach; it comes back as what this block has raised it to. Scores are sums of
+    whole numbers and exact; `slip` is more than rounding may change the other side of a bound by. Rows with the query's own id
+    are no candidates.
     """
     open_ = np.flatnonzero(lists.ids != qid)
-    score, left, read = np.zeros(len(open_)), lists.norms[open_], 0
+    score, left, read = np.zeros(len(open_), lists.v.dtype), lists.norms[open_], 0
     order = np.argsort(-np.abs(query) * (lists.ends[1] - lists.ends[0]), kind="stable")
     for start in range(0, len(order), STEP):
-        some, rest = order[start : start + STEP], np.sqrt((query[order[start + STEP :]] ** 2).sum()) * (1 + 1e-12)
         if not len(open_):
             break
+        some, rest = order[start : start + STEP], np.sqrt((query[order[start + STEP :]] ** 2).sum(dtype=float)).astype(lists.v.dtype)
         w, v = query[some], lists.v[np.ix_(some, open_)]
-        # the first part, down to the middle entry: what isn't met there counts as that entry
-        side = np.where(w > 0, 1.0, -1.0)[:, None]
-        last = np.where(w > 0, lists.middle[1][some], lists.middle[0][some])[:, None]
-        toward, least = v * side, last * side
-        met = toward >= least
-        keep = score + np.einsum("i,ij->j", np.abs(w), np.maximum(toward, least)) + rest * np.sqrt(left) >= bound - 1e-6
-        read += np.count_nonzero(met)
-        if not keep.all():
-            open_, score, left, v, met = open_[keep], score[keep], left[keep], v[:, keep], met[:, keep]
-        read += met.size - np.count_nonzero(met)  # the second part, for what is still open
-        score, left = score + np.einsum("i,ij->j", w, v), np.maximum(left - np.einsum("ij,ij->j", v, v), 0)
+        if bound > -np.inf or counted:
+            # the first part, down to the middle entry: what isn't met there counts as that entry
+            side = np.where(w > 0, 1, -1).astype(v.dtype)[:, None]
+            toward, least = v * side, np.where(w > 0, lists.middle[1][some], lists.middle[0][some])[:, None] * side
+            keep = score + np.abs(w) @ np.maximum(toward, least) + rest * np.sqrt(left) >= bound - slip
+            if counted:
+                met = toward >= least
+                read += np.count_nonzero(met) + np.count_nonzero(~met[:, keep])
+            if not keep.all():
+                open_, score, left, v = open_[keep], score[keep], left[keep], v[:, keep]
+        score, left = score + w @ v, np.maximum(left - np.einsum("ij,ij->j", v, v), 0)
         slack = rest * np.sqrt(left)
         if len(open_) >= k:
-            bound = max(bound, np.partition(score - slack, len(open_) - k)[len(open_) - k])
-        keep = score + slack >= bound - 1e-6
+            bound = max(bound, float(np.partition(score - slack, len(open_) - k)[len(open_) - k]) - slip)
+        keep = score + slack >= bound - slip
         open_, score, left = open_[keep], score[keep], left[keep]
     return open_, score, bound, read
 
 
-def nearest(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(query ids, item ids, scores, share of list entries read): each query's k best items, ties to the smaller id."""
+def nearest(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int, counted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(query ids, item ids, scores, share of list entries read if counted): each query's k best items, ties to the smaller id."""
     top = (float(np.abs(queries).max(initial=0)) * float(np.abs(items).max(initial=0))) * max(1, queries.shape[1])
-    blocks = [Lists(ids[at : at + BLOCK], items[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)] if top < 2**53 else []
+    most = max(top, float(np.abs(items).max(initial=0)) ** 2 * max(1, queries.shape[1]))
+    # whole numbers below 2^24 are exact in single precision, below 2^53 in double
+    kind, slip = (np.float32, 1e-6 * most + 1e-3) if most < 2**24 else (np.float64, 1e-13 * most + 1e-3)
+    blocks = [Lists(ids[at : at + BLOCK], items[at : at + BLOCK], kind) for at in range(0, len(ids), BLOCK)] if most < 2**53 else []
     found, read = [], 0
     for qid, query in zip(qids, queries, strict=True):
-        if top < 2**53:
+        if most < 2**53:
             got, bound = [], -np.inf
             for lists in blocks:
-                at, score, bound, more = aggregate(qid, query.astype(float), lists, k, bound)
+                at, score, bound, more = aggregate(qid, query.astype(kind), lists, k, bound, slip, counted)
                 got.append((lists.ids[at], score.astype(np.int64)))
                 read += more
             near, score = (np.concatenate(x) for x in zip(*got, strict=True))

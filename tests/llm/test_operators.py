@@ -226,7 +226,7 @@ def test_no_random_access_bounds(monkeypatch):
     for name, items in {"clusters": np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64))), "random": np.floor(rng.normal(size=(4000, 64)) * 8)}.items():
         items, ids = items.astype(np.int64), rng.permutation(4000)
         items[7], ids[8] = items[9], ids[9]  # a tie, and an id twice
-        q, i, s, share[name] = topk.nearest(ids[:12], items[:12], ids, items, 20)
+        q, i, s, share[name] = topk.nearest(ids[:12], items[:12], ids, items, 20, counted=True)
         for a in range(12):
             exact = items @ items[a]
             want = sorted((-int(x), int(n)) for x, n in zip(exact, ids) if n != ids[a])[:20]
