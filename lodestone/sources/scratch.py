@@ -43,7 +43,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, read often, and whole even if executors are lost."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with short_lived_shuffles(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
