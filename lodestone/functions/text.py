@@ -153,6 +153,67 @@ def reliability(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(whole(text), F.lit(k)).cast("int") * w for k, w in fixed.RELIABILITY.items()])
 
 
+def is_metadata(text: Column) -> Column:
+    """A labelled field of a title page; an empty text counts, too."""
+    flat = squeeze(sanitize(text))
+    at = F.length(F.regexp_extract(flat, f"^(.*?){fixed.METADATA_LABEL}", 1))
+    labelled = flat.rlike(fixed.METADATA_LABEL) & ((at <= 90) | (F.length(flat) <= 220))
+    return (F.length(flat) == 0) | labelled | (F.contains(flat, F.lit("摘 要")) & (F.length(flat) <= 80))
+
+
+def is_submission(text: Column) -> Column:
+    """Instructions on handing in an assignment."""
+    return contains_any(squeeze(sanitize(text)), fixed.SUBMISSION_NOISE)
+
+
+def is_code(text: Column) -> Column:
+    """Mostly code: eight marks of it, or 45 % of four or more lines; prose about a framework's parts needs the marks."""
+    clean = sanitize(text)
+    marks = count(clean, "|".join("\\Q" + m + "\\E" for m in fixed.CODE_MARKERS))
+    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(clean), F.lit(r"(?U)\b(" + "|".join(fixed.FRAMEWORK_WORDS) + r")\b"), 1)))
+    rows = lines(clean)
+    share = _share(F.size(F.filter(rows, lambda x: x.rlike("(?U)" + fixed.CODE_LINE))), F.size(rows))
+    return (marks >= 8) | ((words < 3) & (F.size(rows) >= 4) & (share >= 0.45))
+
+
+def noise_penalty(text: Column, section: Column | None = None, metadata_asked: Column | None = None, references_asked: Column | None = None, flags: dict[str, Column] | None = None) -> Column:
+    """What noise costs a text, by what its question asks for. `flags` may hold asks_submission, asks_code, asks_table, and
+    no_submission, no_code, no_table for kinds that the plan of the question excludes; all are false by default."""
+    no = F.lit(False)
+    flag = lambda name: no if flags is None or name not in flags else flags[name]
+    cost = lambda test, much: F.when(test, much).otherwise(F.lit(0.0))
+    meta, refs = no if metadata_asked is None else metadata_asked, no if references_asked is None else references_asked
+    cited = is_reference_section(text) if section is None else is_reference_section(text) | F.coalesce(section == "References", no)
+    return (
+        cost(is_front_matter(text), F.when(meta, 0.3).otherwise(1.8)) + cost(is_metadata(text) & ~meta, F.lit(1.0)) + cost(cited & ~refs, F.lit(1.45))
+        + cost(is_submission(text) & ~flag("asks_submission"), F.when(flag("no_submission"), 1.45).otherwise(0.7))
+        + cost(is_code(text) & ~flag("asks_code"), F.when(flag("no_code"), 1.0).otherwise(0.55))
+        + cost(is_table(sanitize(text)) & ~flag("asks_table"), F.when(flag("no_table"), 0.95).otherwise(0.45))
+    )
+
+
+def best_quote(text: Column, limit: int = 280) -> Column:
+    """A short text whole; else its first sentences that aren't table-like, as many as fit; else its head."""
+    flat = squeeze(text)
+    plain = F.filter(sentences(flat), lambda s: ~is_store_table(s))
+    start = F.struct(F.lit("").alias("quote"), F.lit(True).alias("open"))
+
+    def add(state: Column, sentence: Column) -> Column:
+        fits = state["open"] & (F.length(state["quote"]) + F.length(sentence) <= limit)
+        return F.struct(F.when(fits, F.concat(state["quote"], sentence)).otherwise(state["quote"]).alias("quote"), fits.alias("open"))
+
+    quote = F.aggregate(plain, start, add)["quote"]
+    return F.when((F.length(flat) <= limit) & ~is_store_table(flat), flat).when(F.length(quote) > 0, quote).otherwise(F.substring(flat, 1, limit))
+
+
+def is_visual_item(chunk_type: Column, image_id: Column) -> Column:
+    return F.coalesce(F.length(image_id.cast("string")) > 0, F.lit(False)) | contains_any(F.lower(whole(chunk_type)), ["image", "figure", "chart"])
+
+
+def is_table_item(chunk_type: Column, text: Column) -> Column:
+    return F.contains(F.lower(whole(chunk_type)), F.lit("table")) | is_table(sanitize(text))
+
+
 def noise_flags(text: Column) -> Column:
     """Names of the kinds of noise that a chunk shows."""
     named = [("front_matter", is_front_matter(text)), ("reference_section", is_reference_section(text)), ("table_like", is_table(text))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 
 
@@ -53,6 +54,42 @@ def smoke(rows: DataFrame) -> DataFrame:
     return out.withColumn("score", 1 - F.size("failures") / len(SMOKE)).withColumn("status", F.when(F.size("failures") == 0, "pass").otherwise("fail"))
 
 
+#: Checks of gold cases, in order, with the category that a failure counts under.
+GOLD = {"answer_completed": "answer_generation_failure", "evidence_present": "no_evidence", "citation_linked": "citation_missing", "document_match": "wrong_document", "retrieval_recall_at_k": "gold_evidence_missed", "citation_support_rate": "citation_unsupported", "answer_point_coverage": "answer_point_missing", "refusal_accuracy": "refusal_missing", "embedding_not_fallback": "embedding_fallback"}
+
+
+def refuses(answer: Column) -> Column:
+    """Whether an answer says that the evidence isn't enough."""
+    return T.contains_any(T.evaluation_form(answer), fixed.REFUSAL_SIGNALS)
+
+
+def expects_refusal(question: Column, given: Column) -> Column:
+    """What the case says, or else what its question sounds like."""
+    return F.coalesce(given, T.contains_any(T.evaluation_form(question), fixed.REFUSAL_EXPECTED))
+
+
+def is_gold(n_gold: Column, n_points: Column, case_type: Column, difficulty: Column) -> Column:
+    """Which scoring a case gets: that against gold, or the smoke checks."""
+    return (F.coalesce(n_gold, F.lit(0)) > 0) | (F.coalesce(n_points, F.lit(0)) > 0) | (F.length(T.whole(case_type)) > 0) | (F.length(T.whole(difficulty)) > 0)
+
+
+def gold_cases(rows: DataFrame) -> DataFrame:
+    """Adds failures, score and status to cases: answer (null: it failed, status blocked, score 0), n_evidence,
+    n_valid_citations, document_coverage, recall and support (null where no gold is asked for), point_coverage (null without
+    points), expected_refusal, used_fallback. Half of the gold and of the citations and .67 of the points are enough."""
+    enough = lambda name, least: F.coalesce(F.col(name) >= least, F.lit(True))
+    tests = {
+        "answer_completed": F.length(T.strip(T.whole(F.col("answer")))) > 0, "evidence_present": F.col("n_evidence") > 0, "citation_linked": F.col("n_valid_citations") > 0,
+        "document_match": enough("document_coverage", 1.0), "retrieval_recall_at_k": enough("recall", 0.5), "citation_support_rate": enough("support", 0.5),
+        "answer_point_coverage": enough("point_coverage", 0.67), "refusal_accuracy": ~F.col("expected_refusal") | refuses(F.col("answer")), "embedding_not_fallback": ~F.col("used_fallback"),
+    }
+    blocked = F.col("answer").isNull()
+    failures = F.array_compact(F.array(*[F.when(~F.coalesce(tests[name], F.lit(False)), F.lit(category)) for name, category in GOLD.items()]))
+    out = rows.withColumn("failures", F.when(blocked, F.array(F.lit(GOLD["answer_completed"]))).otherwise(failures))
+    score = F.when(blocked, 0.0).otherwise(1 - F.size("failures") / len(GOLD))
+    return out.withColumn("score", score).withColumn("status", F.when(blocked, "blocked").when(F.size("failures") == 0, "pass").otherwise("fail"))
+
+
 def roll_up(results: DataFrame, by: list[str], averages: list[str]) -> DataFrame:
     """A run's cases by `by`, with all sub-totals: how many passed, and averages."""
     return results.cube(*by).agg(F.count("*").alias("n_cases"), F.count_if(F.col("status") == "pass").alias("n_passed"), *[F.avg(a).alias(f"avg_{a}") for a in averages])

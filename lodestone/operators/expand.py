@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from .search import small
 
@@ -56,6 +57,58 @@ def keyword_rule(chunks: DataFrame, rules: DataFrame, questions: DataFrame, k: i
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rule", "rank", "doc_id", "chunk_no", "score")
 
 
+def _best(rows: DataFrame, k: int, score: Column) -> DataFrame:
+    """The k best rows of each question by the score before it is cut to 1, ties by document and chunk."""
+    rows = rows.withColumn("_raw", F.round(score, 6))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_raw"), "doc_id", "chunk_no")))
+    return rows.where(F.col("rank") <= k).select("qid", "rank", "doc_id", "chunk_no", F.least(F.lit(1.0), F.col("_raw")).alias("score"))
+
+
+def framework_rule(rows: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, doc_id, chunk_no, score): chunks with two words at least of a framework's functions, for questions on these.
+
+    rows: a question's chunks in scope with text, chunk_type, relevance and visual_asked.
+    """
+    low = F.lower(T.sanitize(F.col("text")))
+    words = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\b(" + "|".join(fixed.FUNCTION_WORDS) + r")\b"), 1)))
+    drawn = T.contains_any(F.lower(T.whole(F.col("chunk_type"))), ["image", "figure", "table"])
+    score = 0.72 + F.least(F.lit(0.22), F.col("words") * 0.04) + F.when(T.contains_any(low, fixed.FUNCTION_MARKERS), 0.16).otherwise(0.0) + F.when(T.contains_any(low, fixed.COMPOSED_OF), 0.24).otherwise(0.0)
+    score = score + F.when(drawn, F.when(F.col("visual_asked"), 0.08).otherwise(-0.16)).otherwise(0.0) + 0.25 * F.col("relevance")
+    return _best(rows.withColumn("words", words).where("words >= 2"), k, score)
+
+
+def modality_rule(rows: DataFrame, k: int, images: bool = False, tables: bool = False) -> DataFrame:
+    """(qid, rank, doc_id, chunk_no, score): image or table chunks (both asked: chunks that are both), .85 and half the relevance.
+
+    rows: a question's chunks in scope with text, chunk_type, image_id and relevance.
+    """
+    if images:
+        rows = rows.where(T.is_visual_item(F.col("chunk_type"), F.col("image_id")))
+    if tables:
+        rows = rows.where(T.is_table_item(F.col("chunk_type"), F.col("text")))
+    clean, extra = T.sanitize(F.col("text")), F.lit(0.0)
+    for asked, markers in ((tables, fixed.SCORE_TABLES), (images, fixed.SCREENS)):
+        extra = extra + F.when(T.contains_any(clean, markers), 0.25).otherwise(0.0) if asked else extra
+    return _best(rows, k, 0.85 + 0.5 * F.col("relevance") + extra)
+
+
+def boost(score: Column, by: float) -> Column:
+    """A rule's score raised by what its family adds, within 0 and 1."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score + by))
+
+
+def rule_union(rules: dict[str, DataFrame], most: int | None = None) -> DataFrame:
+    """(qid, position, rule, doc_id, chunk_no, score): the rules' finds one rule after another; each chunk at its first place only."""
+    listed = [rows.select("qid", F.lit(i).alias("rule_no"), F.lit(name).alias("rule"), "rank", "doc_id", "chunk_no", "score") for i, (name, rows) in enumerate(rules.items())]
+    every = listed[0]
+    for rows in listed[1:]:
+        every = every.unionByName(rows)
+    first = F.row_number().over(Window.partitionBy("qid", "doc_id", "chunk_no").orderBy("rule_no", "rank"))
+    once = every.withColumn("_n", first).where(F.col("_n") == 1)
+    once = once.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("rule_no", "rank")))
+    return (once if most is None else once.where(F.col("position") <= most)).select("qid", "position", "rule", "doc_id", "chunk_no", "score")
+
+
 def reference_region(chunks: DataFrame, most: int = 8) -> DataFrame:
     """Chunks (doc_id, chunk_no, text) of each document's reference list: from the first one, as long as entries go on."""
     doc = Window.partitionBy("doc_id")

@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from .search import small
 
-# fixed values: markers of what a question asks for
-VISUAL = ["图片", "截图", "图表", "图中", "图里", "图上", "图示", "架构图", "示意图", "视觉证据", "图片证据", "看图", "figure", "fig.", "chart", "diagram", "screenshot", "visual evidence", "image evidence", "what does the image", "shown in the image", "in the image", "from the image"]
-PAIRED = ["图像-文本", "图像文本", "图像/文本", "图像与文本", "图像和文本", "图文", "image-text", "image text", "image/text", "image and text"]
-PAIRED_DATA = ["数据", "规模", "训练", "对", "dataset", "data", "training", "pretraining", "pairs", "pair"]
-WEAK_VISUAL = ["图像", "视觉", "image", "visual"]
-TABLE = ["评分表", "实验评分", "分数构成", "分数", "总分", "表格中", "表中", "结构化数据", "数据是多少", "指标", "数值", "公式", "计算"]
-TABLE_SHOWN = ["适合表格", "可以用表格", "用表格", "表格呈现"]
-REFERENCE = ["参考文献", "引用文献", "references", "bibliography"]
-COMPARE = ["比较", "对比", "区别", "差异", "异同", "compare", "comparison", "difference between", "versus"]
-FIELD = ["作者", "标题", "题目", "关键词", "摘要", "单位", "日期", "author", "title", "keywords", "affiliation"]
-OVERVIEW = ["概括", "总结", "概述", "主要内容", "讲了什么", "summarize", "summary", "overview", "main idea", "what is this paper"]
-META = ["你是谁", "你能做什么", "你好", "who are you", "what can you do"]
 # fixed values: section markers and what roles they speak for
 SECTION_ROLES = [
     (["abstract", "摘要"], {"purpose": 1.0, "claim": 0.35}),
@@ -36,13 +25,56 @@ ROLE_ALIAS = {"result": "claim", "results": "claim", "finding": "claim", "findin
 
 
 def features(question: Column) -> Column:
-    """struct of flags and the intent, the first of reference, field, compare, whole document, meta and specific that holds."""
-    low = T.squeeze(F.lower(T.whole(question)))
-    visual = T.contains_any(low, VISUAL) | (T.contains_any(low, WEAK_VISUAL) & ~(T.contains_any(low, PAIRED) & T.contains_any(low, PAIRED_DATA)))
-    table = T.contains_any(low, TABLE)
-    flags = {"visual": visual, "table": table, "reference": T.contains_any(low, REFERENCE), "compare": T.contains_any(low, COMPARE), "field": T.contains_any(low, FIELD), "overview": T.contains_any(low, OVERVIEW), "meta": T.contains_any(low, META)}
-    intent = F.when(flags["reference"], "reference_question").when(flags["field"], "field_lookup_question").when(flags["compare"], "compare_question").when(flags["overview"], "document_wide_question").when(flags["meta"], "meta_question").otherwise("specific_question")
-    return F.struct(intent.alias("intent"), *[c.alias(k) for k, c in flags.items()])
+    """struct of the intent (the first of reference, field, compare, whole document, meta and specific that holds), how that is
+    retrieved, the fields asked for, and a flag for each thing that a question may be about. A null question has no flags."""
+    low = F.lower(T.whole(question))
+    flat = T.squeeze(low)
+    has = lambda name, text=low: T.contains_any(text, fixed.ASKS[name])
+    targets = F.array_compact(F.array(*[F.when(T.contains_any(low, names), F.lit(field)) for field, names in fixed.FIELD_ALIASES.items()]))
+    is_field = lambda text: (F.size(targets) > 0) & ~has("field_broad") & (has("field_lookup") | (F.length(text) <= 28))
+    content = (F.length(flat) > 0) & ~is_field(flat) & has("overview_action", flat) & has("overview_scope", flat)
+    function = has("framework") & (has("function") | has("component"))
+    flags = {
+        "visual": has("visual", flat) | (has("weak_visual", flat) & ~(has("paired", flat) & has("paired_data", flat))),
+        "table": has("table"),
+        "reference": has("reference") | (F.contains(low, F.lit("文献")) & has("reference_verb")),
+        "field": is_field(T.strip(low)),
+        "compare": has("compare"),
+        "overview": has("overview") | content,
+        "document_wide": has("document_wide") | content,
+        "meta": has("meta"),
+        "opening": has("opening"),
+        "experiment": F.contains(low, F.lit("实验")) & has("experiment") & ~has("submission"),
+        "topics": has("topics"),
+        "metric": has("metric"),
+        "dataset": has("dataset"),
+        "pretraining": has("pretraining_objective") | (has("pretraining") & has("objective")),
+        "framework": function,
+        "trustworthy": has("trustworthy") & has("characteristic"),
+        "mechanism": has("mechanism", F.lower(T.sanitize(question))),
+        "efficiency": low.rlike(r"(?U)\b(?:" + "|".join(fixed.ASKS["efficiency"]) + r")\b"),
+        "adaptation": has("idea") & has("adaptation"),
+        "factors": has("factor_topic") & has("factor_ask"),
+        "asks_code": has("code"),
+        "asks_submission": has("submission"),
+    }
+    intent = F.when(flags["reference"], "reference_question").when(flags["field"], "field_lookup_question").when(flags["compare"], "compare_question")
+    intent = intent.when(flags["document_wide"], "document_wide_question").when(flags["meta"], "meta_question").otherwise("specific_question")
+    strategy = F.element_at(F.create_map(*[F.lit(x) for pair in fixed.STRATEGIES.items() for x in pair]), intent)
+    return F.struct(intent.alias("intent"), strategy.alias("strategy"), targets.alias("fields"), *[c.alias(k) for k, c in flags.items()])
+
+
+def balanced(intent: Column, scope: Column, compare: Column, document_wide: Column, topics: Column, n_documents: Column) -> Column:
+    """Whether each document in scope gets its own share of the candidates."""
+    return (n_documents >= 2) & (intent.isin("compare_question", "document_wide_question") | F.coalesce(scope.isin("multi_document", "whole_document"), F.lit(False)) | compare | document_wide | topics)
+
+
+def target_documents(requested: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(qid, doc_id): a question's requested documents that are candidates; all its candidates where none is."""
+    candidates = candidates.select("qid", "doc_id").distinct()
+    scoped = candidates.join(requested.select("qid", "doc_id").distinct().withColumn("_asked", F.lit(True)), ["qid", "doc_id"], "left")
+    asked = F.col("_asked").isNotNull()
+    return scoped.withColumn("_any", F.bool_or(asked).over(Window.partitionBy("qid"))).where(asked | ~F.col("_any")).select("qid", "doc_id")
 
 
 def role_alias(role: Column) -> Column:
@@ -58,20 +90,42 @@ def section_roles(section: Column) -> Column:
     return F.map_filter(F.create_map(*[x for r, v in values.items() for x in (F.lit(r), v)]), lambda _, v: v > 0)
 
 
+#: Roles that a table of terms may name; they become columns of the plan.
+MOST_ROLES = 200
+
+
 def role_scores(chunks: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, role, score) of chunks (keys, doc_id, chunk_no, section, text) for terms (role, term): .35 for each term that the
-    text contains, the section's bonus, and bonuses for early, late, table and figure chunks. Terms are few and broadcast."""
-    total = F.count("*").over(Window.partitionBy("doc_id"))
-    rows = chunks.withColumns({"low": T.lowered(F.col("text")), "bonus": section_roles(F.col("section")), "total": total, "is_table": T.is_table(F.col("text"))})
-    listed = small(terms.groupBy("role").agg(F.collect_set("term").alias("terms")))
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), F.lower(t))))
-    score = hits * 0.35 + F.coalesce(F.try_element_at("bonus", F.col("role")), F.lit(0.0))
-    score = score + F.when((F.col("role") == "purpose") & (F.col("chunk_no") <= F.greatest(F.lit(2), F.floor(F.col("total") * 0.08))), 0.35).otherwise(0.0)
-    score = score + F.when(F.col("role").isin("conclusion", "caveat") & (F.col("chunk_no") >= F.floor(F.col("total") * 0.65)), 0.2).otherwise(0.0)
-    score = score + F.when(F.col("role").isin("claim", "table") & F.col("is_table"), 0.25).otherwise(0.0)
-    score = score + F.when((F.col("role") == "visual") & T.contains_any(F.col("low"), ["figure", "fig.", "caption", "diagram", "图"]), 0.2).otherwise(0.0)
-    out = rows.withColumn("_l", F.lit(1)).join(listed.withColumn("_l", F.lit(1)), "_l").withColumn("score", score)
-    return out.where("score > 0").select(*keys, "role", "score")
+    text contains, the section's bonus, and bonuses for early, late, table and figure chunks.
+
+    terms is a rule table of MOST_ROLES roles at most (more raise). A column `total`, the chunks of a document, is taken if there.
+    """
+    listed = terms.groupBy("role").agg(F.array_sort(F.collect_set(F.lower("term"))).alias("terms")).limit(MOST_ROLES + 1).collect()
+    if len(listed) > MOST_ROLES:
+        raise ValueError(f"more than {MOST_ROLES} roles")
+    rows = chunks
+    if "total" not in rows.columns:
+        rows = rows.join(small(rows.groupBy("doc_id").agg(F.count("*").alias("total"))), "doc_id", "left")
+    rows = rows.withColumns({"low": T.lowered(F.col("text")), "bonus": section_roles(F.col("section")), "is_table": T.is_table(F.col("text"))})
+    late = F.col("chunk_no") >= F.floor(F.col("total") * 0.65)
+    early = F.col("chunk_no") <= F.greatest(F.lit(2), F.floor(F.col("total") * 0.08))
+    shown = T.contains_any(F.col("low"), ["figure", "fig.", "caption", "diagram", "图"])
+    extra = {"purpose": (early, 0.35), "conclusion": (late, 0.2), "caveat": (late, 0.2), "claim": (F.col("is_table"), 0.25), "table": (F.col("is_table"), 0.25), "visual": (shown, 0.2)}
+    scored = []
+    for row in listed:
+        score = T.hits(F.col("low"), row["terms"]) * 0.35 + F.coalesce(F.try_element_at("bonus", F.lit(row["role"])), F.lit(0.0))
+        if row["role"] in extra:
+            test, much = extra[row["role"]]
+            score = score + F.when(test, much).otherwise(0.0)
+        scored.append(F.struct(F.lit(row["role"]).alias("role"), score.alias("score")))
+    every = F.filter(F.array(*scored), lambda r: r["score"] > 0) if scored else F.array().cast("array<struct<role:string,score:double>>")
+    return rows.select(*keys, F.explode(every).alias("r")).select(*keys, "r.role", "r.score")
+
+
+def role_totals(scores: DataFrame, by: str) -> DataFrame:
+    """(by, place, role, score): what each role adds up to, the highest first; ties by name."""
+    totals = scores.groupBy(by, "role").agg(F.bround(F.sum("score"), 3).alias("score"))
+    return totals.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "role")))
 
 
 def expand(questions: DataFrame, focus: Column | None = None, role_terms: Column | None = None, most: int = 6) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
+from ..sources.scratch import saved
+from .search import small
 
 
 def ingest_new(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -33,6 +36,36 @@ def upsert_memory(log: DataFrame) -> DataFrame:
     return log.groupBy("conv_id", "memory_type", "key").agg(F.max_by("value", "seq").alias("value"), F.max(sure).alias("confidence"), F.max_by("source_message_id", named).alias("source_message_id"), F.min("seq").alias("created_seq"), F.max("seq").alias("updated_seq"))
 
 
+def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """rows with `total`, how many share their `by`, and `chunk_no`, their place among these from 0, by `order` (distinct within
+    a `by`). Ranges of (by, order) are numbered each by itself and shifted by what precedes them, so a hot `by` isn't one task."""
+    held = saved(rows.repartitionByRange(F.col(by), F.col(order)).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = held.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy("_by")
+    sizes = sizes.withColumn("total", F.sum("_n").over(group)).withColumn("_before", F.sum("_n").over(group.orderBy("_p")) - F.col("_n"))
+    placed = held.join(small(sizes), (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_by")))
+    own = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order))
+    return placed.withColumn("chunk_no", own + F.col("_before") - 1).drop("_part", "_p", "_by", "_n", "_before")
+
+
+def upsert_documents(log: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """Each document's last values, when it was first written (created) and last (updated). Of rows of one key and order the
+    largest values count."""
+    last = F.max(F.struct(order, *values)).alias("last")
+    rows = log.groupBy(key).agg(F.min(order).alias("created"), last)
+    return rows.select(key, *[F.col(f"last.`{v}`").alias(v) for v in values], "created", F.col(f"last.`{order}`").alias("updated"))
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """(conv_id, title, n_messages): a conversation opened by its first user message (conv_id, turn, role, text), whose first 40
+    characters are its title; conversations without such a message, or with an empty one, have the fixed title."""
+    asked = F.col("role") == "user"
+    first = F.min_by("text", F.when(asked, F.col("turn")))
+    title = F.substring(T.strip(T.whole(F.col("first"))), 1, fixed.TITLE_LENGTH)
+    rows = messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.when(F.bool_or(asked), first).alias("first"))
+    return rows.select("conv_id", F.when(F.length(title) > 0, title).otherwise(F.lit(fixed.UNTITLED)).alias("title"), "n_messages")
+
+
 def touch(items: DataFrame, uses: DataFrame, key: str) -> DataFrame:
     """Items with access_count raised by how often they were used."""
     n = uses.groupBy(key).agg(F.count("*").alias("_uses"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .functions import fixed
-from .operators import questions
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.PHRASE_STOP)
 
@@ -44,6 +43,7 @@ _TABLE = rf"""(length(flat) > 0 AND ({_count('flat', r'\|')} >= 6
 _FLAT_TABLE = rf"""(length(flat) > 0 AND ({_count('flat', r'\|')} >= 6 OR contains(flat, '|')
     OR ({_count('flat', '[0-9]')} / length(flat) > 0.28 AND {_count('flat', f'[{_CHARS}]')} < 80 AND length(flat) > 100)
     OR ({_count('flat', r'[|,:：/\\]')} / length(flat) > 0.22 AND length(flat) > 120)))"""
+_STORE_TABLE = rf"(length(flat) > 0 AND ({_count('flat', r'\|')} >= 6 OR ({_count('flat', '[0-9]')} / length(flat) > 0.28 AND {_count('flat', f'[{_CHARS}]')} < 80 AND length(flat) > 100)))"
 _TOKENS = f"""list_filter(flatten(list_transform(regexp_extract_all(lower({{}}), '[a-z0-9]{{{{2,}}}}|[{_CHARS}]{{{{2,}}}}'), lambda r: CASE WHEN NOT regexp_matches(r, '^[{_CHARS}]') THEN [r]
     ELSE list_concat(CASE WHEN length(r) <= 4 THEN [r] ELSE [] END, list_transform(range(1, length(r)), lambda i: r[i:i + 1]), CASE WHEN length(r) >= 4 THEN list_transform(range(1, length(r) - 1), lambda i: r[i:i + 2]) ELSE [] END) END)),
     lambda t: t NOT IN ({', '.join(f"'{w}'" for w in fixed.TOKEN_BLOCKED)}))"""
@@ -111,13 +111,100 @@ _TRACE = f"""{_JUDGED}, marked AS (SELECT qid, doc_id, rank, score, relevance, {
                       CASE WHEN selected_rank IS NOT NULL THEN '' WHEN table_like THEN 'table' WHEN relevance < 0.08 AND score < 0.45 THEN 'low_scores' WHEN rank > 8 AND score < lowest THEN 'below_selected' ELSE 'displaced' END AS reason FROM traced)"""
 _ROLES = [("purpose", fixed.STRONG_MARKERS), ("claim", ["result", "evaluation", "tion the"]), ("dataset", ["dataset", "data", "|"])]
 _ROLE_CASES = " UNION ALL ".join(f"SELECT doc_id, '{role}' AS role, {_hits('low', terms)} * 0.35::DOUBLE + {0.35 if role == 'claim' else 0.0}::DOUBLE + {'CASE WHEN n <= greatest(2, floor(total * 0.08)) THEN 0.35::DOUBLE ELSE 0 END' if role == 'purpose' else 'CASE WHEN table_like THEN 0.25::DOUBLE ELSE 0 END' if role == 'claim' else '0'} AS score FROM marked" for role, terms in _ROLES)
-_FLAGS = {"visual": f"({_any('low', questions.VISUAL)} OR ({_any('low', questions.WEAK_VISUAL)} AND NOT ({_any('low', questions.PAIRED)} AND {_any('low', questions.PAIRED_DATA)})))", "table_": _any("low", questions.TABLE), "compare": _any("low", questions.COMPARE), "overview": _any("low", questions.OVERVIEW), "reference": _any("low", questions.REFERENCE), "field": _any("low", questions.FIELD), "meta": _any("low", questions.META)}
+
+
+def _rx(text: str, words: str) -> str:
+    return f"regexp_matches({text}, '{words}')"
+
+
+_TABLE_ASKED = "评分表|实验评分|分数构成|分数|总分|表格中|表中|结构化数据|数据是多少|指标|数值|公式|计算"
+_FIELDS = {"keywords": "关键词|关键字|keywords|keyword|key words", "abstract": "摘要|abstract", "authors": "作者", "affiliation": "作者单位|单位|机构", "date": "完成日期|日期|时间", "title": "标题|题目"}
+_IS_FIELD = "(fields <> '' AND NOT " + _rx("low", "分析|解释|意思|含义|评价|判断|为什么|有必要|必要吗|需要吗|该不该|干扰|怎么|如何|可靠|局限|不足|贡献|方法|结论|风险|治理|支撑|匹配|相符|跑题|概括|总结|摘要一下") + " AND (" + _rx("low", "是什么|有哪些|哪些|列出|提取|写出|给我|告诉我|是多少|是谁|字段|部分|内容|keyword") + " OR length({}) <= 28))"
+_CONTENT = "(flat <> '' AND NOT " + _IS_FIELD.format("flat") + " AND " + _rx("flat", "介绍|说说|讲讲|讲一下|说一下|看一下|简单说|简单讲|大概|概括|总结|讲了什么|写了什么|写了啥|是干嘛|做什么|干什么") + " AND " + _rx("flat", "文章|论文|文档|报告|材料|这篇|这份|全文|内容|实验|章节|部分") + ")"
+_SUBMITS = "提交|交什么|作业|思考题|选做|评分|交报告|交代码"
+_FLAGS = {
+    "visual": "(" + _rx("flat", r"图片|截图|图表|图中|图里|图上|图示|架构图|示意图|视觉证据|图片证据|看图|figure|fig\.|chart|diagram|screenshot|visual evidence|image evidence|what does the image|(in|from) the image") + " OR (" + _rx("flat", "图像|视觉|image|visual") + " AND NOT (" + _rx("flat", "图像[-/与和]?文本|图文|image[- /]text|image and text") + " AND " + _rx("flat", "数据|规模|训练|对|data|training|pair") + ")))",
+    "table": _rx("low", _TABLE_ASKED),
+    "reference": "(" + _rx("low", "参考文献|引用文献|引用了哪些|参考了哪些|用了哪些文献|用了哪些参考|文献列表|参考列表|references|bibliography") + " OR (contains(low, '文献') AND " + _rx("low", "哪些|列出|引用|参考|出处|来源") + "))",
+    "field": _IS_FIELD.format("stripped"),
+    "compare": _rx("low", "对比|比较|不同点|差异|区别|有什么不同|哪里不同|compare|comparison|different|differences|versus| vs "),
+    "overview": "(" + _rx("low", "概括|总结|讲了什么|讲啥|写了啥|写的啥|说了啥|主要内容|通俗语言|大意|一句话") + f" OR {_CONTENT})",
+    "document_wide": "(" + _rx("low", "概括|总结|讲了什么|讲啥|讲了啥|写了啥|写的啥|说了啥|大概讲|大概说|主要内容|主要写|通俗语言|大意|一句话|发现|重点|核心|结论|贡献|方法|局限|不足|目的|主题|能学到|学到什么|收获|启发") + f" OR {_CONTENT})",
+    "meta": _rx("low", "你是谁|怎么使用|有哪些功能|如何上传|支持什么模型"),
+    "opening": _rx("low", "概括|总结|讲了什么|讲啥|讲了啥|写了啥|写的啥|说了啥|主要内容|大意|一句话|目的|主题|能学到|学到什么|收获|启发"),
+    "experiment": "(contains(low, '实验') AND " + _rx("low", "内容|目的|要求|步骤|过程|任务|介绍|说说|讲讲|概括|总结|做什么|干什么|是干嘛") + " AND NOT " + _rx("low", _SUBMITS) + ")",
+    "topics": _rx("low", "选题|多篇|多份|几篇|这些文献|全部文献|所有文献|同时纳入|一起分析|综合|归纳|综述|文献综述|研究现状|共同|关系|关联|互相|异同|脉络"),
+    "metric": _rx("low", "结果|result|table|表格|指标|metric|score|accuracy|error|benchmark"),
+    "dataset": _rx("low", "数据集|训练数据|数据规模|规模|dataset|corpus|training set|data scale|samples|多少|构建"),
+    "pretraining": "(" + _rx("low", "预训练目标|pre-?training objective") + " OR (" + _rx("low", "预训练|pre-?training") + " AND " + _rx("low", "目标|objective|goal|loss|task") + "))",
+    "framework": "(" + _rx("low", "framework|框架|model|system|method") + " AND " + _rx("low", "功能|function|作用|角色|role|component|stage") + ")",
+    "trustworthy": "(" + _rx("low", "可信|trustworthy") + " AND " + _rx("low", "特征|特点|characteristic") + ")",
+    "mechanism": _rx("plain", "how|why|pursue|achieve|improve|approach|method|mechanism|compare|如何|怎么|怎样|机制|方法|对比"),
+    "efficiency": _rx("low", r"(^|[^\p{L}\p{N}_])(efficiency|efficient|resource|memory|parameter|parameters|compute|storage|throughput|latency|speedup|faster|smaller|cost)($|[^\p{L}\p{N}_])"),
+    "adaptation": "(" + _rx("low", "main idea|core idea|method idea|adaptation idea|approach|mechanism") + " AND " + _rx("low", "adaptation|fine-tuning|pre-?trained|weights|rank|matrix|matrices|parameter") + ")",
+    "factors": "(" + _rx("low", "design|training|factor|ablation|component") + " AND " + _rx("low", "important|identify|affect|effect|representation") + ")",
+    "asks_code": _rx("low", "代码|源码|函数|类|实现细节|怎么实现|程序|写法"),
+    "asks_submission": _rx("low", _SUBMITS),
+}
+_MARKED = rf"""texts AS (SELECT doc_id, text AS own, {_clean('text')} AS text FROM documents), flats AS (SELECT *, {_flat('text')} AS flat, {_flat('lower(text)')} AS low FROM texts),
+     kinds AS (SELECT *, {_TABLE} AS table_like, {_flat('own')} AS own_flat, {_hits('low', ['论文题目', '题目', '作者', '单位', '学院', '学校', '专业', '班级', '姓名', '学号', '指导教师', '完成日期', '日期', '关键词', '关键字'])} AS labels,
+        list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS ls,
+        length(regexp_extract(flat, '^(.*?)(?:关键词|关键字|作者|单位|作者单位|机构|日期|完成日期)\s*[:：]', 1)) AS spot,
+        len(list_filter(['function', 'functions', 'core', 'component', 'components', 'capability', 'capabilities', 'stage', 'process', 'role', 'policy', 'strategy'], lambda w: regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || w || '($|[^\p{{L}}\p{{N}}_])'))) AS words,
+        {_count('text', 'function |const |let |var |=>|addEventListener|querySelector|return |class |</|[{}]|;')} AS marks FROM flats),
+     tested AS (SELECT *, low = '' OR (NOT {_rx('low', 'abstract|introduction|we propose|in this work')} AND ({_rx('low', 'provided proper attribution|hereby grants permission|journalistic or scholarly works|work performed while at|conference on neural information processing systems|arxiv:')}
+          OR (labels >= 2 AND length(low) <= 360 AND NOT {_rx('low', '本文围绕|本文旨在|本文提出|本研究|研究认为|in this paper|in this work')}) OR {_rx('low', '^(摘 *要|abstract)[:：]?$')}
+          OR ({_rx('low', '作者|单位|日期')} AND {_rx('low', '摘 ?要')} AND NOT {_rx('low', '本文围绕|研究认为|in this paper|in this work')} AND length(low) <= 260)
+          OR (length(low) - length(replace(low, '[邮箱已隐藏]', ''))) / 7 >= 3)) AS front_matter,
+        flat = '' OR ({_rx('flat', '(关键词|关键字|作者|单位|机构|日期) *[:：]')} AND (spot <= 90 OR length(flat) <= 220)) OR (contains(flat, '摘 要') AND length(flat) <= 80) AS metadata,
+        {_rx('flat', '实验提交|提交代码|提交报告|思考题|选做|作业提交|评分标准|可添加公式')} AS submission,
+        marks >= 8 OR (words < 3 AND len(ls) >= 4 AND len(list_filter(ls, lambda x: regexp_matches(x, 'function\s+\w+|const\s+\w+|let\s+\w+|var\s+\w+|=>|[{{}};]{{2,}}|</?\w+'))) / len(ls) >= 0.45) AS code,
+        regexp_matches(own_flat, '(?i)(^|[^\p{{L}}\p{{N}}_])references($|[^\p{{L}}\p{{N}}_])') OR (contains(own_flat, '参考文献') AND regexp_matches(own_flat, '\[[0-9]{{1,3}}\]')) AS refs FROM kinds),
+     penalised AS (SELECT *, round(front_matter::INT * 1.8::DOUBLE + metadata::INT * 1.0::DOUBLE + refs::INT * 1.45::DOUBLE + submission::INT * 0.7::DOUBLE + code::INT * 0.55::DOUBLE + table_like::INT * 0.45::DOUBLE, 6) AS penalty FROM tested)"""
 
 SQL = {
-    "question_features": f"""WITH q AS (SELECT conv_id, turn, {_flat('lower(text)')} AS low FROM conversations WHERE role = 'user'),
-     f AS (SELECT conv_id, turn, {', '.join(f'{v} AS {k}' for k, v in _FLAGS.items())} FROM q)
-SELECT conv_id, turn, CASE WHEN reference THEN 'reference_question' WHEN field THEN 'field_lookup_question' WHEN compare THEN 'compare_question' WHEN overview THEN 'document_wide_question' WHEN meta THEN 'meta_question' ELSE 'specific_question' END AS intent,
-       visual, table_ AS "table", compare, overview FROM f""",
+    "question_features": rf"""WITH q AS (SELECT conv_id, turn, lower(text) AS low, {_flat('lower(text)')} AS flat, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS stripped, lower({_clean('text')}) AS plain,
+        array_to_string(list_filter([{', '.join(f"CASE WHEN {_rx('lower(text)', w)} THEN '{k}' ELSE '' END" for k, w in _FIELDS.items())}], lambda x: x <> ''), ',') AS fields FROM conversations WHERE role = 'user'),
+     f AS (SELECT conv_id, turn, fields, {', '.join(f'coalesce({v}, FALSE) AS "{k}"' for k, v in _FLAGS.items())} FROM q),
+     g AS (SELECT *, CASE WHEN reference THEN 'reference_question' WHEN field THEN 'field_lookup_question' WHEN compare THEN 'compare_question' WHEN document_wide THEN 'document_wide_question' WHEN meta THEN 'meta_question' ELSE 'specific_question' END AS intent FROM f)
+SELECT *, CASE intent WHEN 'reference_question' THEN 'reference_section' WHEN 'field_lookup_question' THEN 'field_lookup' WHEN 'compare_question' THEN 'comparison_overview' WHEN 'document_wide_question' THEN 'document_overview' WHEN 'meta_question' THEN 'no_retrieval' ELSE 'vector_similarity' END AS strategy FROM g""",
+    "noise_penalties": f"WITH {_MARKED} SELECT doc_id, front_matter, metadata, submission, code, penalty FROM penalised",
+    "boosted_bm25_top5": f"""WITH {_MARKED}, quiet AS (SELECT doc_id, own AS text FROM penalised WHERE penalty < 2.2), {_BM25.replace('AS toks FROM documents)', 'AS toks FROM quiet)')},
+     d AS (SELECT doc_id, own AS text, own_flat AS flat, low, lower(text) AS lowtext FROM penalised WHERE penalty < 2.2), r AS (SELECT *, {_TABLE} AS as_table FROM d),
+     focus AS (SELECT qid, list(token) AS fs FROM keyword WHERE n <= 4 GROUP BY 1),
+     s AS (SELECT raw.qid, raw.doc_id, round(raw + 0.8::DOUBLE * ({_hits('low', ['result', 'evaluation', 'tion the'])} * 0.35::DOUBLE + CASE WHEN as_table THEN 0.25 ELSE 0 END) - CASE WHEN as_table AND NOT {_rx('lower(b.text)', _TABLE_ASKED)} THEN 1.1::DOUBLE ELSE 0 END
+             + 0.55::DOUBLE * coalesce(len(list_filter(fs, lambda t: contains(lowtext, t))) / len(fs), 0), 6) AS raw FROM raw JOIN r USING (doc_id) JOIN benchmark b ON b.item_id = raw.qid LEFT JOIN focus USING (qid)),
+     t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc_id) AS rank FROM s QUALIFY rank <= 5)
+SELECT qid, rank::INTEGER AS rank, doc_id, round(CASE WHEN raw <= 0 THEN 0 ELSE raw / (raw + 3) END, 6) AS score FROM t""",
+    "store_quotes": rf"""WITH d AS (SELECT doc_id, {_flat('text')} AS flat FROM documents),
+     e AS (SELECT doc_id, unnest(parts) AS flat, generate_subscripts(parts, 1) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(flat, '[^。！？.!?；;]*[。！？.!?；;]|[^。！？.!?；;]+$'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM d)),
+     p AS (SELECT doc_id, n, flat, sum(length(flat)) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM e WHERE NOT {_STORE_TABLE}),
+     q AS (SELECT doc_id, string_agg(flat, '' ORDER BY n) AS quote FROM p WHERE upto <= 280 GROUP BY 1)
+SELECT doc_id, md5(CASE WHEN length(flat) <= 280 AND NOT {_STORE_TABLE} THEN flat ELSE coalesce(quote, flat[:280]) END) AS quote FROM d LEFT JOIN q USING (doc_id)""",
+    "targeted_rules": rf"""WITH {_JUDGED}, c AS (SELECT qid, doc_id, relevance, {_clean('text')} AS text FROM judged), e AS (SELECT *, lower(text) AS low, {_flat('text')} AS flat FROM c),
+     w AS (SELECT *, {_TABLE} AS table_like, len(list_filter(['function', 'functions', 'core', 'component', 'components', 'capability', 'capabilities', 'stage', 'stages', 'process', 'processes', 'role', 'roles', 'policy', 'strategy', 'outcome', 'outcomes'], lambda x: regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])' || x || '($|[^\p{{L}}\p{{N}}_])'))) AS words FROM e),
+     a AS (SELECT qid, doc_id, 1 AS rule_no, 'framework' AS rule, round(0.72::DOUBLE + least(0.22::DOUBLE, words * 0.04::DOUBLE) + CASE WHEN {_rx('low', 'core|function|component|categories')} THEN 0.16::DOUBLE ELSE 0 END + CASE WHEN {_rx('low', 'composed of|consists of|organized into|functions organize')} THEN 0.24::DOUBLE ELSE 0 END + 0.25::DOUBLE * relevance, 6) AS s FROM w WHERE words >= 2
+           UNION ALL SELECT qid, doc_id, 2, 'table', round(0.85::DOUBLE + 0.5::DOUBLE * relevance, 6) FROM w WHERE table_like),
+     k AS (SELECT *, row_number() OVER (PARTITION BY qid, rule_no ORDER BY s DESC, doc_id) AS rank FROM a QUALIFY rank <= 5),
+     o AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rule_no, rank) AS once FROM k QUALIFY once = 1)
+SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY rule_no, rank))::INTEGER AS position, rule, doc_id, least(1, s) AS score FROM o""",
+    "target_documents": f"""WITH {_RRF}, {_GOLD}, c AS (SELECT h.qid, h.doc_id, g.doc_id IS NOT NULL AS asked FROM hybrid h LEFT JOIN gold g ON g.qid = h.qid AND g.doc_id = h.doc_id)
+SELECT qid, doc_id FROM c QUALIFY asked OR NOT bool_or(asked) OVER (PARTITION BY qid)""",
+    "gold_scores": f"""WITH {_RRF}, {_GOLD}, e AS (SELECT qid, doc_id, rank FROM hybrid WHERE rank <= 5), n AS (SELECT qid, count(*) AS n FROM e GROUP BY 1),
+     m AS (SELECT g.qid, count(*) AS n_gold, count(e.doc_id) AS n_met, bool_or(coalesce(e.rank = 1, FALSE)) AS first FROM gold g LEFT JOIN e ON e.qid = g.qid AND e.doc_id = g.doc_id GROUP BY 1),
+     p AS (SELECT qid, list(phrase) AS ps FROM kept WHERE n < 3 GROUP BY 1),
+     x AS (SELECT item_id AS qid, CASE item_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'There is not enough evidence.' ELSE text || ' [E1]' END AS answer, regexp_matches(lower(text), '证据不足|无法证明|没有证据|无关结论|unsupported|not enough evidence') AS refusal, coalesce(n.n, 0) AS n, n_gold, n_met, first, ps FROM benchmark LEFT JOIN n ON n.qid = item_id LEFT JOIN m ON m.qid = item_id LEFT JOIN p ON p.qid = item_id),
+     f AS (SELECT *, {_flat('lower(' + _plain('answer') + ')')} AS form, item_id5 FROM (SELECT *, qid % 5 AS item_id5 FROM x)),
+     c AS (SELECT qid, answer, list_filter([CASE WHEN n = 0 THEN 'no_evidence' ELSE '' END, CASE WHEN item_id5 < 2 OR n = 0 THEN 'citation_missing' ELSE '' END, CASE WHEN n < 2 THEN 'wrong_document' ELSE '' END,
+         CASE WHEN n_gold > 0 AND n_met / n_gold < 0.5 THEN 'gold_evidence_missed' ELSE '' END, CASE WHEN n_gold > 0 AND NOT (item_id5 > 1 AND first) THEN 'citation_unsupported' ELSE '' END,
+         CASE WHEN len(ps) > 0 AND len(list_filter(ps, lambda t: contains(form, t))) / len(ps) < 0.67 THEN 'answer_point_missing' ELSE '' END, CASE WHEN refusal AND NOT regexp_matches(form, 'not enough evidence|cannot determine|does not support|no evidence') THEN 'refusal_missing' ELSE '' END], lambda x: x <> '') AS fs FROM f)
+SELECT qid, CASE WHEN answer IS NULL THEN 'blocked' WHEN len(fs) = 0 THEN 'pass' ELSE 'fail' END AS status, round(CASE WHEN answer IS NULL THEN 0 ELSE 1 - len(fs) / 9 END, 6) AS score, CASE WHEN answer IS NULL THEN 'answer_generation_failure' ELSE array_to_string(fs, ',') END AS failures FROM c""",
+    "document_upsert": "SELECT user_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 4) AS value, min(event_id) AS created, max(event_id) AS updated FROM events GROUP BY 1",
+    "conversation_list": r"SELECT conv_id, coalesce(nullif(regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user'), ''), '^\s+|\s+$', '', 'g')[:40], ''), '新的论文对话') AS title, count(*) AS n_messages FROM conversations GROUP BY 1",
+    "role_totals": f"""WITH doc AS (SELECT doc_id, source, text, {_flat('text')} AS flat, {_LOW} AS low, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS total FROM documents),
+     marked AS (SELECT *, {_TABLE} AS table_like FROM doc), s AS (SELECT doc_id, role, round(score, 6) AS score FROM ({_ROLE_CASES}) WHERE score > 0),
+     t AS (SELECT source, role, round(sum(score), 3) AS score FROM s JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT source, (row_number() OVER (PARTITION BY source ORDER BY score DESC, role))::INTEGER AS place, role, score FROM t""",
     "query_expansion": f"""WITH {_PHRASES}, six AS (SELECT qid, string_agg(phrase, ' ' ORDER BY n) AS ps FROM kept WHERE n < 6 GROUP BY 1),
      own AS (SELECT item_id AS qid, {_flat('text')} AS q FROM benchmark)
 SELECT qid, 0::BIGINT AS query_no, md5(q) AS query FROM own UNION ALL SELECT qid, 1, md5(q || ' ' || ps) FROM own JOIN six USING (qid)""",

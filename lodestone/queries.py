@@ -310,8 +310,8 @@ def uncovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", questions.features(F.col("text")).alias("f")).select("conv_id", "turn", "f.intent", "f.visual", "f.table", "f.compare", "f.overview")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", questions.features(F.col("text")).alias("f"))
+    return rows.select("conv_id", "turn", "f.*").withColumn("fields", F.array_join("fields", ","))
 
 
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,12 +323,90 @@ ROLE_TERMS = [("purpose", t) for t in fixed.STRONG_MARKERS] + [("claim", t) for
 
 
 def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each language as one document whose chunks are its documents, in order of their ids."""
+    """Each source as one document whose chunks are its documents, in order of their ids."""
     docs = table(spark, sf_dir, "documents")
-    number = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("chunk_no")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), number, F.lit("Conclusion").alias("section"), "text")
-    out = questions.role_scores(chunks, spark.createDataFrame(ROLE_TERMS, "role string, term string"), ["chunk_id"])
-    return out.select(F.col("chunk_id").alias("doc_id"), "role", F.round("score", 6).alias("score"))
+    numbers = state.numbered(docs.select("doc_id", "source"), "source", "doc_id").select("doc_id", "chunk_no", "total")
+    chunks = docs.select("doc_id", F.lit("Conclusion").alias("section"), "text").join(numbers, "doc_id")
+    out = questions.role_scores(chunks, spark.createDataFrame(ROLE_TERMS, "role string, term string"), ["doc_id"])
+    return out.select("doc_id", "role", F.round("score", 6).alias("score"))
+
+
+def role_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each role adds up to in each source."""
+    scores = role_scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return questions.role_totals(scores, "source")
+
+
+def noise_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What noise costs each document for an ordinary question."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_front_matter(text).alias("front_matter"), T.is_metadata(text).alias("metadata"), T.is_submission(text).alias("submission"), T.is_code(text).alias("code"), F.round(T.noise_penalty(text), 6).alias("penalty"))
+
+
+#: A text whose noise costs as much is no candidate.
+TOO_NOISY = 2.2
+
+
+def boosted_bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over documents that aren't noisy, with boosts for claims and for the first four keywords of a question."""
+    low = T.lowered(F.col("text"))
+    docs = table(spark, sf_dir, "documents").where(T.noise_penalty(F.col("text")) < TOO_NOISY)
+    claims = [t for role, t in ROLE_TERMS if role == "claim"]
+    as_table = T.is_table(F.col("text"))
+    docs = saved(docs.select("doc_id", "text", (T.hits(low, claims) * 0.35 + F.when(as_table, 0.25).otherwise(0.0)).alias("role_score"), as_table.alias("table_like")), "quiet")
+    listed = saved(search.tokenised(docs, "doc_id"), "tokens")
+    n, mean = search.corpus_size(listed, "doc_id")
+    asked = _questions(spark, sf_dir)
+    terms = saved(search.query_terms(asked), "terms")
+    raw = saved(search.bm25(search.postings(listed, "doc_id", asked=terms), terms, ["doc_id"], n, mean).withColumn("raw", F.round("raw", 6)), "raw")
+    focus = asked.select("qid", F.slice(T.question_keywords(F.col("question")), 1, 4).alias("focus"), questions.features(F.col("question"))["table"].alias("table_asked"))
+    return search.boosted(raw, docs, focus, K).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def store_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.best_quote(F.col("text"))).alias("quote"))
+
+
+def targeted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on a framework's functions and on tables over each question's fused candidates, one after the other."""
+    rows = _judged(spark, sf_dir).select("qid", F.col("doc_id"), F.lit(0).alias("chunk_no"), "text", F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("image_id"), "relevance", F.lit(False).alias("visual_asked"))
+    rows = saved(rows, "scoped")
+    found = expand.rule_union({"framework": expand.framework_rule(rows, K), "table": expand.modality_rule(rows, K, tables=True)})
+    return found.select("qid", "position", "rule", "doc_id", F.round("score", 6).alias("score"))
+
+
+def target_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a question's text are what it asks for; its fused candidates are what there is."""
+    return questions.target_documents(_gold(spark, sf_dir), _fused(spark, sf_dir))
+
+
+def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as cases. Each fifth has no answer, the next one refuses, the others repeat their question and cite [E1]."""
+    evidence = saved(_fused(spark, sf_dir).where(F.col("rank") <= K).select("qid", "doc_id", "rank"), "evidence")
+    gold = saved(_gold(spark, sf_dir), "gold")
+    met = evidence.join(gold, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.count("*").alias("n_met"), F.min("rank").alias("first"))
+    rows = _questions(spark, sf_dir).join(evidence.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left")
+    rows = rows.join(gold.groupBy("qid").agg(F.count("*").alias("n_gold")), "qid", "left").join(met, "qid", "left")
+    answer = F.when(F.col("qid") % 5 == 1, "There is not enough evidence.").when(F.col("qid") % 5 > 1, F.concat("question", F.lit(" [E1]")))
+    rows = rows.withColumn("answer", answer).withColumn("cites", F.array_contains(judge.cited(F.col("answer")), "E1"))
+    n, asked = F.coalesce("n", F.lit(0)), F.col("n_gold").isNotNull()
+    points = F.slice(T.question_phrases(F.col("question")), 1, 3)
+    rows = rows.select(
+        "qid", "answer", n.alias("n_evidence"), F.when(F.col("cites") & (n > 0), 1).otherwise(0).alias("n_valid_citations"), F.least(F.lit(1.0), n / 2).alias("document_coverage"),
+        F.when(asked, F.coalesce("n_met", F.lit(0)) / F.col("n_gold")).alias("recall"), F.when(asked, F.when(F.col("cites") & (F.col("first") == 1), 1.0).otherwise(0.0)).alias("support"),
+        F.when(F.size(points) > 0, T.term_rate(points, T.evaluation_form(F.col("answer")))).alias("point_coverage"),
+        evaluate.expects_refusal(F.col("question"), F.lit(None).cast("boolean")).alias("expected_refusal"), F.lit(False).alias("used_fallback"))
+    return evaluate.gold_cases(rows).select("qid", "status", F.round("score", 6).alias("score"), F.array_join("failures", ",").alias("failures"))
+
+
+def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as writes to one row per user."""
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))
+    return state.upsert_documents(log, "user_id", "event_id", ["event_type", "value"])
+
+
+def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.conversations(table(spark, sf_dir, "conversations"))
 
 
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +444,7 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 220).alias("head"))
 
 
-QUERIES = [question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
+QUERIES = [noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
