@@ -146,11 +146,11 @@ _FLAGS = {
     "asks_code": _rx("low", "代码|源码|函数|类|实现细节|怎么实现|程序|写法"),
     "asks_submission": _rx("low", _SUBMITS),
 }
-_MARKED = rf"""texts AS (SELECT doc_id, text AS own, {_clean('text')} AS text FROM documents), flats AS (SELECT *, {_flat('text')} AS flat, {_flat('lower(text)')} AS low FROM texts),
-     kinds AS (SELECT *, {_TABLE} AS table_like, {_flat('own')} AS own_flat, {_hits('low', ['论文题目', '题目', '作者', '单位', '学院', '学校', '专业', '班级', '姓名', '学号', '指导教师', '完成日期', '日期', '关键词', '关键字'])} AS labels,
+_MARKED = rf"""texts AS MATERIALIZED (SELECT doc_id, text AS own, {_clean('text')} AS text FROM documents), flats AS MATERIALIZED (SELECT *, {_flat('text')} AS flat, {_flat('lower(text)')} AS low FROM texts),
+     kinds AS MATERIALIZED (SELECT *, {_TABLE} AS table_like, {_flat('own')} AS own_flat, {_hits('low', ['论文题目', '题目', '作者', '单位', '学院', '学校', '专业', '班级', '姓名', '学号', '指导教师', '完成日期', '日期', '关键词', '关键字'])} AS labels,
         list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS ls,
         length(regexp_extract(flat, '^(.*?)(?:关键词|关键字|作者|单位|作者单位|机构|日期|完成日期)\s*[:：]', 1)) AS spot,
-        len(list_filter(['function', 'functions', 'core', 'component', 'components', 'capability', 'capabilities', 'stage', 'process', 'role', 'policy', 'strategy'], lambda w: regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || w || '($|[^\p{{L}}\p{{N}}_])'))) AS words,
+        len(list_intersect(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), ['function', 'functions', 'core', 'component', 'components', 'capability', 'capabilities', 'stage', 'process', 'role', 'policy', 'strategy'])) AS words,
         {_count('text', 'function |const |let |var |=>|addEventListener|querySelector|return |class |</|[{}]|;')} AS marks FROM flats),
      tested AS (SELECT *, low = '' OR (NOT {_rx('low', 'abstract|introduction|we propose|in this work')} AND ({_rx('low', 'provided proper attribution|hereby grants permission|journalistic or scholarly works|work performed while at|conference on neural information processing systems|arxiv:')}
           OR (labels >= 2 AND length(low) <= 360 AND NOT {_rx('low', '本文围绕|本文旨在|本文提出|本研究|研究认为|in this paper|in this work')}) OR {_rx('low', '^(摘 *要|abstract)[:：]?$')}
@@ -160,7 +160,7 @@ _MARKED = rf"""texts AS (SELECT doc_id, text AS own, {_clean('text')} AS text FR
         {_rx('flat', '实验提交|提交代码|提交报告|思考题|选做|作业提交|评分标准|可添加公式')} AS submission,
         marks >= 8 OR (words < 3 AND len(ls) >= 4 AND len(list_filter(ls, lambda x: regexp_matches(x, 'function\s+\w+|const\s+\w+|let\s+\w+|var\s+\w+|=>|[{{}};]{{2,}}|</?\w+'))) / len(ls) >= 0.45) AS code,
         regexp_matches(own_flat, '(?i)(^|[^\p{{L}}\p{{N}}_])references($|[^\p{{L}}\p{{N}}_])') OR (contains(own_flat, '参考文献') AND regexp_matches(own_flat, '\[[0-9]{{1,3}}\]')) AS refs FROM kinds),
-     penalised AS (SELECT *, round(front_matter::INT * 1.8::DOUBLE + metadata::INT * 1.0::DOUBLE + refs::INT * 1.45::DOUBLE + submission::INT * 0.7::DOUBLE + code::INT * 0.55::DOUBLE + table_like::INT * 0.45::DOUBLE, 6) AS penalty FROM tested)"""
+     penalised AS MATERIALIZED (SELECT *, round(front_matter::INT * 1.8::DOUBLE + metadata::INT * 1.0::DOUBLE + refs::INT * 1.45::DOUBLE + submission::INT * 0.7::DOUBLE + code::INT * 0.55::DOUBLE + table_like::INT * 0.45::DOUBLE, 6) AS penalty FROM tested)"""
 
 SQL = {
     "question_features": rf"""WITH q AS (SELECT conv_id, turn, lower(text) AS low, {_flat('lower(text)')} AS flat, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS stripped, lower({_clean('text')}) AS plain,
