@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity
+from . import chat, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter
 from .pii_sql import OP1_SQL
 
 
@@ -165,6 +165,36 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages"))
+    return out.withColumn("terms", F.array_join(F.array_sort("terms"), ","))
+
+
+def _url_terms(terms: list[str]) -> str:
+    return "[x FOR x IN [" + ", ".join(f"'{t}'" for t in terms) + "] IF regexp_matches(low, '(^|[^a-z0-9])' || x || '([^a-z0-9]|$)')]"
+
+
+_STRICT_URL = ["casino", "spam", "porn", "xxx", "viagra", "escort", "malware", "warez"]
+_SOFT_URL = ["cheap", "pills", "win", "bonus", "free", "bet", "poker", "loan", "replica", "crack", "torrent", "adult", "dating", "pharmacy"]
+
+OP11_SQL = f"""
+WITH low AS (SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM pages),
+     part AS (SELECT *, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM low),
+     seen AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_url_terms(_STRICT_URL)} AS strict_hits, {_url_terms(_SOFT_URL)} AS soft_hits FROM part),
+     ruled AS (SELECT *, CASE WHEN '.' || host LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                              WHEN '.' || host LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+                              WHEN '.' || host LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+                              WHEN '.' || host LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+                              WHEN '.' || host LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM seen)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN len(strict_hits) > 0 OR len(soft_hits) > 1 THEN 'block' ELSE 'allow' END AS verdict,
+       len(strict_hits)::BIGINT AS n_strict, len(soft_hits)::BIGINT AS n_soft, array_to_string(list_sort(strict_hits || soft_hits), ',') AS terms
+FROM ruled
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -177,6 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
+        "op11_url_filter": op11_url_filter,
     }
 
 
@@ -188,4 +219,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": OP7_SQL,
         "op8_topk": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op11_url_filter": OP11_SQL,
     }
