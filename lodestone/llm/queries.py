@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter
+from . import chat, hard_negatives, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter
 from .pii_sql import OP1_SQL
 
 
@@ -195,6 +195,26 @@ FROM ruled
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP13_SQL = """
+WITH good AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+              WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     score AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+               FROM good a JOIN good c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+     positive AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM score WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN score USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -208,6 +228,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
         "op11_url_filter": op11_url_filter,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -220,4 +241,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_topk": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
         "op11_url_filter": OP11_SQL,
+        "op13_hard_negatives": OP13_SQL,
     }
