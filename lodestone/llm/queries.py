@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hard_negatives, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter
+from . import chat, conversation_repair, hard_negatives, learning, metric_join, mixing, packing, pii, quality, simhash, substring_dedup, topk, toxicity, url_filter
 from .pii_sql import OP1_SQL
 
 
@@ -195,6 +195,68 @@ FROM ruled
 """
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, times): turns with the faults that the contract plants by a hash of conversation and turn."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn")).cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("times"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(conversation_repair.repair(damaged(turns)), turns)
+
+
+#: A CRC-32 bit by bit over bytes, each followed by seven zeros; then the search, one row of each conversation a step.
+OP12_SQL = r"""
+WITH RECURSIVE
+  coded AS (SELECT coalesce(conv_id, -1) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+  named AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(key, '')])),
+                   lambda h, b: xor(xor(h, b) >> 1, 3988292384 * (xor(h, b) & 1))), 4294967295::BIGINT) % 20 AS kind FROM coded),
+  hurt AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                  unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM named),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS n FROM hurt),
+  seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY n) AS nth, right(rtrim(text, e' 	
+'), 1) AS final,
+                  lag(left(role, 1)) OVER (PARTITION BY c ORDER BY n) AS before FROM placed),
+  fault AS (SELECT *, left(role, 1) AS initial, CASE WHEN final = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+  counted AS (SELECT c, max(n) AS rows_, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY c),
+  way(state, target, added, letters, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+       (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']),
+       (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+  kept(state, initial, target) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+  given(state, role, target) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+  found(c, n, state, cost, audit, lines) AS (
+    SELECT DISTINCT c, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM fault
+    UNION ALL
+    SELECT c, n, state, cost, audit, lines FROM (
+      SELECT *, row_number() OVER (PARTITION BY c, state ORDER BY cost, audit) AS best FROM (
+        SELECT f.c, t.n, w.target AS state, f.cost + w.added + 3 AS cost, f.audit || w.letters || 'D' AS audit, f.lines || w.lines AS lines
+        FROM found f JOIN fault t ON t.c = f.c AND t.n = f.n + 1 JOIN way w ON w.state = f.state
+        UNION ALL
+        SELECT f.c, t.n, k.target, f.cost + w.added + (t.fault = 'truncated')::INTEGER, f.audit || w.letters || 'K', f.lines || w.lines || [t.role || ':' || t.text]
+        FROM found f JOIN fault t ON t.c = f.c AND t.n = f.n + 1 JOIN way w ON w.state = f.state JOIN kept k ON k.state = w.target AND k.initial = t.initial
+        WHERE t.fault NOT IN ('blank', 'duplicate')
+        UNION ALL
+        SELECT f.c, t.n, g.target, f.cost + w.added + 2 + (t.fault = 'truncated')::INTEGER, f.audit || w.letters || 'R', f.lines || w.lines || [g.role || ':' || t.text]
+        FROM found f JOIN fault t ON t.c = f.c AND t.n = f.n + 1 JOIN way w ON w.state = f.state JOIN given g ON g.state = w.target
+        WHERE t.fault NOT IN ('blank', 'duplicate'))) WHERE best = 1),
+  done AS (SELECT f.c, f.cost + w.added AS cost, f.audit || w.letters AS audit, f.lines || w.lines AS lines,
+                  row_number() OVER (PARTITION BY f.c ORDER BY f.cost + w.added, f.audit || w.letters) AS best
+           FROM found f JOIN counted k ON k.c = f.c AND k.rows_ = f.n JOIN way w ON w.state = f.state WHERE w.target IN (0, 3))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM coded) o LEFT JOIN counted USING (c) LEFT JOIN (SELECT * FROM done WHERE best = 1) d USING (c)
+"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -228,6 +290,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
         "op11_url_filter": op11_url_filter,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
@@ -241,5 +304,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_topk": OP8_SQL,
         "op9_substring_dedup": OP9_SQL,
         "op11_url_filter": OP11_SQL,
+        "op12_conversation_repair": OP12_SQL,
         "op13_hard_negatives": OP13_SQL,
     }
