@@ -1,11 +1,11 @@
 """Conversation structure repair: the cheapest edits that give alternating turns, by a Viterbi search that emits while it reads.
 
 Rows of a conversation are read in order. For each of four states (nothing yet, after system, after user, after assistant) the
-cheapest edits so far survive, as a node of a backpointer tree that counts its children. When the survivors share their first
-unresolved ancestor, its edit is emitted; a branch that no survivor descends from is dropped. So only edits on which survivors
-still differ are held. Insertions belong to the row after them, so the edits up to a row end in that row's own letter, none begins
-another, and their alphabetic order never changes by what follows: ties are decided by the order of the whole unresolved
-edits, which is carried as a rank of the survivors.
+cheapest edits so far survive, as a node of a backpointer tree that counts its children; a state that another one beats by
+more than the rest can make good has no survivor. When the survivors share their first unresolved ancestor, its edit is emitted;
+a branch that no survivor descends from is dropped. So only edits on which survivors still differ are held. Insertions belong to
+the row after them, so the edits up to a row end in that row's own letter, none begins another, and their alphabetic order never
+changes by what follows: ties are decided by the order of the whole unresolved edits, which is carried as a rank of the survivors.
 
 Repeated rows are one row with a count. A conversation of more than `block_rows` rows is cut into ranges. Each range is
 searched from all four states on its own; costs and ranks of its 16 ways are folded along the conversation, and each range then emits
@@ -30,6 +30,9 @@ KEPT = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 #: Insertions that complete a conversation that ends in a state.
 TAIL = {0: (), 1: ("user", "assistant"), 2: ("assistant",), 3: ()}
 INSERT, REROLE, DELETE, UNFINISHED = 2, 2, 3, 1
+#: What the rest of a conversation costs more at most from one state than from another: whatever is done from the other can be done
+#: with insertions first, and with the other's system row deleted. [state][other]
+MORE = {0: {1: 0, 2: 2, 3: 0}, 1: {0: 4, 2: 2, 3: 4}, 2: {0: 5, 1: 2, 3: 2}, 3: {0: 3, 1: 0, 2: 2}}
 
 EDITS = "conv_id {kind}, block int, seq long, edit string, turn long, fault string, given_role string, role string, text string, times long"
 
@@ -70,6 +73,8 @@ class Search:
             for target, total, suffix, inserted, role in ways:
                 if target not in best or (total, rank, suffix) < best[target][:3]:
                     best[target] = (total, rank, suffix, node, (row, inserted, suffix[-1], role))
+        # what another survivor beats whatever follows is no survivor
+        best = {t: way for t, way in best.items() if not any(best[x][0] + MORE[x][t] < way[0] for x in best if x != t)}
         old, order = [node for *_, node in self.live.values()], sorted(best, key=lambda t: best[t][1:3])
         self.live = {t: (best[t][0], order.index(t), Node(*best[t][3:])) for t in best}
         for node in old:  # a branch without survivors goes, up to where it left another one
