@@ -100,7 +100,7 @@ class Tree:
         return best, read
 
 
-def _exact(query: np.ndarray, ids: np.ndarray, items: np.ndarray, floors: np.ndarray, tops: np.ndarray, k: int, but: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+def _exact(query: np.ndarray, ids: np.ndarray, items: np.ndarray, floors: list, tops: list, k: int, but: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
     """The same over numbers too large for doubles, row by row in whole numbers of any size."""
     score = np.array([sum(int(a) * int(b) for a, b in zip(query, v, strict=True)) for v in items], object)
     out = []
@@ -111,7 +111,7 @@ def _exact(query: np.ndarray, ids: np.ndarray, items: np.ndarray, floors: np.nda
     return out
 
 
-def within(qids: np.ndarray, queries: np.ndarray, windows: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, items: np.ndarray, k: int, own: bool) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], float]:
+def within(qids: np.ndarray, queries: np.ndarray, windows: list[tuple[list, list]], ids: np.ndarray, items: np.ndarray, k: int, own: bool) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], float]:
     """([(query's place, window, ids, scores)], share of rows read) of one part; queries don't find their own id if `own`."""
     found, read = [], 0
     size = max(float(np.abs(queries).max(initial=0)), float(np.abs(items).max(initial=0)))
@@ -123,7 +123,7 @@ def within(qids: np.ndarray, queries: np.ndarray, windows: list[tuple[np.ndarray
     tree, queries = Tree(ids, items.astype(float)), queries.astype(float)
     bounds = tree.bounds(queries)
     for q, (floors, tops) in enumerate(windows):
-        best, more = tree.search(queries[q], [(low[q], high[q]) for low, high in bounds], floors, tops, k, int(qids[q]) if own else None)
+        best, more = tree.search(queries[q], [(low[q], high[q]) for low, high in bounds], np.array(floors, float), np.array(tops, float), k, int(qids[q]) if own else None)
         read += more
         found += [(q, w, i, s) for w, (i, s) in enumerate(best) if len(i)]
     return found, read / max(1, len(qids) * len(ids))
@@ -148,7 +148,7 @@ def _searched(queries: DataFrame, parts: DataFrame, items: DataFrame, k: int, ow
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         qids, query = matrix(asks.column("anchor_id"), asks.column("v"))
         # 30 p <= 100 n <= 90 p in whole numbers
-        windows = [(np.array([-np.inf]), np.array([np.inf])) if s is None else (np.array([-(-30 * p // 100) for p in s], float), np.array([90 * p // 100 for p in s], float)) for s in asks.column("windows").to_pylist()]
+        windows = [([-np.inf], [np.inf]) if s is None else ([-(-30 * p // 100) for p in s], [90 * p // 100 for p in s]) for s in asks.column("windows").to_pylist()]
         found, _ = within(qids, query, windows, *matrix(given.column("id"), given.column("item")), k, own)
         cols = [np.concatenate([np.full(len(i), qids[q]) for q, _, i, _ in found]), np.concatenate([np.full(len(i), w) for _, w, i, _ in found]), np.concatenate([i for *_, i, _ in found]), np.concatenate([s for *_, s in found])] if found else [np.zeros(0)] * 4
         return pa.table({n: pa.array(c.astype(np.int64), pa.int64()) for n, c in zip(names, cols, strict=True)})
@@ -164,7 +164,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, id_col: str = "ve
     row of another label with 30 % to 90 % of the positive's score, best first, ties to the smaller id. Rows without an id or a
     label and vectors that are null, empty or hold a null or non-finite component take no part; vectors of different lengths aren't
     compared. Rows that repeat an id are candidates each (not of their own id's anchor), and one anchor (the least label and vector).
-    An anchor without positives, or a positive without negatives, gives no row.
+    An anchor without positives, or a positive without negatives, gives no row. Scores of more than 64 bits are an error.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = vectors.where(F.col(id_col).isNotNull() & label.isNotNull() & finite(F.col(vector_col)))
