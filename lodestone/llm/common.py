@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,13 +57,42 @@ def _powers(base: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(_SEGMENT, base, np.uint64)]), dtype=np.uint64)
 
 
+#: Words of more bytes than this are hashed one by one.
+_LONG_WORD = 2048
+#: Start and factor of each of two hashes.
+_LANES = tuple((np.uint64(a), np.uint64(b)) for a, b in ((0x243F6A8885A308D3, 0x9FB21C651E98DF25), (0x13198A2E03707344, 0xD6E8FEB86659FD93)))
+
+
+def block_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each byte range of data: every eight bytes go through a multiplication and the scrambler
+    together with what came before. Ranges of eight bytes or fewer never share a hash with others of their length."""
+    size = end - start
+    blocks = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    lanes = [mix(size.astype(np.uint64) + seed) for seed, _ in _LANES]
+    open_ = np.flatnonzero(size <= _LONG_WORD)
+    with np.errstate(over="ignore"):
+        for at in range(0, _LONG_WORD, 8):
+            open_ = open_[size[open_] > at]
+            if not len(open_):
+                break
+            block, left = blocks[start[open_] + at], np.minimum(size[open_] - at, 8).astype(np.uint64)
+            block &= np.uint64(2**64 - 1) >> (np.uint64(64) - left * np.uint64(8))
+            for lane, (_, factor) in zip(lanes, _LANES, strict=True):
+                lane[open_] = mix((lane[open_] ^ block) * factor)
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        both = xxhash.xxh3_128_intdigest(data[start[k] : end[k]].tobytes())
+        lanes[0][k], lanes[1][k] = both >> 64, both & (2**64 - 1)
+    return lanes[0], lanes[1]
+
+
 class Words:
     """The words ([^\\x20\\x09-\\x0D]+) of a batch of texts: per word its text's row, byte range and 64-bit hash.
 
-    A hash is a polynomial over the word's bytes, read off running sums over all bytes of the batch, one segment at a time.
+    A hash is a polynomial over the word's bytes, read off running sums over all bytes of the batch, one segment at a time. With
+    `exact`, where words must be told apart whatever they hold, `hash` and `second` are two keyed block hashes instead.
     """
 
-    def __init__(self, texts: pa.Array, prefix: int = 0):
+    def __init__(self, texts: pa.Array, prefix: int = 0, exact: bool = False):
         if texts.null_count:
             texts = texts.fill_null(b"")
         off = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_binary(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -84,7 +114,7 @@ class Words:
         self.end = np.flatnonzero(stop) + 1
         self.offsets = off
         self.bound = np.searchsorted(self.start, off)  # words of row r: bound[r] to bound[r + 1]
-        self.hash = self._hash(arr, self.end)
+        self.hash, self.second = block_hashes(arr, self.start, self.end) if exact else (self._hash(arr, self.end), None)
         self.stem = self._hash(arr, np.minimum(self.end, self.start + prefix)) if prefix else None
 
     def _hash(self, arr: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -3,8 +3,9 @@
 Positions of a text are counted in words. A difference cover D modulo v holds, for any two offsets, a shift that brings both
 into D. So of two equal windows of `window` words, wherever each begins, some run of `window - v + 1` words begins at a cover
 position in both texts: an anchor. Anchors are hashed at cover positions only (3 of 7). An anchor that two documents share is
-extended: each window that the words to its left and right make with it is compared, by 128 bits over all its words, with those
-that other documents make. No match is missed; that two different windows agree in 128 bits isn't to be expected in 1e18 windows.
+extended to each window that the words to its left and right make with it; these are compared with those that other documents
+make, by two hashes of 64 bits, each over all words of the window and its own hash of every word. No match is missed; that two
+different windows agree in both isn't to be expected in 1e18 windows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ PIECE_BITS, MOST_BITS = 20, 31
 
 def _anchors(batch: pa.RecordBatch, window: int, period: int) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words of a batch's texts (last column), the places of anchors among them, and the anchors' hashes."""
-    words, size = Words(batch.column(batch.num_columns - 1)), window - period + 1
+    words, size = Words(batch.column(batch.num_columns - 1), exact=True), window - period + 1
     index = words.index()
     left = np.diff(words.bound)[words.rows()] - index
     at = np.flatnonzero(np.isin(index % period, COVERS[period]) & (left >= size))
@@ -81,7 +82,7 @@ def _windows(batch: pa.RecordBatch, window: int, period: int, table: np.ndarray)
     np.add.at(change, at + 1, -1)
     left = np.diff(words.bound)[words.rows()] - words.index()
     start = np.flatnonzero((np.cumsum(change[:n]) > 0) & (left >= window))
-    hashes = [sequence_hash(words.hash, window, seed)[start] if len(start) else np.zeros(0, np.uint64) for seed in (2, 3)]
+    hashes = [sequence_hash(h, window, seed)[start] if len(start) else np.zeros(0, np.uint64) for seed, h in ((2, words.hash), (3, words.second))]
     return words, start, np.stack(hashes)
 
 
