@@ -57,8 +57,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
 
     The whole budget is `share` of all tokens (words). take is the tokens read of a document: all, but for the one in which its
     leaf's budget ends. Names without a weight weigh 1. Null domains, languages and sources are the name ''; documents without
-    tokens are never read; rows that share an id stand at the same place of the order and are cut alike. The driver gets one
-    number; leaves are joined by broadcast only if there are few.
+    tokens are never read; rows that share an id follow each other in the order, and where a budget ends among them one is cut and
+    later ones aren't read. The driver gets three numbers; leaves are joined by broadcast only if there are few.
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
@@ -75,12 +75,23 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
     parts = keyed.groupBy(*LEVELS, "part").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest"))
     parts = parts.withColumn("before", F.sum("size").over(Window.partitionBy(*LEVELS).orderBy("part")) - F.col("size")).where("before < rest and before + size >= rest")
     last = keyed.join(parts.select(*LEVELS, "part", "before"), [*LEVELS, "part"])
-    block = last.groupBy(*LEVELS, "part", "key").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    block = last.groupBy(*LEVELS, "part", "key").agg(F.sum("tokens").alias("size"), F.count("*").alias("end_rows"), F.first("rest").alias("rest"), F.first("before").alias("before"))
     at = F.col("before") + F.sum("size").over(Window.partitionBy(*LEVELS, "part").orderBy("key")) - F.col("size")
-    ends = block.withColumn("at", at).where("at < rest and at + size >= rest").select(*LEVELS, F.col("key").alias("end_key"), (F.col("rest") - F.col("at")).alias("end_take"))
+    ends = block.withColumn("at", at).where("at < rest and at + size >= rest").select(*LEVELS, F.col("key").alias("end_key"), (F.col("rest") - F.col("at")).alias("end_take"), "end_rows")
     plan = common.saved(plan.join(ends, list(LEVELS), "left"), "ends")
+    shared = plan.where("end_rows > 1").count()
 
     read = rows.where("tokens > 0").join(common.small_side(plan, few), list(LEVELS)).withColumn("key", order_key(seed, F.col("full"), F.col("id")))
-    read = read.withColumn("extra", F.when(F.col("key") < F.col("end_key"), F.col("tokens")).when(F.col("key") == F.col("end_key"), F.least("tokens", "end_take")).otherwise(F.lit(0)))
+    at_end = F.col("key") == F.col("end_key")
+    whole = read.withColumn("extra", F.when(F.col("key") < F.col("end_key"), F.col("tokens")).when(at_end, F.least("tokens", "end_take")).otherwise(F.lit(0)))
+    if shared:  # leaves that end among rows of one id: these follow each other, part by part, and one is cut
+        among = F.coalesce(at_end & (F.col("end_rows") > 1), F.lit(False))
+        cut = common.saved(read.where(among).withColumn("nth_part", F.spark_partition_id()), "cut")
+        sizes = cut.groupBy(*LEVELS, "nth_part").agg(F.sum("tokens").alias("size"))
+        sizes = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(*LEVELS).orderBy("nth_part")) - F.col("size")).drop("size")
+        own = F.sum("tokens").over(Window.partitionBy(*LEVELS, "nth_part").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1))
+        spent = F.col("before") + F.coalesce(own, F.lit(0))
+        cut = cut.join(sizes, [*LEVELS, "nth_part"]).withColumn("extra", F.greatest(F.lit(0), F.least("tokens", F.col("end_take") - spent)))
+        whole = whole.where(~among).unionByName(cut.select(whole.columns))
     turns = F.concat(F.expr("transform(sequence(0L, full), e -> struct(e AS epoch, IF(e < full, tokens, extra) AS take))"))
-    return read.select("row", *LEVELS, "tokens", F.inline(turns)).where("take > 0").select("row", *LEVELS, "epoch", "tokens", "take")
+    return whole.select("row", *LEVELS, "tokens", F.inline(turns)).where("take > 0").select("row", *LEVELS, "epoch", "tokens", "take")

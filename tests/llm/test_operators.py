@@ -125,6 +125,29 @@ def test_substring_dedup_ids(spark):
     assert substring_dedup.dedup(documents(spark, [])).count() == 0
 
 
+def test_substring_dedup_tells_long_words_apart(spark):
+    """Thue-Morse words over a and b have the same polynomial hash modulo 2^64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    lead = " ".join(f"w{i}" for i in range(12))
+    texts = [f"{lead} {one}", f"{lead} {other}", f"{lead} {one}", f"{lead} {one * 4}", f"{lead} {one * 3}{other}", f"x {lead} {one * 4}"]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.dedup(documents(spark, texts)).collect()}
+    assert got == substring_brute(texts) and got[1][1] == got[4][1] == 0 and got[2][1] == got[5][1] == 13
+
+
+@pytest.mark.parametrize("tail", [b"", b"\0", b"\0\0", b"x" * 9, "é".encode() * 2000])
+def test_block_hashes(tail):
+    import pyarrow as pa
+
+    from lodestone.llm.common import Words
+
+    texts = [b"one two three", b"two" + tail, b"on", b"three two" + tail, b"\0 \0\0 \0\0\0"]
+    words = Words(pa.array(texts, pa.large_binary()), exact=True)
+    raw = [w for t in texts for w in t.split(b" ")]
+    pairs = list(zip(words.hash.tolist(), words.second.tolist(), strict=True))
+    assert len(pairs) == len(raw) and all((a == b) == (x == y) for a, x in zip(raw, pairs, strict=True) for b, y in zip(raw, pairs, strict=True))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -268,6 +291,19 @@ def test_mixing_budgets(spark):
     assert mixing.mix(docs.limit(0), F.lit("one"), {}).count() == 0
 
 
+def test_mixing_keeps_the_budget_with_repeated_ids(spark):
+    """Three copies of a row of ten words hold 30, and 18 of these are read; other ids of the leaf stay as they are."""
+    docs = documents(spark, ["w " * 10] * 3, [1, 1, 1])
+    weights = {"domain": {"d": 1.0}}
+    assert sorted(r["take"] for r in mixing.mix(docs, F.lit("d"), weights).collect()) == [8, 10]
+    rng = random.Random(2)
+    texts, ids = ["w " * rng.randint(1, 30) for _ in range(60)], [rng.choice([1, 2, 3, i + 10]) for i in range(60)]
+    for seed in range(6):
+        got = mixing.mix(documents(spark, texts, ids), F.lit("d"), weights, share=0.7, seed=seed).collect()
+        held = sum(len(t.split()) for t in texts)
+        assert sum(r["take"] for r in got) == int(0.7 * held) and sum(0 < r["take"] < r["tokens"] for r in got) <= 1
+
+
 def test_learned_scores(spark):
     from lodestone.llm import quality, toxicity
 
