@@ -268,9 +268,8 @@ SELECT doc_id, i::BIGINT AS n, md5(part) AS sentence FROM (SELECT doc_id, unnest
     "hash_vectors": f"WITH {_vectors('dv', 'doc_id', 'documents')} SELECT doc_id, bucket, round(weight, 6) AS weight FROM dv",
     "hash_dense_top5": f"WITH {_DENSE} SELECT qid, rank::INTEGER AS rank, doc_id, score FROM dn WHERE rank <= 5",
     "dense_top5": """
-WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
-     m AS (SELECT label, list(x ORDER BY p) AS v FROM (SELECT label, p, avg(x) AS x FROM x GROUP BY ALL) GROUP BY 1),
-     s AS (SELECT m.label AS qid, vec_id AS item_id, greatest(0, list_cosine_similarity(m.v, e.embedding::DOUBLE[])) AS score FROM m, embeddings e WHERE e.embedding IS NOT NULL AND e.label IS NOT NULL)
+WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS item_id, greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score
+           FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND q.embedding IS NOT NULL AND e.embedding IS NOT NULL AND e.vec_id IS NOT NULL)
 SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id))::INTEGER AS rank, item_id, round(score, 5) AS score FROM s QUALIFY rank <= 5""",
     "hybrid_rrf": f"WITH {_RRF} SELECT qid, doc_id, rank::INTEGER AS rank, vector_score, sparse_score, rrf_score, score FROM hybrid",
     "balanced_selection": f"""WITH {_RRF},

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as T
-from .operators import chunking, evaluate, expand, fuse, judge, questions, search, state, trace
+from .operators import chunking, evaluate, expand, fuse, judge, nearest, questions, search, state, trace
 from .sources.scratch import saved, spread
 from .streaming import jobs
 
@@ -140,29 +140,22 @@ def hash_dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, K).select("qid", "rank", "doc_id", "score")
 
 
-def _label_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
-    means = vectors.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x"))
-    means = means.groupBy(F.col("label").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("embedding"))
-    return means, vectors.select(F.col("vec_id").alias("item_id"), "embedding")
-
-
-def dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's mean vector as a question to all vectors."""
-    means, items = _label_means(spark, sf_dir)
-    return search.dense_top_k(means, items, K).select("qid", "rank", "item_id", F.round("score", 5).alias("score"))
-
-
 def _every_fiftieth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors whose id is divisible by 50 as questions, and all vectors, labelled or not."""
     vectors = table(spark, sf_dir, "embeddings").where("embedding is not null and vec_id is not null")
     return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), vectors.select(F.col("vec_id").alias("item_id"), "embedding")
 
 
-def lsh_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector whose id is divisible by 50 as a question to all vectors."""
     asked, items = _every_fiftieth(spark, sf_dir)
-    return search.lsh_top_k(asked, items, K, dims=64).select("qid", "rank", "item_id", F.round("score", 5).alias("score"))
+    return search.dense_top_k(asked, items, K).select("qid", "rank", "item_id", F.round("score", 5).alias("score"))
+
+
+def lsh_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_top5, by hyperplane codes."""
+    asked, items = _every_fiftieth(spark, sf_dir)
+    return nearest.lsh_top_k(asked, items, K, dims=64).select("qid", "rank", "item_id", F.round("score", 5).alias("score"))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
