@@ -33,7 +33,7 @@ def rrf(lists: DataFrame, limit: int, keys: tuple[str, ...] = ("doc_id", "chunk_
     lists = lists.withColumns({"list_no": F.col("list_no").cast("int"), "rank": F.col("rank").cast("int"), "score": F.col("score").cast("double")})
     merged = lists.groupBy("qid", *keys).agg(F.sum(F.col("weight") / (RRF_K + F.col("rank"))).alias("sum"), F.min(F.struct("list_no", "rank")).alias("seen"), F.array_sort(F.collect_list(item)).alias("items"), *[F.max(p).alias(p) for p in PARTS])
     best = F.max("sum").over(Window.partitionBy("qid"))
-    order = Window.partitionBy("qid").orderBy(F.desc("sum"), "seen")
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("sum", 12)), "seen")
     out = merged.withColumn("own", F.aggregate("items", nothing, better)["score"]).withColumn("rrf_score", F.least(F.lit(1.0), F.col("sum") / best)).withColumn("rank", F.row_number().over(order))
     return out.where(F.col("rank") <= limit).select("qid", *keys, "rank", *PARTS, "rrf_score", F.greatest("own", "rrf_score").alias("score"))
 
@@ -48,15 +48,17 @@ def first_of(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def balanced(rows: DataFrame, limit: int, targets: DataFrame | None = None) -> DataFrame:
+def balanced(rows: DataFrame, limit: int | Column, targets: DataFrame | None = None) -> DataFrame:
     """Of rows (qid, doc_id, score, pos): each document's best first, then the best of the rest, no document above a fixed cap.
 
-    targets (qid, doc_id) say which documents count; by default those that are there.
+    targets (qid, doc_id) say which documents count; by default those that are there. The limit may be a column over `docs`, the
+    number of a question's documents.
     """
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
     scope = rows.select("qid", "doc_id") if targets is None else targets
     scope = scope.distinct().groupBy("qid").agg(F.count("*").alias("docs"))
     own = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "pos"))
-    cap = F.greatest(F.lit(2), F.floor(F.lit(limit) / F.greatest("docs", F.lit(1))) + 1)
+    cap = F.greatest(F.lit(2), F.floor(limit / F.greatest("docs", F.lit(1))) + 1)
     kept = rows.join(scope, "qid").withColumn("own", own).where(F.col("own") <= cap)
     order = Window.partitionBy("qid").orderBy(F.when(F.col("own") == 1, 0).otherwise(1), F.desc("score"), "pos")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("docs", "own")

@@ -89,6 +89,32 @@ _RRF = f"""{_BM25}, {_DENSE},
      fused AS (SELECT qid, doc_id, sum(1 / (60.0::DOUBLE + rank)) AS s, min((list_no, rank)) AS seen, max(score) AS own, max(vector_score) AS vector_score, max(sparse_score) AS sparse_score FROM lists GROUP BY ALL),
      rrf AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, seen) AS rank, vector_score, sparse_score, least(1, s / max(s) OVER (PARTITION BY qid)) AS rrf_score, own FROM fused),
      hybrid AS (SELECT qid, doc_id, rank, vector_score, sparse_score, round(rrf_score, 6) AS rrf_score, round(greatest(own, rrf_score), 6) AS score FROM rrf WHERE rank <= 24)"""
+#: Question and expansion as questions 2 * qid and 2 * qid + 1 of their own.
+_ASKED = f"""asked AS MATERIALIZED (WITH {_PHRASES}, six AS (SELECT qid, string_agg(phrase, ' ' ORDER BY n) AS ps FROM kept WHERE n < 6 GROUP BY 1), own AS (SELECT item_id AS qid, {_flat('text')} AS q FROM benchmark)
+     SELECT 2 * qid AS item_id, q AS text FROM own UNION ALL SELECT 2 * qid + 1, q || ' ' || ps FROM own JOIN six USING (qid))"""
+_BALANCED = f"""{_ASKED}, {_POST}, {_TERMS.replace('FROM benchmark', 'FROM asked')}, {_vectors('dv', 'doc_id', 'documents')}, {_vectors('qv', 'qid', '(SELECT item_id AS qid, text FROM asked)')},
+     home AS (SELECT doc_id, coalesce(source, '') AS source FROM documents), held AS (SELECT * FROM post JOIN home USING (doc_id)),
+     size AS (SELECT source, count(*) AS n, avg(dl) AS mean FROM (SELECT source, doc_id, any_value(dl) AS dl FROM held GROUP BY ALL) GROUP BY 1),
+     df AS (SELECT token, source, count(*) AS df FROM held GROUP BY ALL),
+     raw AS (SELECT qid, source, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(mean, 1)))), 6) AS raw
+             FROM held JOIN qterm USING (token) JOIN df USING (token, source) JOIN size USING (source) GROUP BY ALL HAVING raw > 0),
+     bm AS (SELECT *, round(raw / (raw + 3), 6) AS score, row_number() OVER (PARTITION BY qid, source ORDER BY raw DESC, doc_id) AS rank FROM raw QUALIFY rank <= 20),
+     cosine AS (SELECT qid, source, doc_id, round(greatest(0, sum(d.weight * q.weight)), 6) AS score FROM dv d JOIN qv q USING (bucket) JOIN home USING (doc_id) GROUP BY ALL),
+     dn AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, doc_id) AS rank FROM cosine QUALIFY rank <= 20),
+     lists AS (SELECT qid // 2 AS qid, source, doc_id, qid % 2 * 3 + 1 AS list_no, CASE qid % 2 WHEN 0 THEN 1 ELSE 0.82::DOUBLE END AS weight, rank, score, score AS vector_score, NULL::DOUBLE AS sparse_score FROM dn
+               UNION ALL SELECT qid // 2, source, doc_id, qid % 2 * 3 + 2, CASE qid % 2 WHEN 0 THEN 1 ELSE 0.82::DOUBLE END, rank, score, NULL, score FROM bm),
+     own_f AS (SELECT qid, source, doc_id, sum(weight / (60.0::DOUBLE + rank)) AS s, min((list_no, rank)) AS seen, max(score) AS own, max(vector_score) AS vector_score, max(sparse_score) AS sparse_score FROM lists GROUP BY ALL),
+     own_r AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY round(s, 12) DESC, seen) AS place, greatest(own, s / max(s) OVER (PARTITION BY qid, source)) AS score FROM own_f),
+     best AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY round(score, 9) DESC, place) AS nth FROM own_r WHERE place <= 16 QUALIFY nth <= 4),
+     scoped AS (SELECT source, row_number() OVER (ORDER BY source) AS nth FROM (SELECT DISTINCT source FROM home)),
+     many AS (SELECT count(*) AS docs FROM scoped),
+     all_lists AS (SELECT qid, source, doc_id, 0 AS list_no, 1.35::DOUBLE AS weight, row_number() OVER (PARTITION BY qid ORDER BY source, nth) AS rank, score, vector_score, sparse_score FROM best
+               UNION ALL SELECT qid, source, doc_id, list_no + 1 + (nth - 1) * 6, weight, rank, score, vector_score, sparse_score FROM lists JOIN scoped USING (source)),
+     fused AS (SELECT qid, source, doc_id, sum(weight / (60.0::DOUBLE + rank)) AS s, min((list_no, rank)) AS seen, max(score) AS own, max(vector_score) AS vector_score, max(sparse_score) AS sparse_score FROM all_lists GROUP BY ALL),
+     rrf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, seen) AS pos, least(1, s / max(s) OVER (PARTITION BY qid)) AS rrf_score FROM fused),
+     kept_rows AS (SELECT r.*, round(greatest(own, rrf_score), 9) AS final FROM rrf r, many WHERE pos <= greatest(40, docs * 4)),
+     capped_rows AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY final DESC, pos) AS nth FROM kept_rows QUALIFY nth <= (SELECT greatest(2, greatest(20, docs * 2) // greatest(docs, 1) + 1) FROM many)),
+     chosen AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY nth <> 1, final DESC, pos) AS rank FROM capped_rows QUALIFY rank <= (SELECT greatest(20, docs * 2) FROM many))"""
 _GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _JUDGED = f"""{_RRF},
      words AS (SELECT qid, list(token) AS ks FROM keyword GROUP BY 1), phrases AS (SELECT qid, list(phrase) AS ps FROM kept GROUP BY 1),
@@ -272,6 +298,7 @@ WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS item_id, greatest(0, list_cosine_
            FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND q.embedding IS NOT NULL AND e.embedding IS NOT NULL AND e.vec_id IS NOT NULL)
 SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id))::INTEGER AS rank, item_id, round(score, 5) AS score FROM s QUALIFY rank <= 5""",
     "hybrid_rrf": f"WITH {_RRF} SELECT qid, doc_id, rank::INTEGER AS rank, vector_score, sparse_score, rrf_score, score FROM hybrid",
+    "balanced_hybrid": f"WITH {_BALANCED} SELECT qid, source, doc_id, rank::INTEGER AS rank, vector_score, sparse_score, round(rrf_score, 6) AS rrf_score, round(final, 6) AS score FROM chosen",
     "balanced_selection": f"""WITH {_RRF},
      r AS (SELECT h.qid, d.source, h.doc_id, h.score, h.rank AS pos, row_number() OVER (PARTITION BY h.qid, d.source ORDER BY h.score DESC, h.rank) AS own FROM hybrid h JOIN documents d USING (doc_id)),
      c AS (SELECT qid, count(DISTINCT source) AS docs FROM r GROUP BY 1)

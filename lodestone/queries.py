@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import fixed
 from .functions import text as T
 from .operators import chunking, evaluate, expand, fuse, judge, nearest, questions, search, state, trace
+from .plans.balanced import balanced_hybrid as balanced_plan
 from .sources.scratch import saved, spread
 from .streaming import jobs
 
@@ -173,6 +174,15 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("qid", "doc_id", "rank", "vector_score", "sparse_score", F.round("rrf_score", 6).alias("rrf_score"), F.round("score", 6).alias("score"))
 
 
+def balanced_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question, with its expansion, asked to each source as one document whose chunks are its documents."""
+    chunks = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("doc_id"), F.col("doc_id").alias("chunk_id"), "text")
+    asked = questions.expand(_questions(spark, sf_dir))
+    scope = asked.select("qid").distinct().join(F.broadcast(chunks.select("doc_id").distinct()))
+    found = balanced_plan(asked, chunks, scope, K)
+    return found.select("qid", F.col("doc_id").alias("source"), F.col("chunk_id").alias("doc_id"), "rank", "vector_score", "sparse_score", F.round("rrf_score", 6).alias("rrf_score"), F.round("score", 6).alias("score"))
+
+
 def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as the documents whose candidates are balanced."""
     rows = _fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("source")), "doc_id")
@@ -437,7 +447,7 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 220).alias("head"))
 
 
-QUERIES = [noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
+QUERIES = [balanced_hybrid, noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
