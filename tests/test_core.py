@@ -1,6 +1,7 @@
 """Small hand-written tables for what the large ones don't hold: headings, tables, Chinese text, references, images, memory."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -37,7 +38,7 @@ def test_tokens(spark):
     assert one(spark, T.tokens(F.col("text")), "The 模型方法 of A1") == ["the", "模型方法", "模型", "型方", "方法", "模型方", "型方法", "of", "a1"]
     assert one(spark, T.tokens(F.col("text")), None) == []
     assert one(spark, T.token_count(F.col("text")), "模型 abcde, it's") == 2 + 2 + 1 + 1
-    assert one(spark, T.token_count(F.col("text")), "模型 abcde, it's") == chunking.token_count("模型 abcde, it's")
+    assert one(spark, T.token_count(F.col("text")), "模型 abcde, it's") == plain_tokens("模型 abcde, it's")
     assert one(spark, T.sentences(F.col("text")), "One. Two! 三。four") == ["One.", "Two!", "三。", "four"]
 
 
@@ -71,20 +72,117 @@ def test_chunks_cover_the_text_within_size(spark):
     assert [c["section"] for c in chunks if c["section"] != "Unknown"][0] == "Abstract" and {"Methods", "References"} <= {c["section"] for c in chunks}
     tables = [c for c in chunks if c["chunk_type"] == "table"]
     assert tables and "| 1 | 2 |" in tables[0]["text"] and "Table 1" in tables[0]["text"]
-    assert all(c["token_count"] == chunking.token_count(c["text"]) <= 120 * 1.15 + 20 for c in chunks)
-    assert all(c["parent_token_count"] == chunking.token_count(c["parent_text"]) for c in chunks)
+    assert all(c["token_count"] == plain_tokens(c["text"]) <= 120 * 1.15 + 20 for c in chunks)
+    assert all(c["parent_token_count"] == plain_tokens(c["parent_text"]) for c in chunks)
     words = "".join("".join(t for _, t in PAPER).split())
     assert all("".join(c["quote"].split())[:30] in words for c in chunks)
     assert [c["chunk_no"] for c in chunks] == list(range(len(chunks)))
 
 
-def test_token_windows_lose_nothing():
+def plain_tokens(text):
+    runs = re.findall("[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*", text)
+    return sum(-(-len(r) // 4) for r in runs) + len("".join(re.sub("[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*", "", text).split()))
+
+
+def plain_windows(text, size, overlap):
+    """Windows unit by unit."""
+    every = re.findall(r"(?s)\s+|[一-鿿]|[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*|.", text)
+    weight = [-(-len(u) // 4) if u[0].isascii() and u[0].isalnum() else 1 for u in every]
+    out, at = [], 0
+    while at < len(every):
+        end = at + 1
+        while end < len(every) and sum(weight[at : end + 1]) <= size:
+            end += 1
+        out.append(("".join(every[at:end]).strip(), len("".join(every[:at]))))
+        if end == len(every):
+            break
+        moved, start = 0, at
+        while at < len(every) and moved < max(size - overlap, 1):
+            moved += weight[at]
+            at += 1
+        assert at > start
+    return [w for w in out if w[0]]
+
+
+def test_token_windows_and_tails(spark):
     rng = random.Random(1)
-    text = " ".join("w" * rng.randint(1, 9) + rng.choice(["", "，", "字"]) for _ in range(300))
-    found = chunking.token_windows(text, 30, 10)
-    assert found[0][1] == 0 and all(text[start:].lstrip().startswith(w) for w, start in found)
-    assert all(start <= at + len(before) for (before, at), (_, start) in zip(found, found[1:]))
-    assert all(chunking.token_count(w) <= 30 for w, _ in found)
+    texts = [" ".join("w" * rng.randint(1, 19) + rng.choice(["", "，", "字", "'s x", "\n"]) for _ in range(n)).strip() for n in (0, 1, 2, 40, 300)] + ["漢" * 50, "x" * 500, ". " * 60 + "end", "a " + "x" * 500 + " " + "y" * 500, "ab cd " * 9 + "   " + "z" * 300]
+    for size, overlap in ((30, 10), (7, 0), (3, 5)):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        got = rows.select("i", chunking.token_windows(F.col("text"), F.lit(size), F.lit(overlap)).alias("w"), chunking.tail(F.col("text"), F.lit(size)).alias("tail")).collect()
+        for r in got:
+            assert [tuple(w) for w in r["w"]] == plain_windows(texts[r["i"]], size, overlap)
+            assert r["tail"] == (texts[r["i"]] if plain_tokens(texts[r["i"]]) <= size else plain_windows(texts[r["i"]], size, 0)[-1][0])
+
+
+def test_long_texts_go_by_sentences(spark):
+    texts = ["One two three. Four five six! Seven?  Eight nine.", "a" * 200 + ". b.", "no mark at all " * 9, "句子一。句子二！三"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: [tuple(w) for w in r["w"]] for r in rows.select("i", chunking.long_text(F.col("text"), F.lit(9), F.lit(2)).alias("w")).collect()}
+    assert got[0] == [("One two three.Four five six!", 0), ("Seven?Eight nine.", 30)]
+    assert got[1] == plain_windows(texts[1], 9, 2) and got[2] == plain_windows(texts[2], 9, 2)
+    assert [w for w, _ in got[3]] == ["句子一。句子二！三"] and all(texts[i][at:].lstrip().startswith(w[:3]) for i in got for w, at in got[i])
+
+
+def plain_chunks(blocks, size, overlap, budget):
+    """Chunks of blocks (text, section), text blocks of one page that fit, one block after the other: (text, low, high)."""
+    packed, held = [], []
+    for text, section in blocks:
+        if held and (section != held[-1][1] and section != "Unknown" or sum(plain_tokens(t) for t, _ in held) + plain_tokens(text) > size):
+            packed.append(("\n\n".join(t for t, _ in held), held[0][1]))
+            held = []
+        held.append((text, section))
+    packed.append(("\n\n".join(t for t, _ in held), held[0][1]))
+    packed = [(" ".join(t.split()), s) for t, s in packed if len(" ".join(t.split())) >= 40]
+    shares = lambda a, b: a[1] == b[1] or "Unknown" in (a[1], b[1])
+    out = []
+    for k, (text, section) in enumerate(packed):
+        if k and shares(packed[k - 1], packed[k]):
+            before = out[-1]
+            end = before if plain_tokens(before) <= overlap else plain_windows(before, overlap, 0)[-1][0]
+            text = text if text.startswith(end) else f"{end}\n\n{text}"
+        out.append(text)
+    rows, n = [], [plain_tokens(t) for t in out]
+    for k in range(len(out)):
+        low = high = k
+        total, moved = n[k], True
+        while moved:
+            moved = False
+            if high + 1 < len(out) and shares(packed[k], packed[high + 1]) and total + n[high + 1] <= budget:
+                high, total, moved = high + 1, total + n[high + 1], True
+            if low > 0 and shares(packed[low - 1], packed[k]) and total + n[low - 1] <= budget:
+                low, total, moved = low - 1, total + n[low - 1], True
+        rows.append((out[k], low, high))
+    return rows
+
+
+def test_chunks_equal_plain_loops(spark):
+    rng, pages, want = random.Random(8), [], {}
+    for doc in range(12):
+        blocks, section = [], "Unknown"
+        for _ in range(rng.randint(1, 25)):
+            text = " ".join(rng.choice(["alpha", "beta", "gamma-ray", "delta's", "漢字", "of"]) for _ in range(rng.randint(3, 30)))
+            if rng.random() < 0.25:
+                section = rng.choice(["Abstract", "Methods", "Results"])
+                text = f"{section}: {text}"
+            blocks.append((text, section))
+        blocks = [("start of it all", "Unknown"), ("and another", "Unknown")] + blocks if not blocks[0][0].startswith(("Abs", "Met", "Res")) and len(blocks) < 2 else blocks
+        first = next((s for t, s in blocks[:10] if t.startswith(("Abstract:", "Methods:", "Results:"))), "Unknown")
+        head = [(t, s if s != "Unknown" else first) for t, s in blocks]  # a heading in the first ten lines holds for the page
+        pages.append((f"d{doc}", [(1, "\n\n\n".join(t for t, _ in blocks))]))
+        want[f"d{doc}"] = head
+    docs = spark.createDataFrame(pages, "doc_id string, pages array<struct<page: int, text: string>>")
+    got = {}
+    for r in chunking.chunk(docs, (60, 15, 150)).orderBy("doc_id", "chunk_no").collect():
+        low, high = (int(x) for x in r["parent_id"].split("_parent_")[1].split("_"))
+        got.setdefault(r["doc_id"], []).append((r["text"], low, high))
+    checked = 0
+    for doc, blocks in want.items():
+        lines = sum(1 for _ in blocks)
+        if lines >= 2 and lines * 3 - 2 <= 10 or blocks[0][1] == "Unknown" or blocks[0][0].startswith(blocks[0][1]):
+            assert got.get(doc, []) == plain_chunks(blocks, 60, 15, 150), doc
+            checked += 1
+    assert checked >= 4
 
 
 def test_chunk_query_and_pages(spark):
