@@ -188,7 +188,35 @@ _MARKED = rf"""texts AS MATERIALIZED (SELECT doc_id, text AS own, {_clean('text'
         regexp_matches(own_flat, '(?i)(^|[^\p{{L}}\p{{N}}_])references($|[^\p{{L}}\p{{N}}_])') OR (contains(own_flat, '参考文献') AND regexp_matches(own_flat, '\[[0-9]{{1,3}}\]')) AS refs FROM kinds),
      penalised AS MATERIALIZED (SELECT *, round(front_matter::INT * 1.8::DOUBLE + metadata::INT * 1.0::DOUBLE + refs::INT * 1.45::DOUBLE + submission::INT * 0.7::DOUBLE + code::INT * 0.55::DOUBLE + table_like::INT * 0.45::DOUBLE, 6) AS penalty FROM tested)"""
 
+#: Role scores of a document by itself, and what noise excludes it from roles.
+_ALONE = _ROLE_CASES.replace("n <= greatest(2, floor(total * 0.08))", "TRUE").replace("FROM marked", "FROM alone_d")
+_STRUCTURE = f"least(0.8::DOUBLE, {_hits('low', fixed.STRONG_MARKERS)} * 0.22::DOUBLE + {_hits('low', fixed.MEDIUM_MARKERS)} * 0.08::DOUBLE)"
+_ALONE_D = f"alone_d AS (SELECT doc_id, text, low, {_TABLE} AS table_like FROM (SELECT doc_id, text, {_LOW} AS low, {_flat('text')} AS flat FROM documents)), alone AS (SELECT * FROM ({_ALONE}) WHERE score > 0)"
+
 SQL = {
+    "role_overview": f"""WITH {_MARKED}, doc AS (SELECT doc_id, coalesce(source, '') AS source, text, {_flat('text')} AS flat, {_LOW} AS low, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS total FROM documents),
+     marked AS (SELECT *, {_TABLE} AS table_like FROM doc), {_ALONE_D},
+     quiet AS (SELECT doc_id FROM penalised WHERE NOT front_matter AND NOT code AND NOT submission AND NOT (refs AND {_count('own', r'\[[0-9]{1,3}\]')} >= 2) AND own_flat <> ''),
+     s AS (SELECT d.source, r.doc_id, role, round(r.score, 6) AS score FROM ({_ROLE_CASES}) r JOIN doc d USING (doc_id) SEMI JOIN quiet q ON q.doc_id = r.doc_id WHERE r.score > 0),
+     covers AS (SELECT doc_id, list(role) AS roles FROM alone WHERE round(score, 6) >= 0.45 GROUP BY 1),
+     best AS (SELECT s.*, coalesce(c.roles, []) AS roles, CASE role WHEN 'purpose' THEN 0 WHEN 'dataset' THEN 1 ELSE 2 END AS place FROM s LEFT JOIN covers c USING (doc_id) QUALIFY row_number() OVER (PARTITION BY source, role ORDER BY score DESC, doc_id) = 1),
+     chosen AS (SELECT source, list_reduce(list({{'role': role, 'doc_id': doc_id, 'roles': roles}} ORDER BY place),
+                  lambda a, x: CASE WHEN list_contains(a.covered, x.role) OR list_contains(a.ids, x.doc_id) OR len(a.ids) >= 4 THEN a
+                               ELSE {{'ids': list_append(a.ids, x.doc_id), 'names': list_append(a.names, x.role), 'covered': list_concat(a.covered, x.roles)}} END,
+                  {{'ids': []::BIGINT[], 'names': []::VARCHAR[], 'covered': []::VARCHAR[]}}) AS c FROM best GROUP BY 1),
+     flat_c AS (SELECT source, unnest(c.ids) AS doc_id, unnest(c.names) AS role, generate_subscripts(c.ids, 1) - 1 AS place FROM chosen)
+SELECT source, place::INTEGER AS place, role, doc_id, round(0.98::DOUBLE - 0.05::DOUBLE * place, 6) AS score FROM flat_c""",
+    "diverse_overview": f"""WITH {_JUDGED}, {_MARKED.replace('texts AS MATERIALIZED', 'm_texts AS MATERIALIZED').replace('FROM texts)', 'FROM m_texts)')}, {_ALONE_D},
+     given AS (SELECT j.qid, j.doc_id, j.rank AS pos, p.front_matter, p.refs, p.own_flat <> '' AND NOT p.front_matter AND NOT p.refs AND NOT p.submission AS usable,
+                      j.score * 0.25::DOUBLE + j.relevance * 0.35::DOUBLE + {_STRUCTURE.replace('contains(low,', 'contains(p.low,')} * 0.25::DOUBLE AS bonus FROM judged j JOIN penalised p USING (doc_id)),
+     scored AS (SELECT qid, doc_id, pos, role, round(a.score + bonus, 9) AS value FROM given JOIN alone a USING (doc_id) WHERE usable),
+     p1 AS (SELECT qid, doc_id, 0 AS place, role FROM scored WHERE role = 'purpose' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY value DESC, pos) = 1),
+     p2 AS (SELECT qid, doc_id, 1 AS place, role FROM scored s WHERE role = 'claim' AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM p1) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY value DESC, pos) = 1),
+     p3 AS (SELECT qid, doc_id, 2 AS place, role FROM scored s WHERE role = 'dataset' AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM p1 UNION ALL SELECT (qid, doc_id) FROM p2) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY value DESC, pos) = 1),
+     taken AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+     every_row AS (SELECT g.*, place, role, max((place IS NOT NULL OR (NOT front_matter AND NOT refs))::INT) OVER (PARTITION BY g.qid) AS any_open FROM given g LEFT JOIN taken t ON t.qid = g.qid AND t.doc_id = g.doc_id)
+SELECT qid, doc_id, (row_number() OVER (PARTITION BY qid ORDER BY place IS NULL, place, pos))::INTEGER AS rank, coalesce(role, '') AS role FROM every_row
+WHERE place IS NOT NULL OR (NOT front_matter AND NOT refs) OR any_open = 0 QUALIFY rank <= 8""",
     "question_features": rf"""WITH q AS (SELECT conv_id, turn, lower(text) AS low, {_flat('lower(text)')} AS flat, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS stripped, lower({_clean('text')}) AS plain,
         array_to_string(list_filter([{', '.join(f"CASE WHEN {_rx('lower(text)', w)} THEN '{k}' ELSE '' END" for k, w in _FIELDS.items())}], lambda x: x <> ''), ',') AS fields FROM conversations WHERE role = 'user'),
      f AS (SELECT conv_id, turn, fields, {', '.join(f'coalesce({v}, FALSE) AS "{k}"' for k, v in _FLAGS.items())} FROM q),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as T
-from .operators import chunking, evaluate, expand, fuse, judge, nearest, questions, search, state, trace
+from .operators import chunking, evaluate, expand, fuse, judge, nearest, questions, roles, search, state, trace
 from .plans.balanced import balanced_hybrid as balanced_plan
 from .sources.scratch import saved, spread
 from .streaming import jobs
@@ -334,6 +334,35 @@ def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "role", F.round("score", 6).alias("score"))
 
 
+def _covering(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Role scores (doc_id, role, score) of documents as a reader meets them alone: first and last chunk at once."""
+    alone = docs.select("doc_id", F.lit("Conclusion").alias("section"), "text", F.lit(0).alias("chunk_no"), F.lit(1).alias("total"))
+    return questions.role_scores(alone, spark.createDataFrame(ROLE_TERMS, "role string, term string"), ["doc_id"])
+
+
+def role_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as one document whose chunks are its documents: a chunk for each role."""
+    docs = table(spark, sf_dir, "documents")
+    quiet = saved(docs.where(~roles.is_noise(F.col("text")) & (F.length(T.squeeze(F.col("text"))) > 0)).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text"), "quiet")
+    scores = role_scores(spark, sf_dir).join(quiet.select("doc_id", "source"), "doc_id").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_no"), "role", "score")
+    covers = _covering(spark, quiet).where(F.round("score", 6) >= roles.COVERED).groupBy("doc_id").agg(F.collect_set("role").alias("roles"))
+    covers = covers.join(quiet.select("doc_id", "source"), "doc_id").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_no"), "roles")
+    found = roles.role_chunks(scores, covers, 4, ("purpose", "dataset", "claim"))
+    return found.select(F.col("doc_id").alias("source"), "place", "role", F.col("chunk_no").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def diverse_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each question's fused candidates one for each role, then the rest."""
+    rows = saved(_judged(spark, sf_dir).select("qid", "doc_id", "rank", "score", "relevance", "text"), "judged")
+    text = T.sanitize(F.col("text"))
+    front, listed = T.is_front_matter(F.col("text")), T.is_reference_section(F.col("text"))
+    usable = (F.length(T.squeeze(text)) > 0) & ~front & ~listed & ~T.is_submission(F.col("text"))
+    bonus = F.col("score") * 0.25 + F.col("relevance") * 0.35 + T.overview_score(F.col("text")) * 0.25 - F.when(T.contains_any(text, roles.EXAMPLES), 1.0).otherwise(0.0)
+    given = saved(rows.select("qid", "doc_id", F.col("rank").alias("pos"), bonus.alias("bonus"), usable.alias("usable"), (~front & ~listed).alias("fills")), "given")
+    scores = _covering(spark, rows.select("doc_id", "text").dropDuplicates(["doc_id"]))
+    return roles.diverse_overview(given, given.select("qid", "doc_id").join(scores, "doc_id"), 8, ("purpose", "claim", "dataset"))
+
+
 def role_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each role adds up to in each source."""
     scores = role_scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -447,7 +476,7 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 220).alias("head"))
 
 
-QUERIES = [balanced_hybrid, noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
+QUERIES = [role_overview, diverse_overview, balanced_hybrid, noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
