@@ -96,6 +96,9 @@ def coverage(cards_: DataFrame) -> DataFrame:
 
 def relations(cards_: DataFrame, most: int = 12) -> DataFrame:
     """Pairs of a question's covered documents in their order (pos), with up to six shared terms; at most `most` pairs."""
+    # the first pairs are those of the first documents: more than `most` + 1 of these are never needed
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("pos"))
+    cards_ = cards_.withColumn("_nth", nth).where(F.col("_nth") <= most + 1).drop("_nth")
     left, right = cards_.alias("l"), cards_.alias("r")
     pairs = left.join(right, (F.col("l.qid") == F.col("r.qid")) & (F.col("l.pos") < F.col("r.pos")))
     shared = F.slice(F.array_intersect("l.terms", "r.terms"), 1, 6)

@@ -32,6 +32,6 @@ def memory(stream: DataFrame) -> DataFrame:
 
 
 def run_metrics(log: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Events and their mean value by hour and type; batch and stream alike."""
+    """Events and the sum of their values by hour and type; batch and stream alike."""
     rows = log.withWatermark("ts", late) if log.isStreaming else log
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
