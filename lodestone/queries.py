@@ -15,7 +15,7 @@ from .functions import fixed
 from .functions import text as T
 from .operators import chunking, evaluate, expand, fuse, judge, nearest, plans, questions, roles, search, state, trace
 from .plans.balanced import balanced_hybrid as balanced_plan
-from .sources.scratch import saved, spread
+from .sources.scratch import kept, saved, spread
 from .streaming import jobs
 
 K = 5
@@ -112,12 +112,21 @@ def question_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = search.postings(table(spark, sf_dir, "documents"), "doc_id")
+    post = search.postings(_tokens(spark, sf_dir), "doc_id")
     return post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that all searches of the same files share."""
+    return kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), "tokens", lambda: search.tokenised(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), "vectors", lambda: search.hash_vectors(table(spark, sf_dir, "documents"), "doc_id"))
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    listed = saved(search.tokenised(table(spark, sf_dir, "documents"), "doc_id"), "tokens")
+    listed = _tokens(spark, sf_dir)
     n, mean = search.corpus_size(listed, "doc_id")
     terms = saved(search.query_terms(_questions(spark, sf_dir)), "terms")
     raw = search.bm25(search.postings(listed, "doc_id", asked=terms), terms, ["doc_id"], n, mean).withColumn("raw", F.round("raw", 6))
@@ -134,7 +143,7 @@ def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     asked = search.hash_vectors(_questions(spark, sf_dir).select("qid", F.col("question").alias("text")), "qid")
-    return search.sparse_top_k(asked, search.hash_vectors(table(spark, sf_dir, "documents"), "doc_id"), "qid", "doc_id", k)
+    return search.sparse_top_k(asked, _vectors(spark, sf_dir), "qid", "doc_id", k)
 
 
 def hash_dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's own setting: drop a query's shuffle files when the query has ended.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -47,8 +48,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that later queries of an application may read again.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def version(files: DataFrame) -> tuple:
+    """Two numbers that tell the files that a table is read from, by path, size and time of change."""
+    facts = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    row = files.select(facts.alias("h")).distinct().agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).head()
+    return row[0], row[1]
+
+
+def kept(files: DataFrame, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from files as they are now, such as an index: built and saved once in an application, then read again.
+
+    `name` says what is built. Files that have changed since give another version, which is built anew.
+    """
+    key = (folder(files.sparkSession), name, version(files))
+    if key not in _KEPT:
+        _KEPT[key] = saved(build(), name)
+    return _KEPT[key]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when no result is to be read any more."""
+    for key in [k for k in _KEPT if k[0] == folder(spark)]:
+        del _KEPT[key]
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
