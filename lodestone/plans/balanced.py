@@ -33,8 +33,8 @@ def document_lists(asked: DataFrame, chunks: DataFrame, scope: DataFrame, depth:
     raw = search.bm25_within(search.postings(tokens, "doc_id", "chunk_id", asked=terms), terms, tokens, "doc_id", "chunk_id")
     raw = raw.withColumn("raw", F.round("raw", 6)).where("raw > 0").join(wanted, ["qid", "doc_id"], "left_semi")
     sparse = search.top(raw, depth, ["qid", "doc_id"], F.col("raw"), "chunk_id").withColumn("score", F.round(search.normalised(F.col("raw")), 6))
-    vectors = search.hash_vectors(chunks.select("chunk_id", "text"), "chunk_id")
-    dense = search.sparse_top_k(search.hash_vectors(keyed.select(F.col("qkey").alias("qid"), F.col("query").alias("text")), "qid"), vectors, "qid", "chunk_id", depth, within=chunks.select("chunk_id", "doc_id"))
+    vectors = search.hash_lists(chunks.select("chunk_id", "text"), "chunk_id")
+    dense = search.sparse_top_k(search.hash_lists(keyed.select(F.col("qkey").alias("qid"), F.col("query").alias("text")), "qid"), vectors, "qid", "chunk_id", depth, within=chunks.select("chunk_id", "doc_id"))
     dense = dense.join(wanted, ["qid", "doc_id"], "left_semi")
     names = search.small(keyed.select(F.col("qkey"), F.col("qid").alias("own_qid"), "query_no"))
 

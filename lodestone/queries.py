@@ -122,7 +122,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), "vectors", lambda: search.hash_vectors(table(spark, sf_dir, "documents"), "doc_id"))
+    return kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), "vectors", lambda: search.hash_lists(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -142,7 +142,7 @@ def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    asked = search.hash_vectors(_questions(spark, sf_dir).select("qid", F.col("question").alias("text")), "qid")
+    asked = search.hash_lists(_questions(spark, sf_dir).select("qid", F.col("question").alias("text")), "qid")
     return search.sparse_top_k(asked, _vectors(spark, sf_dir), "qid", "doc_id", k)
 
 
