@@ -101,3 +101,22 @@ SCORE_TABLES = ["实验分数构成", "实验过程", "实验结果", "实验总
 SCREENS = ["运行结果", "截图", "Visual Studio", "开放", "回显"]
 # fixed values: titles of conversations
 TITLE_LENGTH, UNTITLED = 40, "新的论文对话"
+# fixed values: words that no quote is chosen by
+QUOTE_STOP = ["what", "which", "where", "when", "how", "does", "did", "is", "are", "was", "were", "the", "this", "that", "for", "and", "with", "from", "reported", "report"]
+# fixed values: what tells a table's header, what raises a sentence or a table row in a quote, and a row as a unit
+HEADER_WORDS = ["metric", "score", "accuracy", "error", "model", "method", "dataset", "指标", "结果"]
+QUOTE_METHOD = ["we propose", "we present", "we show", "result", "dataset", "method"]
+QUOTE_METRICS = ["accuracy", "error", "score", "metric", "result", "auc", "f1", "%", "结果", "指标"]
+ROW_METRICS = ["accuracy", "error", "score", "metric", "result", "auc", "f1", "memory", "parameter", "%"]
+# fixed values: marks of a mechanism: any of the words of each group must be there, and what that adds; .32 at most in all
+MECHANISMS = [
+    ([["we propose", "propose", "proposed", "method", "approach"]], 0.06),
+    ([["using", "by ", "inject", "injected", "scale", "scaling"]], 0.04),
+    ([["compound"], ["coefficient", "scaling"]], 0.12),
+    ([["width"], ["depth"], ["resolution"]], 0.1),
+    ([["rank decomposition", "low-rank", "low rank"]], 0.12),
+    ([["freeze", "freezes", "frozen"], ["weight"]], 0.1),
+    ([["trainable"], ["parameter", "matrix", "matrices"]], 0.08),
+    ([["efficiency", "efficient", "memory", "flops", "latency", "faster", "smaller"]], 0.05),
+]
+UNIT_SECTIONS = ["result", "experiment", "abstract", "conclusion"]
