@@ -83,16 +83,16 @@ def _in_order(items: Column) -> Column:
     return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["n"], x["text"]))), lambda x: x["text"])
 
 
-def sentence_quote(parts: Column, terms: Column, limit: int) -> Column:
+def sentence_quote(parts: Column, terms: Column) -> Column:
     """The two sentences with most of the needles `terms`, .35 for a number and .2 for words of method, in text order; null if none scores."""
     score = lambda low: met(terms, haystack(low)) + F.when(low.rlike(QUOTED_NUMBER), 0.35).otherwise(0.0) + F.when(T.contains_any(low, fixed.QUOTE_METHOD), 0.2).otherwise(0.0)
     scored = F.filter(F.transform(parts, lambda s, i: F.struct(score(F.lower(s)).cast("double").alias("score"), i.alias("n"), s.alias("text"))), lambda x: x["score"] > 0)
-    return let(F.slice(_by_score(scored), 1, 2), lambda best: F.when(F.size(best) > 0, T.truncate(F.array_join(_in_order(best), " "), limit)))
+    return let(F.slice(_by_score(scored), 1, 2), lambda best: F.when(F.size(best) > 0, F.array_join(_in_order(best), " ")))
 
 
-def table_quote(rows: Column, header: Column, clean: Column, terms: Column, limit: int) -> Column:
+def table_quote(rows: Column, header: Column, terms: Column) -> Column:
     """The header and the best row, or two that are within .2 of each other: needles met, .35 for each of three numbers, .45 for each
-    metric word; where no row has any, those with most digits."""
+    metric word; where no row has any, those with most digits. Null without rows."""
     low_score = lambda low: met(terms, haystack(low)) + F.least(F.lit(3), T.count(low, QUOTED_NUMBER)) * 0.35 + T.hits(low, fixed.QUOTE_METRICS) * 0.45
     plain = lambda r: T.count(r, r"(?U)\d") * 0.05 + F.when(F.contains(r, F.lit("|")), 0.2).otherwise(0.0)
     own = F.filter(F.transform(rows, lambda r, i: F.struct(F.round(low_score(F.lower(r)).cast("double"), 6).alias("score"), i.alias("n"), r.alias("text"))), lambda x: x["text"] != header)
@@ -100,16 +100,18 @@ def table_quote(rows: Column, header: Column, clean: Column, terms: Column, limi
     scored = let(F.filter(own, lambda x: x["score"] > 0), lambda s: F.when(F.size(s) > 0, s).otherwise(other))
     best = let(F.slice(_by_score(scored), 1, 2), lambda b: F.filter(b, lambda x, i: (i == 0) | (x["score"] >= F.round(b[0]["score"] - 0.2, 6))))
     shown = F.array_distinct(F.concat(F.when(F.length(header) > 0, F.array(header)).otherwise(T.empty()), _in_order(best)))
-    return F.when(F.size(rows) > 0, T.truncate(F.array_join(shown, " | "), limit)).otherwise(T.truncate(clean, min(limit, 180)))
+    return F.when(F.size(rows) > 0, F.array_join(shown, " | "))
 
 
-def quote(clean: Column, parts: Column, rows: Column, header: Column, tabular: Column, terms: Column, limit: int) -> Column:
-    """What a text says to the question: of a table its rows, else its sentences, else what is readable. Empty for an empty text."""
-    told = F.when(tabular, table_quote(rows, header, clean, terms, limit)).otherwise(F.coalesce(sentence_quote(parts, terms, limit), T.best_quote(clean, limit)))
-    return F.when(F.length(T.squeeze(clean)) > 0, told).otherwise("")
+def quote(clean: Column, parts: Column, rows: Column, header: Column, tabular: Column, terms: Column, limits: tuple[int, ...]) -> Column:
+    """What a text says to the question, cut to each of the limits: of a table its rows, else its sentences, else what is readable.
+    Empty for an empty text; a table without rows shows its head."""
+    told = F.when(tabular, F.coalesce(table_quote(rows, header, terms), T.truncate(clean, 180))).otherwise(sentence_quote(parts, terms))
+    cut = lambda t: F.array(*[F.when(t.isNotNull(), T.truncate(t, n)).otherwise(T.best_quote(clean, n)) for n in limits])
+    return F.when(F.length(T.squeeze(clean)) > 0, let(told, cut)).otherwise(F.array(*[F.lit("")] * len(limits)))
 
 
 def mechanism_bonus(low: Column) -> Column:
     """What words of a mechanism add to a text, .32 at most."""
     each = [F.when(reduce(lambda a, b: a & b, [T.contains_any(low, group) for group in groups]), much).otherwise(0.0) for groups, much in fixed.MECHANISMS]
-    return F.round(F.least(F.lit(0.32), reduce(lambda a, b: a + b, each)), 6)
+    return F.round(F.least(F.lit(0.32), reduce(lambda a, b: a + b, each)), 9)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed, quotes
 from ..functions import text as T
 from ..sources.scratch import saved
-from . import questions as Q
 from .chunking import computed
 from .fuse import distinct_text
 from .search import small
@@ -20,6 +19,7 @@ from .search import small
 #: Anchors of a question, chunks around each, units of a chunk, the scores that units must have, the share of local ones.
 ANCHORS, PLACES, UNITS = 12, 10, 4
 LOCAL_LEAST, DOCUMENT_LEAST, MECHANISM_LEAST, LOCAL_SHARE = 0.58, 0.78, 0.14, 0.65
+QUOTES = (360, 420)
 #: How far a chunk of the same section may be, and the width of the buckets that neighbours are joined by.
 REACH, BUCKET, PAGES = 6, 7, 4
 #: What a kind of unit is worth in a document, and in the final order.
@@ -33,10 +33,11 @@ def _worth(kind: Column, table: dict[str, float]) -> Column:
 
 def asked(questions: DataFrame) -> DataFrame:
     """(qid, question, keywords, phrases, terms, numeric, mechanism) of questions (qid, question): all that units are scored by."""
-    question = T.whole(F.col("question"))
-    named = computed(questions.select("qid", question.alias("question")), keywords=T.question_keywords(F.col("question")), phrases=T.question_phrases(F.col("question")), flags=Q.features(F.col("question")))
-    terms = quotes.needles(quotes.focus_terms(F.col("question"), F.col("keywords"), F.col("phrases")))
-    return computed(named, ("flags",), terms=terms, numeric=F.col("flags.metric") | F.col("flags.efficiency"), mechanism=F.col("flags.mechanism"))
+    question, low = T.whole(F.col("question")), F.lower(F.col("question"))
+    numeric = T.contains_any(low, fixed.ASKS["metric"]) | low.rlike(r"(?U)\b(?:" + "|".join(fixed.ASKS["efficiency"]) + r")\b")
+    mechanism = T.contains_any(F.lower(T.sanitize(F.col("question"))), fixed.ASKS["mechanism"])
+    named = computed(questions.select("qid", question.alias("question")), keywords=T.question_keywords(F.col("question")), phrases=T.question_phrases(F.col("question")), numeric=numeric, mechanism=mechanism)
+    return computed(named, terms=quotes.needles(quotes.focus_terms(F.col("question"), F.col("keywords"), F.col("phrases"))))
 
 
 def support(unit: Column, kind: str) -> Column:
@@ -47,46 +48,45 @@ def support(unit: Column, kind: str) -> Column:
     phrases = F.size(F.filter(F.slice("phrases", 1, 8), lambda p: F.contains(low, p)))
     mechanism = F.when(F.col("mechanism"), quotes.mechanism_bonus(low)).otherwise(0.0)
     relevance = T.relevance(F.col("question"), F.col("keywords"), F.col("phrases"), low)
-    return F.round(0.42 + relevance * 0.55 + F.least(words, F.lit(5)) * 0.035 + F.least(phrases, F.lit(3)) * 0.08 + number + {"phrase": 0.12, "sentence": 0.08}[kind] + mechanism, 6)
+    return F.round(0.42 + relevance * 0.55 + F.least(words, F.lit(5)) * 0.035 + F.least(phrases, F.lit(3)) * 0.08 + number + {"phrase": 0.12, "sentence": 0.08}[kind] + mechanism, 9)
 
 
-def row_units(rows: DataFrame, most_sentences: int, limit: int, whole_quotes: bool) -> DataFrame:
-    """rows of a chunk and a question (columns of `asked`) with `units`: array of struct<kind_no, kind, unit_no, unit, raw>.
+def row_units(rows: DataFrame) -> DataFrame:
+    """rows of a chunk and a question (columns of `asked`) with `units`: array of struct<kind_no, kind, nth, unit_no, unit, raw>.
 
-    The three best table rows (.58, .08 for each term and for each of four numbers, .07 for each metric word), the best sentences (24
-    characters or more; one under 90 takes the next along) and the quote. Quotes that are the whole text count only if asked for.
+    The three best table rows (.58, .08 for each term and for each of four numbers, .07 for each metric word), the five best sentences
+    (24 characters or more; one under 90 takes the next along), and the quote: of 360 characters as kind_no 2, unless it is the whole
+    text, and of 420 as kind_no 3.
     """
-    clean = T.sanitize(F.col("text"))
-    rows = computed(rows.withColumn("_clean", clean), _parts=quotes.sentences(F.col("_clean")), _tabular=T.is_table(F.col("_clean")))
+    rows = computed(rows.withColumn("_clean", T.sanitize(F.col("text"))), _parts=quotes.sentences(F.col("_clean")), _tabular=T.is_table(F.col("_clean")))
     tabled = F.col("_tabular") | F.contains(F.lower(T.whole(F.col("chunk_type"))), F.lit("table"))
     rows = computed(rows, _rows=F.when(tabled, quotes.table_rows(F.col("_clean"))).otherwise(T.empty()))
     rows = computed(rows, _header=quotes.table_header(F.col("_rows")))
-    quote = quotes.quote(F.col("_clean"), F.col("_parts"), F.col("_rows"), F.col("_header"), F.col("_tabular"), F.col("terms"), limit)
-    rows = computed(rows, _quote=quote)
+    told = quotes.quote(F.col("_clean"), F.col("_parts"), F.col("_rows"), F.col("_header"), F.col("_tabular"), F.col("terms"), QUOTES)
     n, next_ = F.size("_parts"), lambda i: F.get(F.col("_parts"), i + 1)
     paired = F.filter(F.transform("_parts", lambda s, i: F.struct(i.alias("unit_no"), F.when((F.length(s) < 90) & (i + 1 < n), F.concat(s, F.lit(" "), next_(i))).otherwise(s).alias("unit"), (F.length(s) >= 24).alias("long"))), lambda x: x["long"])
-    rows = computed(rows, _paired=paired)
+    rows = computed(rows, _quotes=told, _paired=paired)
 
     def table_unit(r: Column, i: Column) -> Column:
         low = F.lower(r)
         hits, numbers, metrics = quotes.met(F.col("terms"), quotes.haystack(low)), T.count(low, quotes.UNIT_NUMBER), T.hits(low, fixed.ROW_METRICS)
-        score = F.round(F.least(F.lit(1.0), 0.58 + hits * 0.08 + F.least(numbers, F.lit(4)) * 0.08 + metrics * 0.07), 6)
+        score = F.round(F.least(F.lit(1.0), 0.58 + hits * 0.08 + F.least(numbers, F.lit(4)) * 0.08 + metrics * 0.07), 9)
         speaks = (r != F.col("_header")) & ((hits > 0) | (numbers > 0) | (metrics > 0))
         told = F.when((F.length("_header") > 0) & ~F.contains(r, F.col("_header")), F.concat(F.col("_header"), F.lit(" | "), r)).otherwise(r)
         return F.when(speaks, F.struct((-score).alias("minus"), i.alias("unit_no"), told.alias("unit")))
 
-    def scored(x: Column) -> Column:
-        return F.struct((-F.least(F.lit(1.0), support(x["unit"], "sentence"))).alias("minus"), x["unit_no"].alias("unit_no"), x["unit"].alias("unit"))
+    def unit(kind_no: Column, kind: str, nth: Column, unit_no: Column, text: Column, raw: Column) -> Column:
+        return F.struct(kind_no.cast("int").alias("kind_no"), F.lit(kind).alias("kind"), nth.cast("int").alias("nth"), unit_no.cast("int").alias("unit_no"), text.alias("unit"), raw.cast("double").alias("raw"))
 
-    def as_units(items: Column, kind_no: int, kind: str, most: int, cut: int) -> Column:
-        best = F.slice(F.array_sort(items), 1, most)
-        return F.transform(best, lambda x: F.struct(F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), x["unit_no"].cast("int").alias("unit_no"), T.truncate(x["unit"], cut).alias("unit"), (-x["minus"]).cast("double").alias("raw")))
+    def best(items: Column, kind_no: int, kind: str, most: int, cut: int) -> Column:
+        return F.transform(F.slice(F.array_sort(items), 1, most), lambda x, i: unit(F.lit(kind_no), kind, i, x["unit_no"], T.truncate(x["unit"], cut), -x["minus"]))
 
+    scored = F.transform("_paired", lambda x: F.struct((-F.least(F.lit(1.0), support(x["unit"], "sentence"))).alias("minus"), x["unit_no"].alias("unit_no"), x["unit"].alias("unit")))
     section = F.when(T.contains_any(F.lower(T.whole(F.col("section"))), fixed.UNIT_SECTIONS), 0.06).otherwise(0.0)
-    quoted = F.struct(F.lit(2).alias("kind_no"), F.lit("phrase").alias("kind"), F.lit(90).alias("unit_no"), F.col("_quote").alias("unit"), F.round(support(F.col("_quote"), "phrase") + section, 6).cast("double").alias("raw"))
-    wanted = (F.length("_quote") > 0) & (F.lit(whole_quotes) | (F.col("_quote") != T.truncate(F.col("_clean"), limit)))
-    units = F.concat(as_units(F.array_compact(F.transform("_rows", table_unit)), 0, "table_row", 3, 620), as_units(F.transform("_paired", scored), 1, "sentence", most_sentences, 520), F.filter(F.array(F.when(wanted, quoted)), lambda x: x.isNotNull()))
-    return computed(rows, ("_clean", "_parts", "_tabular", "_rows", "_header", "_quote", "_paired"), units=units)
+    quoted = F.transform("_quotes", lambda x, i: unit(i + 2, "phrase", F.lit(0), F.lit(90), x, F.round(support(x, "phrase") + section, 9)))
+    quoted = F.filter(quoted, lambda x: (F.length(x["unit"]) > 0) & ((x["kind_no"] == 3) | (x["unit"] != T.truncate(F.col("_clean"), QUOTES[0]))))
+    units = F.concat(best(F.array_compact(F.transform("_rows", table_unit)), 0, "table_row", 3, 620), best(scored, 1, "sentence", 5, 520), quoted)
+    return computed(rows, ("_clean", "_parts", "_tabular", "_rows", "_header", "_quotes", "_paired"), units=units)
 
 
 def places(anchors: DataFrame, chunks: DataFrame, most: int = PLACES) -> DataFrame:
@@ -116,40 +116,37 @@ def places(anchors: DataFrame, chunks: DataFrame, most: int = PLACES) -> DataFra
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("gap")
 
 
-def local_units(found: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, anchor_no, place, nth, doc_id, chunk_no, kind, unit_no, score, text): up to four units of each place, the best first.
+def scored_units(rows: DataFrame) -> DataFrame:
+    """rows with `units` (of `row_units`) and `near` (array of struct<anchor_no, place, anchor_score, bonus>, or null) with what of them
+    is good enough: `local` (anchor_no, place, nth, kind, unit_no, score, text, key) and `far` (priority, kind, unit_no, score, text, key).
 
-    Sentences and rows gain .18 of the anchor's score and what the place adds; the quote gains .28 of it. Of equal texts of a chunk the
-    best stays; what scores under .58 is left out.
+    Local: four sentences at most, rows and sentences raised by .18 of the anchor's score and by what the place adds, the quote by .28
+    of it; of equal texts of a chunk the best stays; the best four of .58 or more. Far: all of .78 or more or with a mechanism's words
+    for .14, pictures left out; for questions on a mechanism its words come before the score.
     """
-    rows = chunks.join(small(found), ["doc_id", "chunk_no"]).join(small(questions), "qid")
-    rows = row_units(rows, 4, 360, False)
-    anchor, one = F.least(F.coalesce("anchor_score", F.lit(0.0)), F.lit(1.0)), F.lit(1.0)
+    one = F.lit(1.0)
 
-    def placed(x: Column) -> Column:
-        raised = F.round(F.least(one, x["raw"] + anchor * F.when(x["kind"] == "phrase", 0.28).otherwise(0.18) + F.col("bonus")), 6)
-        first = F.when(x["kind"] == "phrase", raised).otherwise(x["raw"])
-        return F.struct((-first).alias("minus"), x["unit_no"].alias("unit_no"), x["kind_no"].alias("kind_no"), x["kind"].alias("kind"), raised.alias("score"), x["unit"].alias("text"), distinct_text(x["unit"]).alias("key"))
+    def placed(a: Column) -> Column:
+        anchor = F.least(F.coalesce(a["anchor_score"], F.lit(0.0)), one)
 
-    rows = computed(rows, units=F.array_sort(F.transform("units", placed)))
-    fresh = F.filter("units", lambda x, i: (F.length(x["key"]) > 0) & ~F.exists(F.slice("units", 1, i), lambda y: y["key"] == x["key"]))
-    rows = computed(rows, units=F.slice(F.filter(fresh, lambda x: x["score"] >= LOCAL_LEAST), 1, UNITS))
-    return rows.select("qid", "anchor_no", "place", "doc_id", "chunk_no", F.posexplode("units").alias("nth", "u")).select("qid", "anchor_no", "place", "nth", "doc_id", "chunk_no", "u.kind", "u.unit_no", "u.score", "u.text", "u.key")
+        def raised(x: Column) -> Column:
+            score = F.round(F.least(one, x["raw"] + anchor * F.when(x["kind"] == "phrase", 0.28).otherwise(0.18) + a["bonus"]), 9)
+            first = F.when(x["kind"] == "phrase", score).otherwise(x["raw"])
+            return F.struct((-first).alias("minus"), x["unit_no"].alias("unit_no"), x["kind_no"].alias("kind_no"), x["kind"].alias("kind"), score.alias("score"), x["unit"].alias("text"), distinct_text(x["unit"]).alias("key"))
 
+        own = F.filter("units", lambda x: (x["kind_no"] < 3) & ((x["kind_no"] != 1) | (x["nth"] < 4)))
+        fresh = quotes.let(F.array_sort(F.transform(own, raised)), lambda u: F.filter(u, lambda x, i: (F.length(x["key"]) > 0) & (x["score"] >= LOCAL_LEAST) & ~F.exists(F.slice(u, F.lit(1), i), lambda y: y["key"] == x["key"])))
+        return F.transform(F.slice(fresh, 1, UNITS), lambda x, i: F.struct(a["anchor_no"].alias("anchor_no"), a["place"].alias("place"), i.alias("nth"), *[x[c].alias(c) for c in ("kind", "unit_no", "score", "text", "key")]))
 
-def document_units(scope: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, doc_no, priority, doc_id, chunk_no, kind, unit_no, score, text): every unit of the documents (qid, doc_id, doc_no) that
-    scores .78 or has a mechanism's words for .14. For questions on a mechanism these words come before the score."""
-    rows = chunks.where(~F.contains(F.lower(T.whole(F.col("chunk_type"))), F.lit("image"))).join(small(scope), "doc_id").join(small(questions), "qid")
-    rows = row_units(rows, 5, 420, True)
-
-    def scored(x: Column) -> Column:
+    def far(x: Column) -> Column:
         words = F.when(F.col("mechanism"), quotes.mechanism_bonus(F.lower(x["unit"]))).otherwise(0.0)
-        score = F.round(F.least(F.lit(1.0), F.least(F.lit(1.0), x["raw"]) + words * 0.45 + 0.04), 6)
+        score = F.round(F.least(one, F.least(one, x["raw"]) + words * 0.45 + 0.04), 9)
         return F.struct(F.when(F.col("mechanism"), words).otherwise(score).alias("priority"), words.alias("words"), x["kind"].alias("kind"), x["unit_no"].alias("unit_no"), score.alias("score"), x["unit"].alias("text"), distinct_text(x["unit"]).alias("key"))
 
-    good = F.filter(F.transform("units", scored), lambda x: (F.length(x["key"]) > 0) & ((x["score"] >= DOCUMENT_LEAST) | (x["words"] >= MECHANISM_LEAST)))
-    return rows.select("qid", "doc_no", "doc_id", "chunk_no", F.inline(good)).drop("words")
+    drawn = F.contains(F.lower(T.whole(F.col("chunk_type"))), F.lit("image"))
+    given = F.when(drawn, F.slice("units", 1, 0)).otherwise(F.filter("units", lambda x: x["kind_no"] != 2))
+    good = F.filter(F.transform(given, far), lambda x: (F.length(x["key"]) > 0) & ((x["score"] >= DOCUMENT_LEAST) | (x["words"] >= MECHANISM_LEAST)))
+    return computed(rows, ("units", "near"), local=F.flatten(F.transform("near", placed)), far=good)
 
 
 def expand(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
@@ -171,20 +168,25 @@ def expand(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, limit
     ranked = shown.withColumn("anchor_no", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "doc_id", "chunk_no"))).where((F.col("anchor_no") <= ANCHORS) & ~drawn)
     anchors = saved(ranked.select("qid", "anchor_no", F.col("score").alias("anchor_score"), "doc_id", "chunk_no", "page_start", "page_end", "section"), "anchors")
 
+    scope = anchors.groupBy("qid", "doc_id").agg(F.min("anchor_no").alias("first"))
+    scope = saved(scope.withColumn("doc_no", F.row_number().over(Window.partitionBy("qid").orderBy("first"))).drop("first"), "scope")
+    near = places(anchors, chunks).groupBy("qid", "doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("anchor_no", "place", "anchor_score", "bonus"))).alias("near"))
+    rows = chunks.select("doc_id", "chunk_no", "text", "section", "chunk_type").join(small(scope), "doc_id").join(small(near), ["qid", "doc_id", "chunk_no"], "left").join(small(q), "qid")
+    found = scored_units(row_units(rows)).select("qid", "doc_no", "doc_id", "chunk_no", "local", "far")
+    found = saved(found.where("size(local) > 0 or size(far) > 0"), "units")
+
     seen = shown.select("qid", "key").distinct()
-    around = saved(local_units(places(anchors, chunks), chunks, q), "around").join(seen, ["qid", "key"], "left_anti")
+    around = found.select("qid", "doc_id", "chunk_no", F.inline("local")).join(seen, ["qid", "key"], "left_anti")
     first = F.struct("anchor_no", "place", "nth")
     local = around.groupBy("qid", "key").agg(F.min(first).alias("at"), F.min_by(F.struct("doc_id", "chunk_no", "kind", "unit_no", "score", "text"), first).alias("u"))
     local = local.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("at"))).join(room, "qid").where(F.col("n") <= F.col("local"))
     local = saved(local.select("qid", "key", "n", "u.*"), "local")
 
-    scope = anchors.groupBy("qid", "doc_id").agg(F.min("anchor_no").alias("first"))
-    scope = scope.withColumn("doc_no", F.row_number().over(Window.partitionBy("qid").orderBy("first"))).drop("first")
     taken = local.groupBy("qid").agg(F.count("*").alias("n_local"))
     docs = scope.groupBy("qid").agg(F.count("*").alias("docs"))
     left = room.join(docs, "qid").join(taken, "qid", "left").withColumn("left", F.col("limit") - F.col("had") - F.coalesce("n_local", F.lit(0))).where("left > 0")
     left = left.select("qid", "left", F.greatest(F.lit(2), F.least(F.lit(6), F.floor(F.col("left") / F.col("docs")) + 2)).alias("cap"))
-    every = document_units(scope.join(left, "qid", "left_semi"), chunks, q).join(seen.unionByName(local.select("qid", "key")), ["qid", "key"], "left_anti")
+    every = found.select("qid", "doc_no", "doc_id", "chunk_no", F.inline("far")).join(seen.unionByName(local.select("qid", "key")), ["qid", "key"], "left_anti")
     best = F.struct("doc_no", (-F.col("priority")).alias("p"), (-F.col("score")).alias("s"), (-_worth(F.col("kind"), IN_DOCUMENT)).alias("k"), "chunk_no", "unit_no")
     unit = F.struct("doc_id", "kind", "score", "text")
     once = every.groupBy("qid", "key").agg(F.min(best).alias("at"), F.min_by(unit, best).alias("u"))
