@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as T
-from .operators import chunking, evaluate, expand, fuse, judge, nearest, plans, questions, roles, search, state, trace
+from .operators import chunking, evaluate, expand, expansion, fuse, judge, nearest, plans, questions, roles, search, state, trace
 from .plans.balanced import balanced_hybrid as balanced_plan
 from .sources.scratch import kept, saved, spread
 from .streaming import jobs
@@ -493,6 +493,24 @@ def best_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.best_quotes(pairs, sentences, "doc_id").select("qid", "doc_id", F.md5("quote").alias("quote"))
 
 
+def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences, table rows and quotes around the twelve first documents of each question: three lines are a chunk, four chunks a page,
+    the source a section, and the chunk of each document that is most relevant its candidate."""
+    hits = saved(_bm25(spark, sf_dir, expansion.ANCHORS).select("qid", "doc_id", "rank", F.round(search.normalised(F.col("raw")), 6).alias("score")), "hits")
+    docs = table(spark, sf_dir, "documents").join(search.small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 3).cast("int"))
+    parts = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("section"), lines.alias("lines")).select("doc_id", "section", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("lines", i * 3 + 1, F.lit(3)), "\n"))).alias("chunk_no", "text"))
+    page = (F.floor(F.col("chunk_no") / 4) + 1).cast("int")
+    chunks = saved(parts.where(F.length(T.squeeze(F.col("text"))) > 0).select("doc_id", "chunk_no", "text", page.alias("page_start"), page.alias("page_end"), "section", F.lit("text").alias("chunk_type")), "chunks")
+    asked = _questions(spark, sf_dir).select("qid", "question", T.question_keywords(F.col("question")).alias("keywords"), T.question_phrases(F.col("question")).alias("phrases"))
+    rows = chunks.select("doc_id", "chunk_no", T.lowered(F.col("text")).alias("low")).join(search.small(hits), "doc_id").join(search.small(asked), "qid")
+    rows = rows.withColumn("relevance", F.round(T.relevance(F.col("question"), F.col("keywords"), F.col("phrases"), F.col("low")), 9))
+    best = rows.groupBy("qid", "doc_id", "rank", "score").agg(F.min_by("chunk_no", F.struct(-F.col("relevance"), "chunk_no")).alias("chunk_no"))
+    found = expansion.expand(best, chunks, _questions(spark, sf_dir), 36)
+    return found.select("qid", "rank", "doc_id", "chunk_no", "kind", F.coalesce("unit_no", F.lit(-1)).alias("unit_no"), "score", "expanded_from", F.md5("text").alias("text"))
+
+
 def opening_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three documents of each source."""
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_no"))
@@ -503,7 +521,7 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 220).alias("head"))
 
 
-QUERIES = [plan_records, role_overview, diverse_overview, balanced_hybrid, noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
+QUERIES = [evidence_units, plan_records, role_overview, diverse_overview, balanced_hybrid, noise_penalties, boosted_bm25_top5, store_quotes, targeted_rules, target_documents, gold_scores, document_upsert, conversation_list, role_totals, question_features, query_expansion, role_scores, key_terms, selection_trace, trace_summary, best_quotes, opening_documents, truncated, content_hash, ingest_dedup, replace_documents, store_counts, catalog, sanitized, chunk_features, token_counts, chunk_strategy, sentence_list, document_chunks, turn_context, search_tokens, question_phrases, term_statistics, bm25_top5, hash_vectors, hash_dense_top5, dense_top5, lsh_top5, hybrid_rrf, balanced_selection, numbered_evidence, relevance_scores, verdicts, evidence_quality, source_cards, answer_checks, planted_gold, gold_recall, evaluation_forms, run_roll_up, message_counts, recent_turns, summary_points, memory_upsert, run_metrics, uncovered_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -512,5 +530,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .oracles import SQL
+    from .oracles_units import SQL as UNITS
 
-    return SQL
+    return SQL | UNITS
