@@ -19,13 +19,10 @@ def retrieve(asked: DataFrame, chunks: DataFrame, k: int = 8, queries_each: int
     chunks = chunks.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", "text")
     listed = saved(questions.expand(asked).where(F.col("query_no") < queries_each).select(F.concat_ws("#", "qid", "query_no").alias("qkey"), "qid", "query_no", "query"), "queries")
     as_question = listed.select(F.col("qkey").alias("qid"), F.col("query").alias("question"))
-    tokens = saved(search.tokenised(chunks, "doc_id", "chunk_id"), "tokens")
-    n, mean = search.corpus_size(tokens)
-    terms = saved(search.query_terms(as_question), "terms")
-    post = search.postings(tokens, "doc_id", "chunk_id", asked=terms)
-    sparse = search.top(search.bm25(post, terms, ["doc_id", "chunk_id"], n, mean), 8 * k, "qid", F.col("raw"), "doc_id", "chunk_id").withColumn("score", search.normalised(F.col("raw")))
-    vectors = search.hash_lists(chunks.select("chunk_id", "text"), "chunk_id")
-    dense = search.sparse_top_k(search.hash_lists(as_question.select("qid", F.col("question").alias("text")), "qid"), vectors, "qid", "chunk_id", 8 * k).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    tokens = search.tokenised(chunks, "doc_id", "chunk_id")
+    sparse = search.bm25_top(tokens, search.query_terms(as_question), ["doc_id", "chunk_id"], 8 * k).withColumn("score", search.normalised(F.col("raw")))
+    vectors = search.hash_lists(as_question.select("qid", F.col("question").alias("text")), "qid")
+    dense = search.sparse_top_k(vectors, chunks.select("chunk_id", "text"), "qid", "chunk_id", 8 * k).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     null = F.lit(None).cast("double")
     both = dense.select("qid", F.lit("dense").alias("list"), "rank", "doc_id", "chunk_id", "score", F.col("score").alias("vector_score"), null.alias("sparse_score"))
     both = both.unionByName(sparse.select("qid", F.lit("sparse").alias("list"), "rank", "doc_id", "chunk_id", "score", null.alias("vector_score"), F.col("score").alias("sparse_score")))
