@@ -7,6 +7,8 @@ SOFT_HYPHEN = "­"
 HIDDEN_EMAIL, HIDDEN = "[邮箱已隐藏]", "[已隐藏]"
 # fixed values: labels whose values are masked
 MASKED_LABELS = ["姓\\s*名|姓名", "学\\s*号|学号", "电子邮件|邮箱"]
+# a text without any of these has no such label
+LABEL_STARTS = ["姓", "学", "电子邮件", "邮箱"]
 # fixed values: markers of a document's structure and their weights
 STRONG_MARKERS = ["abstract", "introduction", "conclusion", "in this paper", "in this work", "we propose", "we present", "we introduce", "we show", "本文围绕", "摘要", "结论", "研究认为"]
 MEDIUM_MARKERS = ["state-of-the-art", "architecture", "model", "training", "method", "experiment", "evaluation", "dataset", "benchmark", "result", "实验", "模型", "方法", "评测", "数据", "结果"]
@@ -88,6 +90,8 @@ METADATA_LABEL = "(关键词|关键字|作者|单位|作者单位|机构|日期|
 SUBMISSION_NOISE = ["实验提交", "提交代码", "提交报告", "思考题", "选做", "作业提交", "评分标准", "可添加公式"]
 CODE_MARKERS = ["function ", "const ", "let ", "var ", "=>", "addEventListener", "querySelector", "return ", "class ", "</", "{", "}", ";"]
 CODE_LINE = r"function\s+\w+|const\s+\w+|let\s+\w+|var\s+\w+|=>|[{};]{2,}|</?\w+"
+# a line without any of these is no line of code
+CODE_STARTS = ["function", "const", "let", "var", "=>", "{", "}", ";", "<"]
 FRAMEWORK_WORDS = ["function", "functions", "core", "component", "components", "capability", "capabilities", "stage", "process", "role", "policy", "strategy"]
 # fixed values: words of a framework's functions, and what raises a chunk that has two of them
 FUNCTION_WORDS = ["function", "functions", "core", "component", "components", "capability", "capabilities", "stage", "stages", "process", "processes", "role", "roles", "policy", "strategy", "outcome", "outcomes"]

@@ -5,6 +5,7 @@ A null text counts as empty everywhere; results are then false, zero or empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What `body` makes of a value; the value is computed once, however often the body names it and wherever."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -38,6 +44,11 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def chars(text: Column, kind: str) -> Column:
+    """How many characters of a class the text has."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?U){kind}+", ""))
+
+
 def contains_any(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms], F.lit(False))
 
@@ -53,10 +64,9 @@ def sanitize(text: Column) -> Column:
     for ligature, letters in fixed.LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(letters))
     out = F.regexp_replace(out, r"(?U)(?<=[A-Za-z])-\s+(?=[A-Za-z])", "")
-    out = F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, r"(?U)[\w.\-+]++@[\w.\-]+\.\w+", fixed.HIDDEN_EMAIL)).otherwise(out)
-    for label in fixed.MASKED_LABELS:
-        out = F.regexp_replace(out, rf"(?U)({label})\s*[:：]\s*\S+", f"$1：{fixed.HIDDEN}")
-    return out
+    out = let(out, lambda o: F.when(F.contains(o, F.lit("@")), F.regexp_replace(o, r"(?U)[\w.\-+]++@[\w.\-]+\.\w+", fixed.HIDDEN_EMAIL)).otherwise(o))
+    mask = lambda o, label: F.regexp_replace(o, rf"(?U)({label})\s*[:：]\s*\S+", f"$1：{fixed.HIDDEN}")
+    return let(out, lambda o: F.when(contains_any(o, fixed.LABEL_STARTS), reduce(mask, fixed.MASKED_LABELS, o)).otherwise(o))
 
 
 def lowered(text: Column) -> Column:
@@ -79,7 +89,7 @@ def line_split(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.filter(line_split(text), lambda x: F.length(squeeze(x)) > 0)
+    return F.filter(line_split(text), lambda x: x.rlike(r"(?U)\S"))
 
 
 def _share(part: Column, of: Column) -> Column:
@@ -88,24 +98,26 @@ def _share(part: Column, of: Column) -> Column:
 
 def is_table(text: Column) -> Column:
     """Table-like as retrieval sees it."""
-    flat, rows = squeeze(text), lines(text)
-    ratio = _share(F.size(F.filter(rows, lambda x: F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t")))), F.size(rows))
-    digits = _share(count(flat, r"(?U)\d"), F.length(flat))
-    marks = _share(count(flat, r"[|,:：/\\]"), F.length(flat))
-    dense = (digits > 0.28) & (count(flat, f"[{CJK}]") < 80) & (F.length(flat) > 100)
-    return (F.length(flat) > 0) & ((count(flat, r"\|") >= 6) | (ratio >= 0.35) | dense | ((marks > 0.22) & (F.length(flat) > 120)))
+
+    def test(flat: Column) -> Column:
+        ratio = let(lines(text), lambda rows: _share(F.size(F.filter(rows, lambda x: F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t")))), F.size(rows)))
+        digits, marks = _share(chars(flat, r"\d"), F.length(flat)), _share(chars(flat, r"[|,:：/\\]"), F.length(flat))
+        dense = (F.length(flat) > 100) & (digits > 0.28) & (chars(flat, f"[{CJK}]") < 80)
+        return (F.length(flat) > 0) & ((chars(flat, r"\|") >= 6) | (ratio >= 0.35) | dense | ((F.length(flat) > 120) & (marks > 0.22)))
+
+    return let(squeeze(text), test)
 
 
 def is_store_table(text: Column) -> Column:
     """Table-like as the chunk store sees it: by pipes and digits alone."""
     flat = squeeze(text)
-    digits = _share(count(flat, r"(?U)\d"), F.length(flat))
-    return (F.length(flat) > 0) & ((count(flat, r"\|") >= 6) | ((digits > 0.28) & (count(flat, f"[{CJK}]") < 80) & (F.length(flat) > 100)))
+    digits = _share(chars(flat, r"\d"), F.length(flat))
+    return (F.length(flat) > 0) & ((chars(flat, r"\|") >= 6) | ((digits > 0.28) & (chars(flat, f"[{CJK}]") < 80) & (F.length(flat) > 100)))
 
 
 def readability(text: Column) -> Column:
     flat = squeeze(text)
-    score = F.lit(0.2) + F.when((count(flat, f"[{CJK}]") >= 30) | (count(flat, "[A-Za-z]") >= 30), 0.25).otherwise(0.0)
+    score = F.lit(0.2) + F.when((chars(flat, f"[{CJK}]") >= 30) | (chars(flat, "[A-Za-z]") >= 30), 0.25).otherwise(0.0)
     score = score + F.when(flat.rlike("[。！？.!?；;]"), 0.2).otherwise(0.0) + F.when(F.length(flat).between(80, 1200), 0.15).otherwise(0.0)
     score = score - F.when(is_table(flat), 0.35).otherwise(0.0) - F.when(contains_any(flat, ["姓名", "学号", "电子邮件", "邮箱"]), 0.15).otherwise(0.0)
     return F.when(F.length(flat) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
@@ -117,7 +129,10 @@ def overview_score(text: Column) -> Column:
 
 
 def is_front_matter(text: Column) -> Column:
-    low = lowered(text)
+    return let(lowered(text), _front_matter)
+
+
+def _front_matter(low: Column) -> Column:
     labelled = (hits(low, fixed.FRONT_LABELS) >= 2) & (F.length(low) <= 360) & ~contains_any(low, fixed.BODY_MARKERS)
     cover = contains_any(low, ["作者", "单位", "日期"]) & contains_any(low, ["摘 要", "摘要"]) & ~contains_any(low, ["本文围绕", "研究认为", "in this paper", "in this work"]) & (F.length(low) <= 260)
     mails = (F.length(low) - F.length(F.replace(low, F.lit(fixed.HIDDEN_EMAIL), F.lit("")))) / len(fixed.HIDDEN_EMAIL) >= 3
@@ -155,7 +170,10 @@ def reliability(text: Column) -> Column:
 
 def is_metadata(text: Column) -> Column:
     """A labelled field of a title page; an empty text counts, too."""
-    flat = squeeze(sanitize(text))
+    return let(squeeze(sanitize(text)), _metadata)
+
+
+def _metadata(flat: Column) -> Column:
     at = F.length(F.regexp_extract(flat, f"^(.*?){fixed.METADATA_LABEL}", 1))
     labelled = flat.rlike(fixed.METADATA_LABEL) & ((at <= 90) | (F.length(flat) <= 220))
     return (F.length(flat) == 0) | labelled | (F.contains(flat, F.lit("摘 要")) & (F.length(flat) <= 80))
@@ -168,27 +186,45 @@ def is_submission(text: Column) -> Column:
 
 def is_code(text: Column) -> Column:
     """Mostly code: eight marks of it, or 45 % of four or more lines; prose about a framework's parts needs the marks."""
-    clean = sanitize(text)
-    marks = count(clean, "|".join("\\Q" + m + "\\E" for m in fixed.CODE_MARKERS))
+    return let(sanitize(text), _code)
+
+
+def _code(clean: Column) -> Column:
+    most = reduce(lambda a, b: a + b, [(F.length(clean) - F.length(F.replace(clean, F.lit(m), F.lit("")))) / len(m) for m in fixed.CODE_MARKERS])
+    many = F.when(most >= 8, count(clean, "(?=[" + "".join(sorted({m[0] for m in fixed.CODE_MARKERS})) + "])(?:" + "|".join("\\Q" + m + "\\E" for m in fixed.CODE_MARKERS) + ")") >= 8).otherwise(F.lit(False))
     words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(clean), F.lit(r"(?U)\b(" + "|".join(fixed.FRAMEWORK_WORDS) + r")\b"), 1)))
-    rows = lines(clean)
-    share = _share(F.size(F.filter(rows, lambda x: x.rlike("(?U)" + fixed.CODE_LINE))), F.size(rows))
-    return (marks >= 8) | ((words < 3) & (F.size(rows) >= 4) & (share >= 0.45))
+    like_code = lambda x: contains_any(x, fixed.CODE_STARTS) & x.rlike("(?U)" + fixed.CODE_LINE)
+    rows = let(lines(clean), lambda rows: (F.size(rows) >= 4) & (_share(F.size(F.filter(rows, like_code)), F.size(rows)) >= 0.45))
+    return many | (rows & (words < 3))
+
+
+def noise_kinds(text: Column) -> Column:
+    """The kinds of noise that a text is, each by the function of its name, in a struct; the text is sanitised once."""
+
+    def kinds(clean: Column) -> Column:
+        by_flat = let(squeeze(clean), lambda flat: F.struct(_metadata(flat).alias("metadata"), contains_any(flat, fixed.SUBMISSION_NOISE).alias("submission")))
+        named = [let(squeeze(F.lower(clean)), _front_matter).alias("front_matter"), _code(clean).alias("code"), is_table(clean).alias("table"), is_reference_section(text).alias("references")]
+        return F.struct(by_flat.alias("flat"), *named)
+
+    return let(let(sanitize(text), kinds), lambda k: F.struct(k["flat"]["metadata"].alias("metadata"), k["flat"]["submission"].alias("submission"), *[k[n].alias(n) for n in ("front_matter", "code", "table", "references")]))
 
 
-def noise_penalty(text: Column, section: Column | None = None, metadata_asked: Column | None = None, references_asked: Column | None = None, flags: dict[str, Column] | None = None) -> Column:
+def noise_penalty(text: Column, section: Column | None = None, metadata_asked: Column | None = None, references_asked: Column | None = None, flags: dict[str, Column] | None = None, kinds: Column | None = None) -> Column:
     """What noise costs a text, by what its question asks for. `flags` may hold asks_submission, asks_code, asks_table, and
-    no_submission, no_code, no_table for kinds that the plan of the question excludes; all are false by default."""
+    no_submission, no_code, no_table for kinds that the plan of the question excludes; all are false by default. `kinds` is the text's
+    noise_kinds where that is at hand."""
+    if kinds is None:
+        return let(noise_kinds(text), lambda k: noise_penalty(text, section, metadata_asked, references_asked, flags, k))
     no = F.lit(False)
     flag = lambda name: no if flags is None or name not in flags else flags[name]
     cost = lambda test, much: F.when(test, much).otherwise(F.lit(0.0))
     meta, refs = no if metadata_asked is None else metadata_asked, no if references_asked is None else references_asked
-    cited = is_reference_section(text) if section is None else is_reference_section(text) | F.coalesce(section == "References", no)
+    cited = kinds["references"] if section is None else kinds["references"] | F.coalesce(section == "References", no)
     return (
-        cost(is_front_matter(text), F.when(meta, 0.3).otherwise(1.8)) + cost(is_metadata(text) & ~meta, F.lit(1.0)) + cost(cited & ~refs, F.lit(1.45))
-        + cost(is_submission(text) & ~flag("asks_submission"), F.when(flag("no_submission"), 1.45).otherwise(0.7))
-        + cost(is_code(text) & ~flag("asks_code"), F.when(flag("no_code"), 1.0).otherwise(0.55))
-        + cost(is_table(sanitize(text)) & ~flag("asks_table"), F.when(flag("no_table"), 0.95).otherwise(0.45))
+        cost(kinds["front_matter"], F.when(meta, 0.3).otherwise(1.8)) + cost(kinds["metadata"] & ~meta, F.lit(1.0)) + cost(cited & ~refs, F.lit(1.45))
+        + cost(kinds["submission"] & ~flag("asks_submission"), F.when(flag("no_submission"), 1.45).otherwise(0.7))
+        + cost(kinds["code"] & ~flag("asks_code"), F.when(flag("no_code"), 1.0).otherwise(0.55))
+        + cost(kinds["table"] & ~flag("asks_table"), F.when(flag("no_table"), 0.95).otherwise(0.45))
     )
 
 
