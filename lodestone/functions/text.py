@@ -58,15 +58,20 @@ def hits(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms], F.lit(0))
 
 
-def sanitize(text: Column) -> Column:
-    """Ligatures and dashes spelt plainly, words joined over a line's hyphen, e-mails and labelled personal data masked."""
-    out = F.translate(whole(text), fixed.DASHES + fixed.SOFT_HYPHEN, "-" * len(fixed.DASHES))
+def _spelt(text: Column) -> Column:
+    out = F.translate(text, fixed.DASHES + fixed.SOFT_HYPHEN, "-" * len(fixed.DASHES))
     for ligature, letters in fixed.LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(letters))
-    out = F.regexp_replace(out, r"(?U)(?<=[A-Za-z])-\s+(?=[A-Za-z])", "")
+    return F.when(contains_any(text, [*fixed.DASHES, fixed.SOFT_HYPHEN, *fixed.LIGATURES]), out).otherwise(text)
+
+
+def sanitize(text: Column) -> Column:
+    """Ligatures and dashes spelt plainly, words joined over a line's hyphen, e-mails and labelled personal data masked."""
+    out = let(whole(text), lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(_spelt(t)))  # ASCII is plain
+    out = let(out, lambda o: F.when(F.contains(o, F.lit("-")), F.regexp_replace(o, r"(?U)(?<=[A-Za-z])-\s+(?=[A-Za-z])", "")).otherwise(o))
     out = let(out, lambda o: F.when(F.contains(o, F.lit("@")), F.regexp_replace(o, r"(?U)[\w.\-+]++@[\w.\-]+\.\w+", fixed.HIDDEN_EMAIL)).otherwise(o))
     mask = lambda o, label: F.regexp_replace(o, rf"(?U)({label})\s*[:：]\s*\S+", f"$1：{fixed.HIDDEN}")
-    return let(out, lambda o: F.when(contains_any(o, fixed.LABEL_STARTS), reduce(mask, fixed.MASKED_LABELS, o)).otherwise(o))
+    return let(out, lambda o: F.when((F.length(o) < F.octet_length(o)) & contains_any(o, fixed.LABEL_STARTS), reduce(mask, fixed.MASKED_LABELS, o)).otherwise(o))
 
 
 def lowered(text: Column) -> Column:

@@ -28,9 +28,8 @@ def document_lists(asked: DataFrame, chunks: DataFrame, scope: DataFrame, depth:
     null = F.lit(None).cast("double")
     keyed = saved(asked.select(F.concat_ws("#", "qid", "query_no").alias("qkey"), "qid", "query_no", "query"), "queries")
     wanted = search.small(keyed.join(scope, "qid").select(F.col("qkey").alias("qid"), "doc_id"))
-    tokens = search.tokenised(chunks, "doc_id", "chunk_id")
     terms = search.query_terms(keyed.select(F.col("qkey").alias("qid"), F.col("query").alias("question")))
-    sparse = search.bm25_top(tokens, terms, ["doc_id", "chunk_id"], depth, "doc_id").join(wanted, ["qid", "doc_id"], "left_semi")
+    sparse = search.bm25_top(chunks, terms, ["doc_id", "chunk_id"], depth, "doc_id").join(wanted, ["qid", "doc_id"], "left_semi")
     sparse = sparse.where("raw > 0").withColumn("score", F.round(search.normalised(F.col("raw")), 6))
     vectors = search.hash_lists(keyed.select(F.col("qkey").alias("qid"), F.col("query").alias("text")), "qid")
     dense = search.sparse_top_k(vectors, chunks.select("chunk_id", "doc_id", "text"), "qid", "chunk_id", depth, within="doc_id")

@@ -19,8 +19,7 @@ def retrieve(asked: DataFrame, chunks: DataFrame, k: int = 8, queries_each: int
     chunks = chunks.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", "text")
     listed = saved(questions.expand(asked).where(F.col("query_no") < queries_each).select(F.concat_ws("#", "qid", "query_no").alias("qkey"), "qid", "query_no", "query"), "queries")
     as_question = listed.select(F.col("qkey").alias("qid"), F.col("query").alias("question"))
-    tokens = search.tokenised(chunks, "doc_id", "chunk_id")
-    sparse = search.bm25_top(tokens, search.query_terms(as_question), ["doc_id", "chunk_id"], 8 * k).withColumn("score", search.normalised(F.col("raw")))
+    sparse = search.bm25_top(chunks, search.query_terms(as_question), ["doc_id", "chunk_id"], 8 * k).withColumn("score", search.normalised(F.col("raw")))
     vectors = search.hash_lists(as_question.select("qid", F.col("question").alias("text")), "qid")
     dense = search.sparse_top_k(vectors, chunks.select("chunk_id", "text"), "qid", "chunk_id", 8 * k).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     null = F.lit(None).cast("double")
