@@ -5,7 +5,8 @@ heaviest lists first, each in two sequential parts: down to the middle entry, th
 most the last one read of its list; lists not begun are bounded together by what a candidate's norm leaves (Cauchy-Schwarz). So
 each candidate has a lower and an upper bound. One whose upper bound is below the k-th best lower bound can't qualify: nothing of
 it is read any more. The k-th bound is carried from block to block. Reading stops for a block when no candidate is left, and
-what is left when all lists are read has its final score.
+what is left when all lists are read has its final score. As long as most candidates are open, some queries read their lists
+together, as matrix products; then each query goes on with what is open for it alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Lists that are read together between two comparisons of the bounds, and candidates in a block.
 STEP, BLOCK = 16, 8192
+#: Queries that read together, and the share of open candidates below which each reads alone.
+TOGETHER, OPEN = 64, 0.2
 
 
 class Lists:
@@ -28,20 +31,22 @@ class Lists:
         n = ordered.shape[1]
         self.middle = np.stack([ordered[:, (n - 1) // 2], ordered[:, n // 2]])  # read upwards, read downwards
         self.ends = np.stack([ordered[:, 0], ordered[:, -1]])
-        self.norms = (self.v * self.v).sum(axis=0)
+        self.squares = self.v * self.v
+        self.norms = self.squares.sum(axis=0)
+        self.upward, self.downward = np.maximum(self.v, self.middle[1][:, None]), np.minimum(self.v, self.middle[0][:, None])
 
 
-def aggregate(qid: int, query: np.ndarray, lists: Lists, k: int, bound: float, slip: float, counted: bool = False) -> tuple[np.ndarray, np.ndarray, float, int]:
+def aggregate(qid: int, query: np.ndarray, lists: Lists, k: int, bound: float, slip: float, counted: bool = False, state: tuple | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
     """(places, scores, bound, entries read if counted): candidates of a block that may be among the k best, with exact scores.
 
     `bound` is a score that k candidates are known to reach; it comes back as what this block has raised it to. Scores are sums of
     whole numbers and exact; `slip` is more than rounding may change the other side of a bound by. Rows with the query's own id
-    are no candidates.
+    are no candidates. `state` (open places, their scores, what is left of their norms, lists read) is where reading goes on.
     """
     open_ = np.flatnonzero(lists.ids != qid)
-    score, left, read = np.zeros(len(open_), lists.v.dtype), lists.norms[open_], 0
-    order = np.argsort(-np.abs(query) * (lists.ends[1] - lists.ends[0]), kind="stable")
-    for start in range(0, len(order), STEP):
+    open_, score, left, begin = state or (open_, np.zeros(len(open_), lists.v.dtype), lists.norms[open_], 0)
+    read, order = 0, np.argsort(-np.abs(query) * (lists.ends[1] - lists.ends[0]), kind="stable")
+    for start in range(begin, len(order), STEP):
         if not len(open_):
             break
         some, rest = order[start : start + STEP], np.sqrt((query[order[start + STEP :]] ** 2).sum(dtype=float)).astype(lists.v.dtype)
@@ -65,6 +70,43 @@ def aggregate(qid: int, query: np.ndarray, lists: Lists, k: int, bound: float, s
     return open_, score, bound, read
 
 
+def together(qids: np.ndarray, queries: np.ndarray, lists: Lists, k: int, bound: np.ndarray, slip: float, counted: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, int]:
+    """([(places, scores)] by query, bounds, entries read if counted): what `aggregate` gives, for some queries at once."""
+    kind, n = lists.v.dtype, len(lists.ids)
+    order = np.argsort(-np.abs(queries) * (lists.ends[1] - lists.ends[0]), axis=1, kind="stable")
+    open_, score, left, read, row = lists.ids != qids[:, None], np.zeros((len(qids), n), kind), np.repeat(lists.norms[None], len(qids), axis=0), 0, np.arange(len(qids))[:, None]
+    begin = 0
+    while begin < order.shape[1] and open_.mean() > OPEN:
+        some = np.zeros(queries.shape, kind)
+        some[row, order[:, begin : begin + STEP]] = 1
+        after = np.zeros(queries.shape, kind)
+        after[row, order[:, begin + STEP :]] = 1
+        w, rest = queries * some, np.sqrt(((queries * after) ** 2).sum(axis=1, dtype=float)).astype(kind)[:, None]
+        if counted or (bound > -np.inf).any():
+            most = score + np.maximum(w, 0) @ lists.upward + np.minimum(w, 0) @ lists.downward + rest * np.sqrt(left)
+            keep = open_ & (most >= (bound - slip)[:, None])
+            if counted:
+                up = some * (w > 0)
+                met = up @ (lists.v >= lists.middle[1][:, None]).astype(kind) + (some - up) @ (lists.v <= lists.middle[0][:, None]).astype(kind)
+                read += int(met[open_].sum(dtype=float) + (some.sum(axis=1)[:, None] - met)[keep].sum(dtype=float))
+            open_ = keep
+        score, left = score + w @ lists.v, np.maximum(left - some @ lists.squares, 0)
+        slack = rest * np.sqrt(left)
+        least = np.where(open_, score - slack, kind.type(-np.inf))
+        raised = np.flatnonzero((least > bound[:, None]).sum(axis=1) >= k)  # fewer than k can't raise a bound
+        if len(raised):
+            bound[raised] = np.maximum(bound[raised], np.partition(least[raised], n - k, axis=1)[:, n - k].astype(float) - slip)
+        open_ &= score + slack >= (bound - slip)[:, None]
+        begin += STEP
+    found = []
+    for i, qid in enumerate(qids):
+        at = np.flatnonzero(open_[i])
+        at, own, bound[i], more = aggregate(qid, queries[i], lists, k, bound[i], slip, counted, (at, score[i, at], left[i, at], begin))
+        found.append((at, own))
+        read += more
+    return found, bound, read
+
+
 def nearest(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int, counted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(query ids, item ids, scores, share of list entries read if counted): each query's k best items, ties to the smaller id."""
     top = (float(np.abs(queries).max(initial=0)) * float(np.abs(items).max(initial=0))) * max(1, queries.shape[1])
@@ -73,20 +115,27 @@ def nearest(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.nd
     kind, slip = (np.float32, 1e-6 * most + 1e-3) if most < 2**24 else (np.float64, 1e-13 * most + 1e-3)
     blocks = [Lists(ids[at : at + BLOCK], items[at : at + BLOCK], kind) for at in range(0, len(ids), BLOCK)] if most < 2**53 else []
     found, read = [], 0
-    for qid, query in zip(qids, queries, strict=True):
-        if most < 2**53:
-            got, bound = [], -np.inf
+
+    def first(qid: int, near: np.ndarray, score: np.ndarray) -> None:
+        best = np.lexsort((near, -score))[:k]
+        found.append((np.full(len(best), qid), near[best], score[best]))
+
+    if most < 2**53:
+        for at in range(0, len(qids), TOGETHER):
+            own, few, bound = qids[at : at + TOGETHER], queries[at : at + TOGETHER].astype(kind), np.full(len(qids[at : at + TOGETHER]), -np.inf)
+            got: list[list] = [[] for _ in own]
             for lists in blocks:
-                at, score, bound, more = aggregate(qid, query.astype(kind), lists, k, bound, slip, counted)
-                got.append((lists.ids[at], score.astype(np.int64)))
+                each, bound, more = together(own, few, lists, k, bound, slip, counted)
                 read += more
-            near, score = (np.concatenate(x) for x in zip(*got, strict=True))
-        else:  # too large for exact floating point: whole numbers of any size
+                for held, (place, score) in zip(got, each, strict=True):
+                    held.append((lists.ids[place], score.astype(np.int64)))
+            for qid, held in zip(own, got, strict=True):
+                first(qid, *(np.concatenate(x) for x in zip(*held, strict=True)))
+    else:  # too large for exact floating point: whole numbers of any size
+        for qid, query in zip(qids, queries, strict=True):
             other = ids != qid
-            near, score = ids[other], np.array([sum(int(a) * int(b) for a, b in zip(query, v)) for v in items[other]], object)
             read += items.size
-        first = np.lexsort((near, -score))[:k]
-        found.append((np.full(len(first), qid), near[first], score[first]))
+            first(qid, ids[other], np.array([sum(int(a) * int(b) for a, b in zip(query, v)) for v in items[other]], object))
     share = read / max(1, len(qids) * items.size)
     return (*(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 3)), share)
 

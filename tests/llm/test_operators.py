@@ -464,3 +464,18 @@ def test_learned_scores_with_repeated_ids_and_long_texts(spark):
     got = [(r["doc_id"], r["score"]) for r in toxicity.score(docs, labels).collect()]
     assert len(got) == 407 and dict(got)[None] > 0.5 and dict(got)[900] < 0.3
     assert quality.score(docs, labels).count() == 407
+
+
+def test_topk_reads_together_what_queries_read_alone():
+    """Queries that read their lists together find the same with the same entries read, and take up where they leave off."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 32))
+    items = np.floor(64 * np.concatenate([rng.normal(size=(500, 32)), centres[rng.integers(0, 6, 500)] + 0.1 * rng.normal(size=(500, 32)), np.repeat(centres[:2], 100, axis=0)])).astype(np.int64)
+    ids = rng.permutation(len(items))
+    lists, queries = topk.Lists(ids, items, np.float64), items[::60].astype(np.float64)
+    none = np.full(len(queries), -np.inf)
+    found, bounds, read = topk.together(ids[::60], queries, lists, 7, none.copy(), 1e-3, True)
+    alone = [topk.aggregate(q, v, lists, 7, -np.inf, 1e-3, True) for q, v in zip(ids[::60], queries, strict=True)]
+    assert read == sum(x[3] for x in alone)
+    for (place, score), bound, (place_, score_, bound_, _) in zip(found, bounds, alone, strict=True):
+        assert place.tolist() == place_.tolist() and score.tolist() == score_.tolist() and bound == bound_
