@@ -233,6 +233,25 @@ def noise_penalty(text: Column, section: Column | None = None, metadata_asked: C
     )
 
 
+#: What a sanitised text in lower case must have to be front matter or metadata, instructions or a list of references, if it isn't blank: one of
+#: these phrases (which are looked for where the longest word of one is) or signs, of which one stands for hidden text that may have been any.
+_NOISE_PHRASES = [*fixed.FRONT_NOISE, "references"]
+_NOISE_SIGNS = ["摘", "机构", "参考文献", fixed.HIDDEN[1:], *fixed.FRONT_LABELS, *fixed.SUBMISSION_NOISE]
+#: What a text can cost that is code and table-like at once.
+_CODE_AND_TABLE = 0.55 + 0.45
+
+
+def is_quiet(text: Column, low: Column, limit: float) -> Column:
+    """Whether noise costs a text less than `limit` for an ordinary question. `low` is the sanitised text in lower case; most texts have
+    nothing that any costly kind of noise must have, so that no kind is looked for in them."""
+    if limit <= _CODE_AND_TABLE:
+        return noise_penalty(text) < limit
+    spaced = "(?U)" + "|".join(r"\s+".join(p.split()) for p in _NOISE_PHRASES)
+    phrase = F.when(contains_any(low, [max(p.split(), key=len) for p in _NOISE_PHRASES]), low.rlike(spaced)).otherwise(False)
+    sign = F.when(F.length(low) < F.octet_length(low), contains_any(low, _NOISE_SIGNS)).otherwise(False)
+    return F.when(phrase | sign | ~low.rlike(r"(?U)\S"), noise_penalty(text) < limit).otherwise(True)
+
+
 def best_quote(text: Column, limit: int = 280) -> Column:
     """A short text whole; else its first sentences that aren't table-like, as many as fit; else its head."""
     flat = squeeze(text)
