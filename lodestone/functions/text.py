@@ -89,8 +89,12 @@ def truncate(text: Column, limit: int = 220) -> Column:
     return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(F.regexp_replace(F.substr(clean, F.lit(1), at), "[ ,，;；.]+$", ""), F.lit("...")))
 
 
+#: What ends a line.
+LINE_END = r"[\n\r\x0B\f\x1C-\x1E\x85  ]"
+
+
 def line_split(text: Column) -> Column:
-    return F.split(whole(text), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")
+    return F.split(whole(text), rf"\r\n|{LINE_END}")
 
 
 def lines(text: Column) -> Column:
@@ -291,11 +295,14 @@ def page_label(start: Column, end: Column, page: Column) -> Column:
 # ------------------------------------------------------------------ tokens
 
 
+#: A character of a run of letters and digits, where runs are joined by single hyphens and apostrophes.
+RUN = "(?:[A-Za-z0-9]|(?<=[A-Za-z0-9])[-'](?=[A-Za-z0-9]))"
+
+
 def token_count(text: Column) -> Column:
     """Tokens without a tokenizer: a CJK character is 1, a run of letters and digits a quarter of its length, any other 1."""
-    runs = F.regexp_extract_all(whole(text), F.lit("[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"), 0)
-    rest = F.regexp_replace(whole(text), r"(?U)[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*|\s+", "")
-    return F.aggregate(runs, F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int")) + F.length(rest)
+    joined = F.contains(whole(text), F.lit("-")) | F.contains(whole(text), F.lit("'"))
+    return F.when(joined, count(whole(text), rf"(?U){RUN}{{1,4}}+|\S")).otherwise(count(whole(text), r"(?U)[A-Za-z0-9]{1,4}|\S"))
 
 
 def sentences(text: Column) -> Column:
