@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from string import ascii_letters, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -295,14 +296,22 @@ def page_label(start: Column, end: Column, page: Column) -> Column:
 # ------------------------------------------------------------------ tokens
 
 
+#: Letters and digits one by one, as Java looks up single characters at once and ranges one after the other.
+LETTER, ALNUM = f"[{ascii_letters}]", f"[{ascii_letters}{digits}]"
 #: A character of a run of letters and digits, where runs are joined by single hyphens and apostrophes.
-RUN = "(?:[A-Za-z0-9]|(?<=[A-Za-z0-9])[-'](?=[A-Za-z0-9]))"
+RUN = f"(?:{ALNUM}|(?<={ALNUM})[-'](?={ALNUM}))"
+
+
+def is_joined(text: Column) -> Column:
+    """Whether a text may have joined runs."""
+    return F.contains(whole(text), F.lit("-")) | F.contains(whole(text), F.lit("'"))
 
 
 def token_count(text: Column) -> Column:
     """Tokens without a tokenizer: a CJK character is 1, a run of letters and digits a quarter of its length, any other 1."""
-    joined = F.contains(whole(text), F.lit("-")) | F.contains(whole(text), F.lit("'"))
-    return F.when(joined, count(whole(text), rf"(?U){RUN}{{1,4}}+|\S")).otherwise(count(whole(text), r"(?U)[A-Za-z0-9]{1,4}|\S"))
+    ended = F.concat(whole(text), F.lit("."))  # takes white space at the end with it
+    tokens = lambda run: F.length(F.regexp_replace(ended, rf"(?U)\s*(?:{run}|\S)", "x")) - 1
+    return F.when(is_joined(text), tokens(RUN + "{1,4}+")).otherwise(tokens(ALNUM + "{1,4}"))
 
 
 def sentences(text: Column) -> Column:
